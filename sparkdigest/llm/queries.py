@@ -7,19 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdigest.llm import simhash
+from sparkdigest.llm import simhash, substrings
 from sparkdigest.llm.common import table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+SQL: dict[str, str] = {}
+
+#: Words of a text, in order.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL["op2_substring_dedup"] = rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS m FROM grams) WHERE doc_id > m),
+gone AS (SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM again) GROUP BY doc_id),
+marked AS (SELECT w.doc_id, words, coalesce(places, []) AS places FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(words) AS n_words, len(places) AS n_removed,
+  sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(places, i)), ' ')) AS kept_sha256
+FROM marked"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
