@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdigest.llm import html, packing, simhash, substrings, tokens, toxicity
+from sparkdigest.llm import html, packing, quality, simhash, substrings, tokens, toxicity
 from sparkdigest.llm.common import table
 
 
@@ -54,6 +54,12 @@ SELECT doc_id, len(words) AS n_words, len(places) AS n_removed,
 FROM marked"""
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    found = quality.judge(table(spark, sf_dir, "documents"), trusted)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
