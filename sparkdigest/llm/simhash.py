@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdigest.llm.common import pick, raw, text_batches, written
@@ -113,3 +113,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(classes.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with the smallest id of their near-duplicate class.
+
+    Rows that repeat an id count as one document, of which the first by a hash of its text stays. Rows without an id
+    can't be told apart from others by it and all stay.
+    """
+    found = written(near_duplicates(docs, id_col, text_col), "near")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("id_")).distinct()
+    out = docs.join(kept, docs[id_col] == F.col("id_"), "left_semi")
+    if not found.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
+        order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
+        out = out.withColumn("row_", F.row_number().over(order)).where("row_ = 1").drop("row_")
+    return out.unionByName(docs.where(F.col(id_col).isNull()))

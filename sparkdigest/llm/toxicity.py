@@ -268,6 +268,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
+class Scorer:
+    """Scores of whole texts by one model; keeps the decisions on up to KEPT strings."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        m, found = self.model, [strings(t) for t in texts]
+        new = list(set().union(*found) - self.known.keys())
+        if len(self.known) + len(new) > KEPT:
+            self.known.clear()
+            new = list(set().union(*found))
+        for at in range(0, len(new), 4096):
+            self.known.update(zip(new[at : at + 4096], m.decisions(new[at : at + 4096]).tolist(), strict=True))
+        return m.probability(np.array([max(m.bias, *map(self.known.__getitem__, ws), m.bias) for ws in found]))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row: the calibrated decision on the most toxic sentence of the whole text.
 
@@ -280,16 +297,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
+        scorer = Scorer(shared.value)
         for b in batches:
-            found = [strings(t) for t in b.column(1).to_pylist()]
-            new = list(set().union(*found) - known.keys())
-            if len(known) + len(new) > KEPT:
-                known.clear()
-                new = list(set().union(*found))
-            for at in range(0, len(new), 4096):
-                known.update(zip(new[at : at + 4096], m.decisions(new[at : at + 4096]).tolist(), strict=True))
-            top = np.array([max(map(known.__getitem__, ws), default=m.bias) for ws in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.probability(np.maximum(top, m.bias)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.scores(b.column(1).to_pylist()))], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the limit; null and empty texts score the bias and stay."""
+    text_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array(scorer.scores(b.column(at).to_pylist()) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
