@@ -64,7 +64,7 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 21
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -103,7 +103,7 @@ class Rolling:
         sums = np.empty(len(a) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(self.of_byte[a] * self.up[: len(a)], out=sums[1:])
-        return _mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _GOLD), start, end
+        return mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _GOLD), start, end
 
     def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, start and end (bytes) of each word of data."""
@@ -128,4 +128,4 @@ class Rolling:
         sums = np.empty(len(words) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(words * self.up[: len(words)], out=sums[1:])
-        return _mix((sums[size:] - sums[:n]) * self.down[:n])
+        return mixed((sums[size:] - sums[:n]) * self.down[:n])

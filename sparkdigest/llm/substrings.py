@@ -5,77 +5,107 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkdigest.llm.common import Rolling, partitions, pick, raw, text_batches
+from sparkdigest.llm.common import Rolling, mixed, partitions, raw, text_batches
 
 #: Words that a task gathers before it deals their hashes out.
 CHUNK_WORDS = 1 << 20
 #: Bytes kept of an anchor's hash, besides the part it is dealt to: a chance hit only costs a candidate.
-ANCHOR_BYTES = 5
-#: Bytes kept of a window's hash: 8 of the first function, 5 of the second.
-WINDOW_BYTES = 13
+ANCHOR_BYTES = 4
+#: Bytes kept of a window's hash, besides the part: 6 of the first function, 4 of the second.
+WINDOW_BYTES = 10
 
 _DEALT = "part int, docs binary, counts binary, hashes binary, places binary"
+_NAMES = ["part", "docs", "counts", "hashes", "places"]
+_FOUND = "doc_id long, found binary"
 
 
-def _pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, part: np.ndarray, parts: int) -> Iterator[tuple]:
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Numbers that are not negative as byte planes: the upper ones are nearly all zero and compress to nothing."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(planes: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(planes) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    return wide.view("<i8").ravel()
+
+
+def _pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, part: np.ndarray, parts: int) -> pa.RecordBatch:
     """Rows of _DEALT: for each part its hashes (n x bytes), and for each document their number and places.
 
-    Input is in order of documents and places. Places are steps from the one before in four byte planes, of which the
-    upper ones are nearly all zero and compress to nothing.
+    Input is in order of documents and places; both are held as steps from the one before.
     """
     order = np.argsort(part, kind="stable")
     hashes, docs, places = hashes[order], docs[order], places[order]
     ends = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
+    rows: list[tuple] = []
+    for p in np.flatnonzero(np.diff(ends)):
         lo, hi = ends[p], ends[p + 1]
-        if lo == hi:
-            continue
-        d, x = docs[lo:hi], places[lo:hi].astype(np.int64)
+        d, x = docs[lo:hi], places[lo:hi]
         new = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
         step = np.diff(x, prepend=0)
         step[new] = x[new]
-        planes = step.astype("<u4").view(np.uint8).reshape(-1, 4).T
-        yield p, d[new].tobytes(), np.diff(np.append(new, hi - lo)).astype("<u4").tobytes(), hashes[lo:hi].tobytes(), planes.tobytes()
+        first = np.concatenate((d[:1].view(np.uint64), np.diff(d[new].view(np.uint64)))).view(np.int64)
+        rows.append((int(p), _planes(first, 8), _planes(np.diff(np.append(new, hi - lo)), 4), hashes[lo:hi].tobytes(), _planes(step, 4)))
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], _NAMES)
 
 
-def _steps(planes: bytes, counts: np.ndarray) -> np.ndarray:
-    step = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-    sums = np.cumsum(step)
-    first = np.cumsum(counts) - counts
+def _steps(step: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of steps that begin anew after each count."""
+    sums, first = np.cumsum(step), np.cumsum(counts) - counts
     return sums - np.repeat(sums[first] - step[first], counts)
 
 
-def _unpack(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(rows: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes (n x width bytes), documents and places of some rows of _DEALT."""
-    counts = [np.frombuffer(c, "<u4").astype(np.int64) for c in rows["counts"]]
-    docs = [np.repeat(np.frombuffer(d, np.int64), c) for d, c in zip(rows["docs"], counts, strict=True)]
-    places = [_steps(p, c) for p, c in zip(rows["places"], counts, strict=True)]
-    hashes = np.frombuffer(b"".join(rows["hashes"]), np.uint8).reshape(-1, width)
+    docs, places = [], []
+    for _, d, c, _, x in rows:
+        counts = _numbers(c, 4)
+        docs.append(np.repeat(np.cumsum(_numbers(d, 8)), counts))
+        places.append(_steps(_numbers(x, 4), counts))
+    hashes = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, width) if width else np.empty((sum(map(len, docs)), 0), np.uint8)
     return hashes, np.concatenate(docs), np.concatenate(places)
 
 
-def _found(docs: np.ndarray, places: np.ndarray) -> pd.DataFrame:
-    """(doc_id, places) of what a part has found, places as step planes."""
+def _by_part(dealt: DataFrame, parts: int, of_part: Callable[..., Iterator[pa.RecordBatch]], width: int, schema: str) -> DataFrame:
+    """of_part(hashes, docs, places) of each part, one part to a task: parts are hash ranges, so they are even."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if rows:
+            yield from of_part(*_unpack(rows, width))
+
+    return dealt.repartitionById(parts, "part").mapInArrow(run, schema)
+
+
+def _found(docs: np.ndarray, places: np.ndarray, parts: int) -> pa.RecordBatch:
+    """What a part has found, dealt by document: a row for each part of documents, not for each document."""
     order = np.lexsort((places, docs))
     docs, places = docs[order], places[order]
-    new = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.empty(0, np.int64)
-    ends = np.append(new, len(docs))
-    out = []
-    for k in range(len(new)):
-        x = places[ends[k] : ends[k + 1]]
-        out.append(np.diff(x, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-    return pd.DataFrame({"doc_id": docs[new].astype(np.int64), "found": out})
-
-
-def _places(blobs: list[bytes] | None, n: int) -> np.ndarray:
-    """Sorted places below n of what several parts have found in one document."""
-    got = [_steps(b, np.array([len(b) // 4])) for b in blobs or [] if len(b)]
-    out = np.unique(np.concatenate(got)) if got else np.empty(0, np.int64)
+    part = (mixed(docs.view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return _pack(np.empty((len(docs), 0), np.uint8), docs, places, part.astype(np.int32), parts)
+
+
+def _merged(_: np.ndarray, docs: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of _FOUND: the places of each document, whichever part has found them."""
+    order = np.lexsort((places, docs))
+    docs, places = docs[order], places[order]
+    ends = np.append(np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))), len(docs))
+    for at in range(0, len(ends) - 1, 1024):
+        cut = ends[at : at + 1025]
+        blobs = [_planes(np.diff(places[lo:hi], prepend=0), 4) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(docs[cut[:-1]]), pa.array(blobs, pa.binary())], ["doc_id", "found"])
+
+
+def _places(blob: bytes | None, n: int) -> np.ndarray:
+    """Sorted places below n of a row of _FOUND."""
+    out = np.unique(np.cumsum(_numbers(blob, 4))) if blob else np.empty(0, np.int64)
     return out[out < n]
 
 
@@ -87,29 +117,26 @@ def _covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _dealer(parts: int, of_doc: Callable[[bytes, object], tuple[np.ndarray, np.ndarray]], width: int, extra: int) -> Callable:
-    """mapInArrow function over (doc_id, text[, more]): deals what of_doc(text, more) gives (hash bytes and places) to parts.
-
-    The part is taken from the first hash's upper bits, the rest of it is what is kept.
-    """
+def _dealer(parts: int, of_doc: Callable[[bytes, bytes | None], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable:
+    """mapInArrow function over (doc_id, text, ...[, found]): deals out what of_doc(text, found) gives: hashes, the bytes of them
+    that are kept, and places. The part is a range of the hash's upper bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
+            held.sort(key=lambda x: x[2][0])
             top, hashes, docs, places = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = ((top >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
-            cols = list(zip(*_pack(hashes, docs, places, part, parts), strict=True)) or [[]] * 5
-            kinds = [pa.int32(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "docs", "counts", "hashes", "places"])
+            part = (top >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            return _pack(hashes, docs, places, part.astype(np.int32), parts)
 
         for b in batches:
-            more = b.column(2).to_pylist() if extra else [None] * b.num_rows
-            for doc, text, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), more, strict=True):
+            more = b.column("found").to_pylist() if "found" in b.schema.names else [None] * b.num_rows
+            for doc, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), more, strict=True):
                 if doc is None:
                     continue
-                top, hashes, places = of_doc(raw(text), x)
+                top, hashes, places = of_doc(raw(text), found)
                 if len(places):
                     held.append((top, hashes, np.full(len(places), doc, np.int64), places))
                     n += len(places)
@@ -139,56 +166,53 @@ def _groups(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, window: int, block: int) -> DataFrame:
-    """(doc_id, found) of windows whose word sequence also starts in a document with a smaller id; docs(doc_id, text).
+    """(doc_id, found) of windows whose word sequence also starts in a document with a smaller id; docs(doc_id, text, ...).
 
     A window of 2 * block - 1 words or more holds a whole block of any division into blocks. So the anchor index has
     only every block-th run of words of each document, and the probe every one. A run that is an indexed block of one
     document and stands in another marks, in both, the windows around it as candidates: where anchors are extended.
-    Candidates are then compared as whole windows by a hash of 13 bytes of two independent functions, and the smallest
-    document of each sequence is kept. No pairs are made: a hot passage costs one row for each document that has it.
+    Candidates are then compared as whole windows by 10 bytes and the part of two independent functions, and the
+    smallest document of each sequence is kept. No pairs are made: a hot passage costs one entry for each document.
     """
-    spark = docs.sparkSession
-    parts = 2 * partitions(spark)
+    parts = partitions(docs.sparkSession)
 
-    def anchors(text: bytes, _: object) -> tuple:
+    def anchors(text: bytes, _: bytes | None) -> tuple:
         h = first.windows(first.words(text)[0], block)
         return h, _bytes_of(h, ANCHOR_BYTES), np.arange(len(h))
 
-    def hits(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes, ids, places = _unpack(rows, ANCHOR_BYTES)
+    def hits(hashes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
         order, new = _groups(hashes)
         ids, places = ids[order], places[order]
         several = np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new)
         indexed = np.logical_or.reduceat(places % block == 0, new)
         hit = np.repeat(several & indexed, np.diff(np.append(new, len(ids))))
-        return _found(ids[hit], places[hit])
+        yield _found(ids[hit], places[hit], parts)
 
-    def candidates(text: bytes, found: list[bytes]) -> tuple:
+    def candidates(text: bytes, found: bytes | None) -> tuple:
+        if not found:
+            return np.empty(0, np.uint64), np.empty((0, WINDOW_BYTES), np.uint8), np.empty(0, np.int64)
         words = first.words(text)[0]
-        n = len(words) - window + 1
         hit = _places(found, len(words))
-        at = np.flatnonzero(_covered(np.maximum(hit - (window - block), 0), window - block + 1, len(words))[: max(n, 0)]) if len(hit) else hit
-        if not len(at):
-            return (np.empty(0, np.uint64), np.empty((0, WINDOW_BYTES), np.uint8), at)
+        around = _covered(np.maximum(hit - (window - block), 0), window - block + 1, len(words))
+        at = np.flatnonzero(around[: max(len(words) - window + 1, 0)])
         h, g = first.windows(words, window)[at], second.windows(second.words(text)[0], window)[at]
-        return h, np.hstack([_bytes_of(h, 8), _bytes_of(g, WINDOW_BYTES - 8)]), at
+        return h, np.hstack([_bytes_of(h, 6), _bytes_of(g, WINDOW_BYTES - 6)]), at
 
-    def later(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes, ids, places = _unpack(rows, WINDOW_BYTES)
+    def later(hashes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
         order, new = _groups(hashes)
         ids, places = ids[order], places[order]
         again = ids > np.repeat(np.minimum.reduceat(ids, new), np.diff(np.append(new, len(ids))))
-        return _found(ids[again], places[again])
+        yield _found(ids[again], places[again], parts)
 
     first, second = Rolling(1), Rolling(2)
-    dealt = docs.mapInArrow(_dealer(parts, anchors, ANCHOR_BYTES, 0), _DEALT)
-    hit = dealt.groupBy("part").applyInPandas(hits, "doc_id long, found binary").groupBy("doc_id").agg(F.collect_list("found").alias("found"))
-    held = docs.join(hit, "doc_id").select("doc_id", "text", "found")
-    dealt = held.mapInArrow(_dealer(parts, candidates, WINDOW_BYTES, 1), _DEALT)
-    return dealt.groupBy("part").applyInPandas(later, "doc_id long, found binary").groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+    dealt = docs.mapInArrow(_dealer(parts, anchors), _DEALT)
+    found = _by_part(_by_part(dealt, parts, hits, ANCHOR_BYTES, _DEALT), parts, _merged, 0, _FOUND)
+    # a left join, as an inner one would filter below the exchange of docs and so have one of its own
+    dealt = docs.join(found, "doc_id", "left").mapInArrow(_dealer(parts, candidates), _DEALT)
+    return _by_part(_by_part(dealt, parts, later, WINDOW_BYTES, _DEALT), parts, _merged, 0, _FOUND)
 
 
-def _kept(text: bytes, found: list[bytes] | None, window: int, spaced: bool, first: Rolling) -> tuple[int, list[list[int]], bytes]:
+def _kept(text: bytes, found: bytes | None, window: int, spaced: bool, first: Rolling) -> tuple[int, list[list[int]], bytes]:
     """Number of words, runs of removed words (from, to), and the text that stays."""
     if not found:
         words = text.split()
@@ -206,13 +230,13 @@ def _kept(text: bytes, found: list[bytes] | None, window: int, spaced: bool, fir
     return len(start), runs.tolist(), b"".join([*out, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, block: int = 7, spaced: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, block: int = 7, spaced: bool = False, carry: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept) of every row: its text without the words of repeated windows.
 
     Words are runs of characters other than ASCII white space. A word goes if a window of `window` words that covers it
     also starts in a row with a smaller id, judged on the input. spans are the removed runs of words (from, to). kept
     has the remaining words joined by one space, or with spaced=True the text with its own white space, less the
-    removed words and the white space after them.
+    removed words and the white space after them. With carry=True the other columns of docs come along.
 
     Null text has no words. A row with a null id keeps its words and makes no other row lose any. Rows that repeat an
     id are each judged against smaller ids only. Texts of fewer words than a window, and empty tables, pass through.
@@ -221,23 +245,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("a window must hold a whole block wherever it begins: window >= 2 * block - 1")
     spark = docs.sparkSession
     text_batches(spark)
-    rows = pick(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    # dealt by id once: the three uses below share this exchange
+    others = [c for c in docs.columns if c not in (id_col, text_col)] if carry else []
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("others")] if others else []))
+    # dealt by id once: the three uses below share this exchange, as all of them take all columns
     rows = rows.repartition(partitions(spark), "doc_id")
-    found = repeated_windows(rows, window, block)
-    both = rows.join(found, "doc_id", "left").select("doc_id", "text", "found")
+    both = rows.join(repeated_windows(rows, window, block), "doc_id", "left")
     first = Rolling(1)
+    kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_kept(raw(t), f, window, spaced, first) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            got = [_kept(raw(t), f, window, spaced, first) for t, f in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True)]
             n, spans, kept = zip(*got, strict=True) if got else ([], [], [])
             gone = [sum(hi - lo for lo, hi in x) for x in spans]
             spans = [[{"from": lo, "to": hi} for lo, hi in x] for x in spans]
-            kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())],
-                ["doc_id", "n_words", "n_removed", "spans", "kept"],
-            )
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())]
+            names = ["doc_id", "n_words", "n_removed", "spans", "kept"]
+            yield pa.RecordBatch.from_arrays([*cols, *([b.column("others")] if others else [])], [*names, *(["others"] if others else [])])
 
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept string")
+    schema = T._parse_datatype_string("doc_id long, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept string")
+    out = both.mapInArrow(run, schema.add(rows.schema["others"]) if others else schema)
+    return out.select("doc_id", "n_words", "n_removed", "spans", "kept", "others.*") if others else out
