@@ -1,0 +1 @@
+"""A PySpark engine for digest and reminder pipelines."""
