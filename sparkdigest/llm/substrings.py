@@ -236,7 +236,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are runs of characters other than ASCII white space. A word goes if a window of `window` words that covers it
     also starts in a row with a smaller id, judged on the input. spans are the removed runs of words (from, to). kept
     has the remaining words joined by one space, or with spaced=True the text with its own white space, less the
-    removed words and the white space after them. With carry=True the other columns of docs come along.
+    removed words and the white space after them. With carry=True the other columns of docs come along in
+    a struct named others.
 
     Null text has no words. A row with a null id keeps its words and makes no other row lose any. Rows that repeat an
     id are each judged against smaller ids only. Texts of fewer words than a window, and empty tables, pass through.
@@ -265,4 +266,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = T._parse_datatype_string("doc_id long, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept string")
     out = both.mapInArrow(run, schema.add(rows.schema["others"]) if others else schema)
-    return out.select("doc_id", "n_words", "n_removed", "spans", "kept", "others.*") if others else out
+    return out
