@@ -34,7 +34,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the words of 13-word windows that a document with a smaller id has, too."""
-    return _with_text(docs, substrings.remove_repeats(docs, spaced=True, carry=True).withColumnRenamed("kept", "text"))
+    out = substrings.remove_repeats(docs, spaced=True, carry=True)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    return _with_text(docs, out.select(*[own.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns]))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
