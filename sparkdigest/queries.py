@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdigest.functions import chunks, markup, text, time, url
-from sparkdigest.operators import checks, entries, feeds, matching, schedule, selection, state, subscriptions
+from sparkdigest.operators import checks, entries, feeds, matching, records, schedule, selection, state, subscriptions
 from sparkdigest.plans import digest as digest_plan
 from sparkdigest.session import prepare
 
@@ -703,6 +703,42 @@ def digest_assembly(spark, sf_dir):
     return digest_plan.assemble(_entries(spark, sf_dir).withColumn("digest_id", F.col("seq") % 10).withColumn("category", F.lit("AI")))
 
 
+@query("""WITH RECURSIVE h AS (SELECT o_orderkey AS url, o_orderkey - 7 AS location FROM orders WHERE o_orderkey % 5 <> 0),
+w AS (SELECT o_orderkey AS raw_url, o_orderkey AS cur, 0 AS n FROM orders UNION ALL SELECT raw_url, location, n + 1 FROM w JOIN h ON cur = url WHERE n < 6)
+SELECT CAST(raw_url AS VARCHAR) AS raw_url, CASE WHEN max(n) <= 5 THEN CAST(arg_max(cur, n) AS VARCHAR) END AS final_url, CAST(max(n) AS BIGINT) AS n_hops, CASE WHEN max(n) > 5 THEN 'URL_TOO_MANY_REDIRECTS' END AS error FROM w GROUP BY raw_url""")
+def redirect_chain(spark, sf_dir):
+    keys = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    hops = keys.where("k % 5 <> 0").select(F.col("k").cast("string").alias("url"), (F.col("k") - 7).cast("string").alias("location"))
+    found = records.follow_redirects(keys.select(F.col("k").cast("string").alias("raw_url")), hops)
+    return found.withColumn("n_hops", F.col("n_hops").cast("long"))
+
+
+@query("""SELECT o_orderkey AS digest_id, d AS destination_key FROM orders, (VALUES ('a'), ('b')) t(d) WHERE NOT (o_orderkey % 2 = 0 AND d = 'a')""")
+def new_deliveries(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("digest_id"))
+    stored = orders.where("digest_id % 2 = 0").withColumn("destination_key", F.lit("a"))
+    return records.new_deliveries(orders, spark.createDataFrame([("a",), ("b",)], "destination_key string"), stored, "digest_id").select("digest_id", "destination_key")
+
+
+@query("SELECT c_custkey, c_nationkey % 2 = 0 AS found FROM customer")
+def filter_audit(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    wanted = c.select("c_custkey", F.col("c_mktsegment").alias("label"), F.create_map(F.lit("from"), "c_name", F.lit("query"), F.col("c_nationkey").cast("string")).alias("criteria"))
+    have = c.where("c_nationkey % 2 = 0").select(F.col("c_mktsegment").alias("label"), F.create_map(F.lit("query"), F.col("c_nationkey").cast("string"), F.lit("from"), "c_name").alias("criteria"))
+    return records.filter_audit(wanted, have).select("c_custkey", "found")
+
+
+@query("""SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS result FROM nation""")
+def json_rows(spark, sf_dir):
+    return records.json_rows(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey")
+
+
+@query()
+def shrunk_texts(spark, sf_dir):
+    shown = records.shrunk_to_budget("text", F.lit(200))
+    return read(spark, sf_dir, "documents").select("doc_id", F.length(shown).cast("long").alias("n"), text.estimated_tokens(shown).alias("tokens"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

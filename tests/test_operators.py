@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkdigest.operators import checks, entries, matching, schedule, selection, state, subscriptions
+from sparkdigest.operators import checks, entries, matching, records, schedule, selection, state, subscriptions
 from sparkdigest.plans import reminders
 from sparkdigest.sources import paged, schemas, tables
 from sparkdigest.streaming import reminders as stream
@@ -194,3 +194,29 @@ def test_undelivered(spark):
     parts = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1)], "delivery_id int, chunk_no int")
     done = spark.createDataFrame([(1, 1), (1, 2)], "delivery_id int, chunk_no int")
     assert sorted(map(tuple, stream.undelivered(parts, done).collect())) == [(1, 3), (2, 1)]
+
+
+def test_configuration_as_tables(spark):
+    rules = records.rules_table(spark, {"default_rules": [{"before": "30m"}, {"before": "5m"}], "rules": [{"id": "r", "match": {"title_contains": ["flight"]}, "reminders": [{"before": "2h"}, {"id": "x", "before": "30m"}]}]})
+    found = schedule.in_time_order(schedule.schedule(spark.createDataFrame([event()], EVENT), rules))
+    assert [r.rule_id for r in found.collect()] == ["r:2h", "x", "default:5m"]
+    config = {"sources": [{"id": "a", "type": "gmail", "gmail_query": "q"}, {"id": "b", "type": "hackernews", "enabled": False}]}
+    assert [(r.source_id, r.options) for r in records.sources_table(spark, config).collect()] == [("a", {"gmail_query": "q"})]
+    with pytest.raises(ValueError, match="'b'"):
+        records.sources_table(spark, config, "b")
+
+
+def test_fetching_says_what_failed(spark):
+    def get(url):
+        if "bad" in url:
+            raise TimeoutError
+        return 200, "text/html", b"x" * (20 if "big" in url else 5)
+
+    got = {r.url: (r.status, r.error) for r in records.fetched(spark.createDataFrame([("ok",), ("bad",), ("big",)], "url string"), get, 10).collect()}
+    assert got == {"ok": (200, None), "bad": (None, "FETCH_FAILED:TimeoutError"), "big": (200, "ARTICLE_TOO_LARGE")}
+
+
+def test_shrinking(spark):
+    rows = spark.createDataFrame([("x" * 1000, 30), ("short", 30), ("x", 0), (None, 3), ("漢" * 100, 8)], "t string, b int")
+    got = [r[0] for r in rows.select(records.shrunk_to_budget("t", "b")).collect()]
+    assert got[0] == "x" * 100 and got[1:4] == ["short", "", None] and got[4] == "漢" * 10
