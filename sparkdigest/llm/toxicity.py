@@ -121,17 +121,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -50, 50)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by Newton steps on the active set; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    eye = np.eye(x.shape[1]) * ridge
+def _svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Linear SVM on some rows of x with squared hinge loss, by Newton steps on the active set, in pieces of 8192 rows; the
+    last weight is the bias."""
+    m = x.shape[1] + 1
+    w = np.zeros(m)
+    eye = np.eye(m) * ridge
     eye[-1, -1] = 1e-9
     for _ in range(steps):
-        act = y * (x @ w) < 1
-        xa = x[act] * weight[act, None]
-        new = np.linalg.solve(xa.T @ x[act] + eye, xa.T @ y[act])
-        if np.allclose(new, w, atol=1e-7):
+        a, b = eye.copy(), np.zeros(m)
+        for at in range(0, len(rows), 8192):
+            part = slice(at, at + 8192)
+            z = np.ones((len(rows[part]), m))
+            z[:, :-1] = x[rows[part]]
+            act = y[part] * (z @ w) < 1
+            za = z[act] * weight[part][act, None]
+            a += za.T @ z[act]
+            b += za.T @ y[part][act]
+        new = np.linalg.solve(a, b)
+        if np.allclose(new, w, rtol=1e-4, atol=1e-5):
             break
         w = new
     return w[:-1], float(w[-1])
@@ -164,10 +172,14 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
     words = sorted(set().union(*whole))
     place = {w: k for k, w in enumerate(words)}
-    phi_marks = np.zeros((len(marks), 1 << 18), np.float32)
+    # only subsequences of landmarks count, so the map has a column for each of these
     feats, weights, norms, of = kernel_map(marks)
+    used = np.unique(feats[feats > 0])
+    column = np.zeros(1 << 18, np.int32)
+    column[used] = np.arange(1, len(used) + 1)
+    phi_marks = np.zeros((len(marks), len(used) + 1), np.float32)
     for f, norm, k in zip(feats, norms, of, strict=True):
-        np.add.at(phi_marks[k], f[f > 0], weights[f > 0] / norm)
+        np.add.at(phi_marks[k], column[f[f > 0]], weights[f > 0] / norm)
     values, vectors = np.linalg.eigh((phi_marks @ phi_marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     white = vectors[:, keep] / np.sqrt(values[keep])
@@ -175,10 +187,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
     def mapping(some: list[str]) -> np.ndarray:
         out = np.zeros((len(some), dense.shape[1]), np.float32)
-        if some:
-            feats, weights, norms, of = kernel_map(some)
-            for at in range(0, len(feats), 2048):
-                np.add.at(out, of[at : at + 2048], _project(dense, feats[at : at + 2048], weights) / norms[at : at + 2048, None])
+        for at in range(0, len(some), 2048):
+            feats, weights, norms, of = kernel_map(some[at : at + 2048])
+            np.add.at(out, at + of, _project(dense, column[feats], weights) / norms[:, None])
         return out
 
     mapped = mapping(words)
@@ -192,10 +203,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         return Model(np.zeros(1 << 18, np.float32), 0.0, 0.0, -9.0)
     chosen, amount = first, gain
     for _ in range(ROUNDS):
-        x = np.vstack([mapped[chosen], mapped[clean]]).astype(np.float64)
         t = np.concatenate([np.ones(len(chosen)), -np.ones(len(clean))])
         share = np.concatenate([amount / amount.sum(), np.sqrt(of_clean) / np.sqrt(of_clean).sum() * 3])
-        w, bias = _svm(x, t, share)
+        w, bias = _svm(mapped, np.concatenate([chosen, clean]), t, share)
         score = mapped @ w.astype(np.float32) + bias
         witness: dict[int, float] = {}
         for bag in bags:
@@ -213,14 +223,14 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         varied = [(words[k][:i] + LETTERS[(k + i) % len(LETTERS)] + words[k][i:], witness[k]) for k in base for i in range(1, len(words[k].rstrip(".,!?;:")))]
         varied = [v for v in varied if v[0] not in in_clean]
         more = mapping([v[0] for v in varied])
-        x = np.vstack([mapped[chosen], more, mapped[clean]]).astype(np.float64)
+        both = np.vstack([mapped, more])
         t = np.concatenate([np.ones(len(chosen) + len(more)), -np.ones(len(clean))])
         extra = np.array([v[1] for v in varied], float)
         share = np.concatenate([amount / amount.sum(), extra / max(extra.sum(), 1) / 2, np.sqrt(of_clean) / np.sqrt(of_clean).sum() * 3])
-        w, bias = _svm(x, t, share)
+        w, bias = _svm(both, np.concatenate([chosen, len(words) + np.arange(len(more)), clean]), t, share)
         score = mapped @ w.astype(np.float32) + bias
-    beta = (dense @ w.astype(np.float32)).astype(np.float32)
-    beta[0] = 0
+    beta = np.zeros(1 << 18, np.float32)
+    beta[used] = dense[1:] @ w.astype(np.float32)
     model = Model(beta, bias, 1.0, 0.0)
     top = np.array([max([model.bias, *score[[place[s] for s in ws]]]) if ws else model.bias for ws in whole])
     return _calibrated(model, top, y)
