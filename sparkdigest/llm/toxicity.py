@@ -264,7 +264,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     known = pick(labels, id_col, label_col).toDF("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)")
     known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (1, 0)]
-    return d.where(F.length("text") <= LONGEST).join(F.broadcast(some[0].union(some[1])), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
+    found = d.where(F.length("text") <= LONGEST).join(F.broadcast(some[0].union(some[1])), "doc_id")
+    return found.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
 
 
 def held_out(id_col: str):
@@ -273,9 +274,22 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """fit() on training_rows(), whose size has a fixed bound."""
-    rows = training_rows(docs, labels, id_col, text_col, label_col).collect()
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    """fit() on training_rows(), whose size has a fixed bound, in one task; what comes back is the model alone."""
+    text_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            toxic += b.column(1).to_pylist()
+        m = fit(texts, toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([m.beta.tobytes()], pa.binary()), *[pa.array([float(v)]) for v in (m.bias, m.slope, m.shift)]], ["beta", "bias", "slope", "shift"])
+
+    rows = training_rows(docs, labels, id_col, text_col, label_col)
+    found = rows.mapInArrow(run, "beta binary, bias double, slope double, shift double").first()
+    if found is None:
+        return fit([], [])
+    return Model(np.frombuffer(found["beta"], np.float32), found["bias"], found["slope"], found["shift"])
 
 
 class Scorer:
