@@ -127,8 +127,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     pairs = near.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.least(F.count_distinct("line"), F.count_distinct("pair")).alias("seen"))
     sizes = pairs.groupBy("entity").agg(F.sum("both").alias("context"))
     pairs = written(pairs.where((F.col("seen") >= support) & (F.length("term") >= LETTERS)).join(sizes, "entity"), "pairs")
-    every = d.select(F.explode(words_of(text)).alias("term"))
-    counts = every.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("times"))
+    # counted before the join: a task shuffles a row for each of its words, and the join gives one for each term
+    counts = d.select(F.explode(words_of(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
     total = written(d.agg(F.sum(F.size(words_of(text)).cast("long")).alias("total")), "total").scalar()
     counted = pairs.join(counts, "term").withColumn("total", total)
     counted = counted.withColumn("information", -F.log2(F.col("context") / F.col("total"))).withColumn("revealed", F.log2(F.col("both") * F.col("total") / (F.col("context") * F.col("times"))))
