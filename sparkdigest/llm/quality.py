@@ -39,8 +39,9 @@ def repeated_words(words: Column) -> Column:
     """
 
     def by_order(w: Column) -> Column:
-        h = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.struct(F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)).alias("h"), F.hash(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)).alias("g"), i.alias("i")))
-        return F.when(F.size(F.array_distinct(F.transform(h, lambda x: x["h"]))) == F.size(h), F.lit(0).cast("long")).otherwise(let(F.sort_array(h), covered))
+        starts = F.sequence(F.lit(0), F.size(w) - 3)
+        key = lambda h, i: h(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+        return let(F.transform(starts, lambda i: key(F.xxhash64, i)), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), key(F.hash, i).alias("g"), i.alias("i")))), covered)))
 
     def covered(s: Column) -> Column:
         same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["g"] == y["g"]), F.lit(False))
@@ -73,24 +74,53 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shapes_of(text: Column) -> Column:
-    """The words' shapes: runs of capitals, small letters and digits become one sign each."""
-    for pattern, sign in ((r"\p{Lu}+", "A"), (r"[\p{L}&&[^A]]+", "a"), (r"\p{N}+", "9")):
+    """The words' shapes: runs of small or caseless letters, capitals and digits become one sign each.
+
+    The small letters go first: what the later patterns read is then a fraction of the text.
+    """
+    for pattern, sign in ((r"[\p{Ll}\p{Lo}]+", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "9")):
         text = F.regexp_replace(text, pattern, sign)
     return words_of(text)
 
 
+def _bucket(kind: int, *parts: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(kind), *parts), F.lit(BUCKETS)).cast("int")
+
+
+def _at(w: Column, s: Column, x: Column, i: Column) -> tuple[Column, Column, Column]:
+    """Buckets of word i of w, of it and the next, and of their shapes in s and whether they are equal."""
+    after = F.get(w, i + 1)
+    return _bucket(1, x), _bucket(2, x, after), _bucket(3, F.get(s, i), F.get(s, i + 1), x == after)
+
+
+def _with_shapes(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    return let(F.struct(words_of(text).alias("w"), shapes_of(text).alias("s")), lambda v: body(v["w"], v["s"]))
+
+
 def grams(text: Column) -> Column:
     """Buckets of a text's n-grams: words, pairs of words, and pairs of word shapes that say if the words are equal."""
-    bucket = lambda kind, *parts: F.pmod(F.xxhash64(F.lit(kind), *parts), F.lit(BUCKETS)).cast("int")
 
-    def of(w: Column) -> Column:
-        after = lambda x: F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))
-        before = lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))
-        shaped = F.arrays_zip(w.alias("w"), shapes_of(text).alias("s"))
-        pairs = let(shaped, lambda z: F.zip_with(before(z), after(z), lambda x, y: bucket(3, F.coalesce(x["s"], F.lit("")), F.coalesce(y["s"], F.lit("")), x["w"] == y["w"])))
-        return F.concat(F.transform(w, lambda x: bucket(1, x)), F.zip_with(before(w), after(w), lambda x, y: bucket(2, x, y)), pairs)
+    def of(w: Column, s: Column) -> Column:
+        pairs = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
+        return F.concat(F.transform(w, lambda x, i: _at(w, s, x, i)[0]), F.transform(pairs, lambda x, i: _at(w, s, x, i)[1]), F.transform(pairs, lambda x, i: _at(w, s, x, i)[2]))
+
+    return _with_shapes(text, of)
+
+
+def mean_ratio(text: Column, ratios: Column) -> Column:
+    """Mean of a text's n-grams' log ratios, 0 without words."""
+
+    def of(w: Column, s: Column) -> Column:
+        n = F.size(w)
+
+        def worth(x: Column, i: Column) -> Column:
+            one, two, three = (F.get(ratios, b) for b in _at(w, s, x, i))
+            return one + F.when(i + 1 < n, two + three).otherwise(0.0)
+
+        total = F.aggregate(F.transform(w, worth), F.lit(0.0), lambda a, v: a + v)
+        return total / F.greatest(3 * n - 2, F.lit(1))
 
-    return let(words_of(text), of)
+    return _with_shapes(text, of)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,7 +133,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     some = pick(trusted, id_col).toDF("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).withColumn("good", F.lit(1))
     d = pick(docs, id_col, text_col).toDF("doc_id", "text").join(F.broadcast(some), "doc_id", "left")
     each = d.select("good", F.explode(grams(F.coalesce("text", F.lit("")))).alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
+    counts = written(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")), "counts")
     sums = counts.select(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     share = F.col("raw") / F.col("all_raw")
@@ -121,6 +151,5 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     """
     ratios = written(log_ratios(docs, trusted, id_col, text_col), "ratios").scalar()
     found = rules(docs, id_col, text_col).withColumn("ratios", ratios)
-    score = let(grams(F.col("text")), lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get("ratios", x)) / F.greatest(F.size(g), F.lit(1)))
-    found = found.withColumn("score", score).drop("text", "ratios")
+    found = found.withColumn("score", mean_ratio(F.col("text"), F.col("ratios"))).drop("text", "ratios")
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
