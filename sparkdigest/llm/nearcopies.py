@@ -1,0 +1,137 @@
+"""Near copies by the Jaccard similarity of five-word shingles: MinHash candidates, each verified on whole shingle sets."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkdigest.llm.common import Rolling, mixed, pick, raw, text_batches, written
+from sparkdigest.llm.components import components
+
+#: Words of a shingle.
+SHINGLE = 5
+#: Two texts are near copies if their shingle sets' Jaccard similarity is at least NEAR[0] / NEAR[1].
+NEAR = (4, 5)
+#: A signature has BANDS keys of ROWS minima each; a pair at similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS.
+BANDS, ROWS = 20, 4
+#: Rounds in which a class is compared with one of its members at a time, before all pairs that are still apart.
+ROUNDS = 5
+
+_rolling = Rolling(5)
+_rng = np.random.Generator(np.random.PCG64(5))
+_ODD = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_ADD = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles: the words' run if there are fewer, none without words."""
+    words = _rolling.words(raw(text).lower())[0]
+    return np.unique(_rolling.windows(words, min(SHINGLE, len(words)))) if len(words) else np.empty(0, np.uint64)
+
+
+def keys(grams: np.ndarray) -> np.ndarray:
+    """One key for each band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), 4096):
+        least = np.minimum(least, mixed(grams[None, at : at + 4096] * _ODD[:, None] + _ADD[:, None]).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), 7) for row in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
+
+
+def _signatures(rows: DataFrame) -> DataFrame:
+    """(rid, doc_id, sid, n, keys) of rows(rid, doc_id, text): sid names the shingle set, n is its size."""
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t) for t in b.column(2).to_pylist()]
+            sid = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            n = pa.array([len(s) for s in sets], pa.int32())
+            found = pa.array([keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sid, n, found], ["rid", "doc_id", "sid", "n", "keys"])
+
+    return rows.mapInArrow(run, f"rid bigint, doc_id {kind}, sid binary, n int, keys array<bigint>")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """(sid, grams) of rows(sid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = pa.array([shingles(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), grams], ["sid", "grams"])
+
+    return rows.mapInArrow(run, "sid binary, grams array<bigint>")
+
+
+def _may(x: str, y: str):
+    """Sizes that a pair of near copies can have."""
+    return (F.least(x, y) * NEAR[1]) >= (F.greatest(x, y) * NEAR[0])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) that are near copies by their whole sets."""
+    both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
+    shared = F.size(F.array_intersect("x", "y"))
+    return written(both.where(shared * NEAR[1] >= (F.size("x") + F.size("y") - shared) * NEAR[0]).select("a", "b"), "verified")
+
+
+def _live(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members with their roots, of the classes that hold more than one root."""
+    now = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    apart = now.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
+    return written(now.join(apart, ["band", "key"]), "live")
+
+
+def set_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of the components of all verified pairs that share a class of members(band, key, sid, n).
+
+    A class is first compared with one of its members a round, which puts large groups of near copies together without
+    their pairs. Then every pair of a class whose sides are still apart is compared, so that the components are those
+    of all pairs: what is skipped is joined already.
+    """
+    spark = members.sparkSession
+    links = spark.createDataFrame([], "a binary, b binary")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    live = members.withColumn("root", F.col("sid"))
+    for k in range(ROUNDS):
+        one = live.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "sid").alias("h"), F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))).alias("p")).select("band", "key", "p.*")
+        pairs = live.join(one, ["band", "key"]).where(F.col("root") != F.col("root_b")).where(_may("n", "n_b")).select(F.col("sid").alias("a"), "b").distinct()
+        new = _verified(pairs, sets)
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        roots = written(components(links), "roots")
+        live = _live(members, roots)
+    counts = live.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.groupBy("band", "key").agg(F.max(F.struct("c", "root")).alias("most")).select("band", "key", F.col("most.root").alias("most"))
+    marked = written(live.join(most, ["band", "key"]), "marked")
+    right = marked.select("band", "key", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    apart = (F.col("root") != F.col("root_b")) & ((F.col("root_b") == F.col("most")) | (F.col("root") < F.col("root_b")))
+    rest = marked.where("root <> most").join(right, ["band", "key"]).where(apart & _may("n", "n_b")).select(F.col("sid").alias("a"), "b").distinct()
+    return components(links.union(_verified(rest, sets)))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every row; component_id is the smallest id that near copies reach.
+
+    Texts are compared in lower case (ASCII). Texts with equal sets are compared once; those without words are equal. A null id takes its class's
+    smallest id; a class of null ids alone has a null class. Further columns are ignored.
+    """
+    text_batches(docs.sparkSession)
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
+    found = written(_signatures(rows), "signatures")
+    distinct = found.groupBy("sid").agg(F.min("doc_id").alias("first"), F.min(F.struct("rid", "n", "keys")).alias("s"))
+    each = distinct.select("sid", "s.rid", "s.n", F.posexplode("s.keys").alias("band", "key"))
+    many = each.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "key")
+    members = written(each.join(many, ["band", "key"]), "classes")
+    wanted = members.select("sid", "rid").distinct()
+    sets = written(_sets(rows.join(wanted, "rid").select("sid", "text")).dropDuplicates(["sid"]), "sets")
+    roots = set_links(members.select("band", "key", "sid", "n"), sets).withColumnRenamed("node", "sid")
+    classes = distinct.select("sid", "first").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    return found.join(classes.join(smallest, "root").select("sid", "component_id"), "sid").select("doc_id", "component_id")

@@ -121,7 +121,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows that repeat an id count as one document, of which the first by a hash of its text stays. Rows without an id
     can't be told apart from others by it and all stay.
     """
-    found = written(near_duplicates(docs, id_col, text_col), "near")
+    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """keep_one() by the classes of found(doc_id, component_id)."""
+    found = written(found, "near")
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("id_")).distinct()
     out = docs.join(kept, docs[id_col] == F.col("id_"), "left_semi")
     if not found.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
