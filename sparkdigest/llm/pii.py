@@ -22,10 +22,8 @@ PATTERNS = {
 TERM = "term"
 #: Share of an entity's information that a term may give away: at this share or more it goes.
 DISCLOSURE = 0.9
-#: Different lines, and different surroundings (word before, word after), that a term must share with an entity.
+#: Different lines, and different surroundings (word before, word after), of a term in an entity's documents.
 SUPPORT = 3
-#: Shorter terms aren't held against an entity.
-LETTERS = 4
 
 _SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
@@ -80,35 +78,44 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
+#: What entities of a kind have in common besides it: an email's domain, an address's network, a card's issuer, a number's region.
+POOLS = {"email": (r"^.*@", ""), "ip": (r"\.[0-9]+$", ""), "card": (r"^([0-9]{6}).*$", "$1"), "phone": (r"^([0-9]{4}).*$", "$1")}
+
+
+def _pooled(span: Column) -> Column:
+    """The names under which an entity counts: its value, its pool and its kind."""
+    kind, value = span["kind"], F.lower(span["value"])
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    pool = F.coalesce(*[F.when(kind == k, F.regexp_replace(value if k in ("email", "ip") else digits, *how)) for k, how in POOLS.items()])
+    return F.array(F.concat_ws(":", kind, value), F.concat_ws("~", kind, pool), kind)
+
+
 def _contexts(found: DataFrame) -> DataFrame:
-    """(rid, doc_id, entity, line) of each protected entity: the line around it, with its place in the text."""
-    spans = found.where("size(spans) > 0").select("rid", "doc_id", F.explode("spans").alias("s"), "lines")
-    line = F.filter("lines", lambda x: (x["start"] <= F.col("s.start")) & (F.col("s.start") < x["start"] + F.length(x["line"]) + 1))
-    return spans.select("rid", "doc_id", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.explode(F.slice(line, 1, 1)).alias("l"), F.col("s.value").alias("value"))
+    """(uid, entities, values, text) of each row with protected entities: the whole text is their context."""
+    return found.where("size(spans) > 0").select("uid", F.array_distinct(F.flatten(F.transform("spans", _pooled))).alias("entities"), F.array_distinct(F.transform("spans", lambda s: s["value"])).alias("values"), "text")
 
 
-def _lines(text: Column, spans: Column) -> Column:
-    """The lines that hold a span, with their places."""
+def _lines(text: Column, terms: Column) -> Column:
+    """The lines that hold a term, with their places."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("all"))
 
     def step(a: Column, line: Column) -> Column:
         end = a["at"] + F.length(line)
-        holds = F.exists(spans, lambda s: (s["start"] >= a["at"]) & (s["start"] <= end))
-        return F.struct((end + 1).alias("at"), F.when(holds, F.concat(a["all"], F.array(F.struct(a["at"].alias("start"), line.alias("line"))))).otherwise(a["all"]).alias("all"))
+        return F.struct((end + 1).alias("at"), F.when(F.arrays_overlap(words_of(line), terms), F.concat(a["all"], F.array(F.struct(a["at"].alias("start"), line.alias("line"))))).otherwise(a["all"]).alias("all"))
 
-    return F.when(F.size(spans) == 0, start["all"]).otherwise(F.aggregate(F.split(text, "\n"), start, step)["all"])
+    return F.aggregate(F.split(text, "\n"), start, step)["all"]
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(rid, doc_id, email, ip, card, phone, terms) of every row: arrays of spans of the whole text.
 
     rid names the row's id and text. The four kinds are the valid matches of PATTERNS. terms are words that reveal a
-    protected entity (a distinct value of the four kinds). Let a token of the corpus be in the entity's context if it is
-    in a line with it: the entity's information is -log2 p(in context), what a term reveals of it is the pointwise
-    mutual information log2 p(term, context) / (p(term) p(context)), both counted over all tokens of all rows. A term that
-    reveals at least `disclosure` of the information is a span wherever it stands in the entity's context, if it was
-    seen there in at least `support` different lines and between as many different pairs of words: copies of a line or
-    of a passage are one witness, not many.
+    protected entity. An entity is a value of the four kinds, and also its pool (POOLS) and its kind, so that values
+    that stand in one document alone are judged together. Its context is every document that holds it: its information
+    is -log2 p(context), what a term reveals of it is the pointwise mutual information log2 p(term, context) / (p(term)
+    p(context)), both counted over documents. A term that reveals at least `disclosure` of the information is a span
+    wherever it stands in a document of the entity, if it was seen in at least `support` different lines and between as
+    many different pairs of words of the context: copies of a line or of a passage are one witness, not many.
 
     Null text counts as empty. Null ids, repeated rows and empty tables pass through; further columns are ignored.
     """
@@ -116,31 +123,41 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     text = F.col("text")
     based = d.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", text, F.struct(*[v.alias(k) for k, v in base_spans(text).items()]).alias("b"))
     based = based.select("rid", "doc_id", "text", let(F.col("b"), lambda b: F.struct(b.alias("b"), F.concat(*[b[k] for k in PATTERNS]).alias("spans"))).alias("b"))
-    found = based.select("rid", "doc_id", "b.b.*", "b.spans", let(F.col("b.spans"), lambda s: _lines(text, s)).alias("lines"))
-    found = written(found, "spans")
-
-    tokens = let(words_of(F.col("l.line")), lambda w: F.transform(w, lambda x, k: F.struct(x.alias("term"), F.coalesce(F.get(w, k - 1), F.lit("")).alias("before"), F.coalesce(F.get(w, k + 1), F.lit("")).alias("after"))))
-    near = _contexts(found).select("rid", "entity", "l", "value", F.explode(tokens).alias("t")).select("rid", "entity", "l", "value", "t.*")
-    near = near.where(~F.contains("value", "term") & ~F.contains("term", "value"))
-    # summed by line and surroundings first: copies of a line, however many, then are one row
-    near = near.groupBy("entity", "term", F.xxhash64("l.line").alias("line"), F.xxhash64("before", "after").alias("pair")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = near.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.least(F.count_distinct("line"), F.count_distinct("pair")).alias("seen"))
-    sizes = pairs.groupBy("entity").agg(F.sum("both").alias("context"))
-    pairs = written(pairs.where((F.col("seen") >= support) & (F.length("term") >= LETTERS)).join(sizes, "entity"), "pairs")
-    # counted before the join: a task shuffles a row for each of its words, and the join gives one for each term
-    counts = d.select(F.explode(words_of(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
-    total = written(d.agg(F.sum(F.size(words_of(text)).cast("long")).alias("total")), "total").scalar()
-    counted = pairs.join(counts, "term").withColumn("total", total)
+    found = written(based.select(F.monotonically_increasing_id().alias("uid"), "rid", "doc_id", "b.b.*", "b.spans", F.when(F.size("b.spans") > 0, text).alias("text")), "spans")
+
+    tokens = let(words_of(F.col("line")), lambda w: F.transform(w, lambda x, k: F.struct(x.alias("term"), F.coalesce(F.get(w, k - 1), F.lit("")).alias("before"), F.coalesce(F.get(w, k + 1), F.lit("")).alias("after"))))
+    held = _contexts(found)
+    # counted before any join: a task shuffles a row for each of its words
+    counts = d.select(F.explode(F.array_distinct(words_of(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
+    total = written(d.agg(F.count(F.lit(1)).alias("total")), "total").scalar()
+    # What no term of an entity can lack: `support` places in documents with entities, and p(context | term) of at least
+    # p(context) ** (1 - disclosure), which is least for one document. Only such terms meet single entities.
+    inside = held.select(F.explode(F.array_distinct(words_of(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("inside"))
+    often = held.select(F.explode(words_of(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") >= support)
+    least = F.pow(total.cast("double"), F.lit(disclosure - 1.0)) * F.col("times") * (1 - 1e-9)
+    may = written(often.join(inside, "term").join(counts, "term").where(F.col("inside") >= least).select("term", "times"), "may")
+    some = held.select("uid", F.explode(F.array_distinct(words_of(text))).alias("term")).join(may, "term").groupBy("uid").agg(F.collect_list("term").alias("some"))
+    held = written(held.join(some, "uid"), "held")
+
+    near = held.select("uid", "entities", "values", "some", F.explode(F.split("text", "\n")).alias("line")).select("uid", "entities", "values", F.xxhash64("line").alias("line"), F.explode(F.filter(tokens, lambda t: F.array_contains("some", t["term"]))).alias("t"))
+    near = near.where(~F.exists("values", lambda v: F.contains(v, F.col("t.term")) | F.contains(F.col("t.term"), v)))
+    near = near.select("uid", "line", "t.term", F.xxhash64("t.before", "t.after").alias("pair"), F.explode("entities").alias("entity"))
+    # witnesses first: copies of a line, however many, then are one row
+    seen = near.groupBy("entity", "term", "line", "pair").agg(F.lit(1).alias("n")).groupBy("entity", "term").agg(F.least(F.count_distinct("line"), F.count_distinct("pair")).alias("seen")).where(F.col("seen") >= support)
+    both = near.select("uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    sizes = _contexts(found).select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("context"))
+    pairs = written(both.join(seen, ["entity", "term"]).join(sizes, "entity"), "pairs")
+    counted = pairs.join(may, "term").withColumn("total", total)
     counted = counted.withColumn("information", -F.log2(F.col("context") / F.col("total"))).withColumn("revealed", F.log2(F.col("both") * F.col("total") / (F.col("context") * F.col("times"))))
     bad = written(counted.where((F.col("information") > 0) & (F.col("revealed") >= F.lit(disclosure) * F.col("information"))).select("entity", "term"), "disclosing")
 
-    lines = _contexts(found).select("rid", "entity", "l").distinct()
-    held = lines.select("rid", "entity", "l", F.explode(F.array_distinct(words_of(F.col("l.line")))).alias("term")).join(bad, ["entity", "term"]).select("rid", "l", "term").distinct()
-    spans = held.groupBy("rid", "l").agg(F.collect_set("term").alias("terms"))
+    words = held.select("uid", "entities", F.explode("some").alias("term"))
+    terms = words.select("uid", "term", F.explode("entities").alias("entity")).join(bad, ["entity", "term"]).groupBy("uid").agg(F.collect_set("term").alias("terms"))
+    lines = held.join(terms, "uid").select("uid", "terms", F.explode(_lines(text, F.col("terms"))).alias("l"))
     at = F.filter(places(F.col("l.line"), r"[^\x20\x09-\x0D]+", TERM), lambda s: F.array_contains("terms", s["value"]))
-    spans = spans.select("rid", F.transform(at, lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + F.col("l.start")).alias("start"), (s["end"] + F.col("l.start")).alias("end"), s["value"].alias("value"))).alias("s"))
-    spans = written(spans.groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("terms")), "terms")
-    return found.join(spans, "rid", "left").select("rid", "doc_id", *PATTERNS, F.coalesce("terms", F.array().cast(f"array<{_SPAN}>")).alias("terms"))
+    spans = lines.select("uid", F.transform(at, lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + F.col("l.start")).alias("start"), (s["end"] + F.col("l.start")).alias("end"), s["value"].alias("value"))).alias("s"))
+    spans = written(spans.groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("terms")), "terms")
+    return found.join(spans, "uid", "left").select("rid", "doc_id", *PATTERNS, F.coalesce("terms", F.array().cast(f"array<{_SPAN}>")).alias("terms"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:

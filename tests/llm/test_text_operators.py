@@ -98,6 +98,16 @@ def test_terms_that_reveal_an_entity_go(spark):
     assert all("Quirkle" in out[k] for k in range(300, 310)) and all(out[k] == rows[k] for k in range(300) if k % 30)
 
 
+def test_terms_of_entities_that_stand_in_one_document(spark):
+    rng = random.Random(2)
+    words = "alpha beta gamma delta epsilon zeta theta lambda sigma omega kappa tau upsilon".split()
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [f"{say(5)} Vex {say(3)}\n{say(3)} user{k}@quorn.example.org {say(3)}" if k % 30 == 0 else say(30) for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all(out[k] == re.sub(r"user\d+@\S+", "[EMAIL]", rows[k]).replace("Vex", "[TERM]") for k in range(300))
+
+
 # ---- search -----------------------------------------------------------------------------------------------------
 
 
