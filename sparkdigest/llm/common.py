@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that holds whole texts: bounds what a Python worker holds at once.
+#: Rows of whole texts that a Python worker works on at once; Spark bounds the bytes of the batches that they come in.
 TEXT_BATCH = 256
 
 
@@ -18,10 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Keep Arrow batches small: whole texts may be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small(batches: Iterable[pa.RecordBatch], rows: int = TEXT_BATCH) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, which share their memory."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -30,19 +34,30 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where unset on a local master (tests) a temporary one."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkdigest-"))
         where = sc.getCheckpointDir()
     return where
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A folder of this application in the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it again. It survives lost executors."""
+    """Cut the lineage: write df as a table in the shared folder and read it again. It survives lost executors, and is
+    removed at the end of the application."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,6 +75,8 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed by XXH3: a polynomial modulo a power of two fails on some words of 512 letters or more.
+_LONG_WORD = 64
 #: Bytes hashed in one go; longer texts are cut at white space.
 _PIECE = 1 << 21
 
@@ -79,6 +96,7 @@ class Rolling:
     """
 
     def __init__(self, seed: int):
+        self.seed = seed
         rng = np.random.Generator(np.random.PCG64(seed))
         self.of_byte = rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
         self.base = int(rng.integers(1, 2**62)) * 8 + 5
@@ -103,7 +121,10 @@ class Rolling:
         sums = np.empty(len(a) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(self.of_byte[a] * self.up[: len(a)], out=sums[1:])
-        return mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _GOLD), start, end
+        h = mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _GOLD)
+        for k in np.flatnonzero(end - start > _LONG_WORD):
+            h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]], self.seed)
+        return h, start, end
 
     def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, start and end (bytes) of each word of data."""

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkdigest.llm.common import pick, text_batches
+from sparkdigest.llm.common import pick, small
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -230,12 +230,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Pages are independent, so nothing is shuffled. Null html counts as empty; null ids and urls, repeated rows and empty
     tables pass through; further columns are ignored.
     """
-    text_batches(pages.sparkSession)
     rows = pick(pages, id_col, url_col, html_col).toDF("page_id", "url", "html")
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             text = [main_text(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

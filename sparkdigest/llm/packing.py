@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import partitions, pick, text_batches, written
+from sparkdigest.llm.common import partitions, pick, small, written
 from sparkdigest.llm.tokens import encoding, ids_of
 
 
@@ -19,13 +19,12 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int = 0, id_col: str =
 
     Only longer documents are cut, into pieces of `size` ids of which the first takes the remainder.
     """
-    text_batches(docs.sparkSession)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        for b in batches:
+        for b in small(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 ids = np.append(ids_of(text, enc), np.array([end_id], "<u4"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import pick, raw, text_batches, written
+from sparkdigest.llm.common import pick, raw, small, written
 from sparkdigest.llm.components import components
 
 #: Links join fingerprints at so many differing bits or fewer.
@@ -44,12 +44,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long. Whole texts, one pass, no shuffle."""
-    text_batches(docs.sparkSession)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 

@@ -14,7 +14,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from sparkdigest.llm.common import pick, text_batches
+from sparkdigest.llm.common import pick, small
 
 #: Longer texts are cut before they are encoded.
 LONG = 1 << 16
@@ -81,13 +81,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     decoded=True the ids are turned back to bytes. Null and empty texts have no ids; null ids, repeated rows and empty
     tables pass through; further columns are ignored.
     """
-    text_batches(docs.sparkSession)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        for b in batches:
+        for b in small(batches):
             ids = [ids_of(t, enc) for t in b.column(1).to_pylist()]
             cols = [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
             if decoded:
@@ -100,13 +99,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, decoded) of every row of encode(): the raw bytes, which need not be valid UTF-8 for cut ids. Null ids
     give no bytes."""
-    text_batches(tokens.sparkSession)
     rows = pick(tokens, id_col, ids_col).toDF("doc_id", "ids")
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        for b in batches:
+        for b in small(batches):
             out = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
 

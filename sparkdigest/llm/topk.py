@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import partitions, pick, text_batches, written
+from sparkdigest.llm.common import partitions, pick, written
 
 #: Candidates of a block and queries of a block: what a task holds at once.
 CANDIDATES, QUERIES = 4096, 256
@@ -122,7 +122,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, i
     ids, take no part. Repeated rows count once. Fewer than k candidates are all returned; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    text_batches(spark, 16)
     rows = quantised(vectors, id_col, vec_col, scale).distinct()
     rows = written(rows, "vectors")
     counts = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(is_query).alias("asked")).first()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import pick, text_batches
+from sparkdigest.llm.common import pick, small
 
 #: Letters of a subsequence, and how far apart its first and last letter may lie.
 ORDER, SPAN = 3, 5
@@ -265,7 +265,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (1, 0)]
     found = d.where(F.length("text") <= LONGEST).join(F.broadcast(some[0].union(some[1])), "doc_id")
-    return found.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
+    # an exchange, so that the scan and the join stay parallel and the sample alone meets in one task
+    return found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
 
 
 def held_out(id_col: str):
@@ -275,11 +276,10 @@ def held_out(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """fit() on training_rows(), whose size has a fixed bound, in one task; what comes back is the model alone."""
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic = [], []
-        for b in batches:
+        for b in small(batches):
             texts += b.column(0).to_pylist()
             toxic += b.column(1).to_pylist()
         m = fit(texts, toxic)
@@ -315,14 +315,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Texts without a string, null ones included, get the score of the bias. Null ids, repeated rows and empty tables
     pass through; further columns are ignored.
     """
-    text_batches(docs.sparkSession)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.scores(b.column(1).to_pylist()))], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, score double")
@@ -330,13 +329,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose text scores below the limit; null and empty texts score the bias and stay."""
-    text_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array(scorer.scores(b.column(at).to_pylist()) < limit))
 
     return docs.mapInArrow(run, docs.schema)
