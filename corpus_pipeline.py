@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdigest.llm import nearcopies, packing, pii, simhash, substrings, toxicity
+from sparkdigest.llm import packing, pii, simhash, substrings, toxicity, widehash
 from sparkdigest.llm.common import table, written
 
 SEQUENCE = 2048
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return simhash.keep_first(docs, nearcopies.near_copies(docs))
+    return simhash.keep_first(docs, widehash.near_copies(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

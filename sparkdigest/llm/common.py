@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of whole texts that a Python worker works on at once; Spark bounds the bytes of the batches that they come in.
@@ -72,6 +72,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def row_id(id_col: str, text_col: str) -> Column:
+    """128 bits that name an id and a text; rows that repeat both share it."""
+    return F.unhex(F.md5(F.concat_ws("\u0000", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\u0001")), F.when(F.col(f"`{text_col}`").isNull(), "0").otherwise("1"), F.col(f"`{text_col}`"))))
+
+
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _GOLD = np.uint64(0x9E3779B97F4A7C15)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import pick, written
+from sparkdigest.llm.common import pick, row_id, written
 from sparkdigest.llm.quality import let, words_of
 
 # The kinds in their order. Runs are possessive and begin where a run begins or the last match ended,
@@ -119,9 +119,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
 
     Null text counts as empty. Null ids, repeated rows and empty tables pass through; further columns are ignored.
     """
-    d = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    d = pick(docs, id_col, text_col).toDF("doc_id", "text").select(row_id("doc_id", "text").alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
-    based = d.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", text, F.struct(*[v.alias(k) for k, v in base_spans(text).items()]).alias("b"))
+    based = d.select("rid", "doc_id", text, F.struct(*[v.alias(k) for k, v in base_spans(text).items()]).alias("b"))
     based = based.select("rid", "doc_id", "text", let(F.col("b"), lambda b: F.struct(b.alias("b"), F.concat(*[b[k] for k in PATTERNS]).alias("spans"))).alias("b"))
     found = written(based.select(F.monotonically_increasing_id().alias("uid"), "rid", "doc_id", "b.b.*", "b.spans", F.when(F.size("b.spans") > 0, text).alias("text")), "spans")
 
@@ -174,10 +174,13 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """docs with every span of find() generalised to its kind; rows without one stay as they are."""
+    """docs with every span of find() generalised to its kind; rows without one stay as they are.
+
+    Null and empty texts, null ids and repeated rows stay as rows of their own; an empty table gives no rows. Columns of
+    docs may have any name.
+    """
     found = find(docs, id_col, text_col, disclosure, support)
-    held = written(found.select("rid", F.concat(*PATTERNS, "terms").alias("spans_")).where("size(spans_) > 0").dropDuplicates(["rid"]), "held")
-    rid = F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    both = docs.withColumn("rid_", rid).join(held.withColumnRenamed("rid", "rid_"), "rid_", "left")
-    text = F.col(f"`{text_col}`")
-    return both.withColumn(text_col, F.when(F.col("spans_").isNull(), text).otherwise(sanitised(text, F.col("spans_")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = written(found.select("rid", F.concat(*PATTERNS, "terms").alias("spans")).where("size(spans) > 0").dropDuplicates(["rid"]), "held")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id(id_col, text_col).alias("rid"), F.col(f"`{text_col}`").alias("text"))
+    both = rows.join(held, "rid", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(sanitised(F.col("text"), F.col("spans"))))
+    return both.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import pick, raw, small, written
+from sparkdigest.llm.common import pick, raw, row_id, small, written
 from sparkdigest.llm.components import components
 
 #: Links join fingerprints at so many differing bits or fewer.
@@ -43,16 +43,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long. Whole texts, one pass, no shuffle."""
-    rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
+    """(rid, doc_id, fp) of every row; fp is the fingerprint as a signed long, rid names id and text. Whole texts, one pass, no shuffle."""
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(row_id("doc_id", "text").alias("rid"), "doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["rid", "doc_id", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(run, f"rid binary, doc_id {kind}, fp bigint")
 
 
 def _distances(fp: str, b: int) -> list:
@@ -100,35 +100,38 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest id that links of MAX_BITS reach.
+    """(rid, doc_id, fp, class_id, component_id) of every row; component_id is the smallest id that links of MAX_BITS reach.
 
     Null text counts as empty: its fingerprint is zero and it links like any other. Repeated rows and exact copies share a
     fingerprint, which is compared once. A null id is kept and takes its class's smallest id; a class of null ids
-    alone has a null class. Further columns are ignored; an empty table gives no rows.
+    alone has a null one; class_id, its smallest fingerprint, always names it. Further columns are ignored; an empty table gives no rows.
     """
     fps = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(fingerprint_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     classes = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(classes.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(classes.join(smallest, "root").select("fp", F.col("root").alias("class_id"), "component_id"), "fp").select("rid", "doc_id", "fp", "class_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with the smallest id of their near-duplicate class.
-
-    Rows that repeat an id count as one document, of which the first by a hash of its text stays. Rows without an id
-    can't be told apart from others by it and all stay.
-    """
+    """The rows of docs, all columns, that come first in their near-duplicate class; see keep_first()."""
     return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
 
 
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """keep_one() by the classes of found(doc_id, component_id)."""
-    found = written(found, "near")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("id_")).distinct()
-    out = docs.join(kept, docs[id_col] == F.col("id_"), "left_semi")
-    if not found.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-        out = out.withColumn("row_", F.row_number().over(order)).where("row_ = 1").drop("row_")
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of docs, all columns, for each class of found(rid, doc_id, class_id): that of the smallest id, then rid.
+
+    Classes and not ids decide: texts of one id that are no near copies all stay, and null ids come last. Of repeated
+    rows (same id and text) one stays. Null and empty texts are one class. An empty table gives no rows; columns of docs
+    may have any name.
+    """
+    found = written(found.select("rid", "doc_id", "class_id"), "near")
+    first = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")).select("first.rid")
+    times = written(first.join(found.groupBy("rid").agg(F.count(F.lit(1)).alias("times")), "rid"), "first")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id(id_col, text_col).alias("rid"))
+    out = rows.join(times.where("times = 1"), "rid", "left_semi").select("row")
+    again = times.where("times > 1")
+    if not again.isEmpty():
+        out = out.union(rows.join(again, "rid", "left_semi").groupBy("rid").agg(F.first("row").alias("row")).select("row"))
+    return out.select("row.*")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline as pipeline
-from sparkdigest.llm import nearcopies
+from sparkdigest.llm import widehash
 from tests.conftest import SMALL
 
 
@@ -38,14 +38,14 @@ def test_near_copies_are_those_of_brute_force(spark):
         texts[len(texts)] = edited(rng, words, rng.randint(1, 4))
     want = brute(texts)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(df).collect()}
+    got = {r.doc_id: r.component_id for r in widehash.near_copies(df).collect()}
     assert got == want and 16 < len(set(want.values())) < len(texts) - 100
     kept = pipeline.drop_near_duplicates(spark, df, SMALL)
     assert {r.doc_id for r in kept.collect()} == set(want.values())
 
 
 def test_near_copies_of_odd_documents(spark, odd, empty):
-    rows = nearcopies.near_copies(odd).collect()
-    assert len(rows) == odd.count() and nearcopies.near_copies(empty).count() == 0
+    rows = widehash.near_copies(odd).collect()
+    assert len(rows) == odd.count() and widehash.near_copies(empty).count() == 0
     by = {r.doc_id: r.component_id for r in rows}
     assert by[1] == by[2] == by[3] == 1 and by[6] == by[7] == by[8] == 6 and by[4] == 4 and by[5] == 5
