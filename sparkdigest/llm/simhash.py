@@ -20,6 +20,8 @@ BLOCKS = 4
 WIDTH = 64 // BLOCKS
 #: Reference fingerprints for each block, besides the one of all zeros.
 PIVOTS = 12
+#: Rows up to which their names are sent to every task, 16 bytes each.
+SENT = 500_000
 #: Members of a candidate class up to which its pairs are compared one by one; larger classes go by flipped bits.
 PAIRED = 48
 
@@ -128,10 +130,14 @@ def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     """
     found = written(found.select("rid", "doc_id", "class_id"), "near")
     first = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")).select("first.rid")
-    times = written(first.join(found.groupBy("rid").agg(F.count(F.lit(1)).alias("times")), "rid"), "first")
+    times = found.groupBy("rid").agg(F.count(F.lit(1)).alias("times")).join(first.withColumn("first", F.lit(True)), "rid", "left")
+    # what goes, and rows that are repeated: few as a rule, and then no text is exchanged
+    apart = written(times.where("first is null or times > 1").select("rid", "first"), "apart")
+    n = apart.count()
+    sent = F.broadcast if n <= SENT else lambda x: x
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id(id_col, text_col).alias("rid"))
-    out = rows.join(times.where("times = 1"), "rid", "left_semi").select("row")
-    again = times.where("times > 1")
+    out = rows.join(sent(apart.select("rid")), "rid", "left_anti").select("row")
+    again = apart.where("first").select("rid")
     if not again.isEmpty():
-        out = out.union(rows.join(again, "rid", "left_semi").groupBy("rid").agg(F.first("row").alias("row")).select("row"))
+        out = out.union(rows.join(sent(again), "rid", "left_semi").groupBy("rid").agg(F.first("row").alias("row")).select("row"))
     return out.select("row.*")

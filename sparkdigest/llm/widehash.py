@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,12 @@ NEAR = (4, 5)
 BITS = 512
 #: Pairs that differ in more bits go: 3 deviations above the mean at similarity 0.8.
 RADIUS = 104
-#: Reference fingerprints in a table: a power of two; a table's nearest one is known by log2(2 * BITS) bits.
-NEAREST_BITS = 10
+#: A finer fingerprint has two more bits each, of which pairs at similarity 0.8 differ in 171 on average (deviation 11).
+LEVELS, FINE_RADIUS = (-1.0, 1.0), 200
+#: A table's reference fingerprints: TURNS Walsh matrices and their complements, so 2 * TURNS * BITS, known by NEAREST_BITS bits.
+TURNS, NEAREST_BITS = 2, 11
 #: Probability that sets at similarity 0.8 have the same nearest reference fingerprint in one table (measured).
-AGREE = 0.35
+AGREE = 0.33
 #: Share of pairs at similarity 0.8 that no key may find.
 MISSED = 0.015
 #: Reference fingerprints whose distances are kept, in steps of a SCALE-th of a deviation, and how much two may differ.
@@ -97,47 +99,46 @@ class Reader:
     def __init__(self, joined: int, keys: int):
         rng = np.random.Generator(np.random.PCG64(89))
         self.joined = joined
-        self.signs = rng.choice(np.array([-1, 1], np.float32), (1 + joined * keys, BITS))
+        self.signs = rng.choice(np.array([-1, 1], np.float32), (1 + TURNS * joined * keys, BITS))
         self.start = rng.random(keys)
         self.salt = rng.integers(1, 2**63, (keys, joined + 1), dtype=np.uint64) | np.uint64(1)
 
-    def read(self, sets: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Fingerprints as bytes, distances (n x PIVOTS, 8-bit), keys (n x keys)."""
+    def read(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints and the bits of finer ones as longs, distances (n x PIVOTS, 8-bit), keys (n x keys)."""
         m = np.array([margins(s) for s in sets]).reshape(-1, BITS)
-        fingerprint = np.packbits(m > 0, axis=1)
+        bits, fine = np.packbits(m > 0, axis=1), np.hstack([np.packbits(m > x, axis=1) for x in LEVELS])
         pivots, near = [], []
         for at in range(0, len(m), 4):  # few at once, so that they stay in the cache
             d = distances(m[at : at + 4], self.signs)
             pivots.append(np.clip(np.rint(d[:, 0, :PIVOTS] * (SCALE / math.sqrt(BITS))), -127, 127).astype(np.int8))
-            d = d[:, 1:]
+            d = d[:, 1:].reshape(len(d), -1, TURNS * BITS)
             best = np.abs(d).argmax(axis=2)
             near.append(2 * best + (np.take_along_axis(d, best[..., None], 2)[..., 0] > 0))
         near = np.concatenate(near).reshape(len(m), -1, self.joined)
         size = np.floor(np.log([len(s) for s in sets])[:, None] / math.log(SIZES) + self.start).astype(np.int64)
         parts = np.concatenate([near, size[..., None]], axis=2).astype(np.uint64)
-        return [x.tobytes() for x in fingerprint], np.concatenate(pivots), mixed((mixed(parts + self.salt) * self.salt).sum(axis=2, dtype=np.uint64)).view(np.int64)
+        return bits.view("<i8"), fine.view("<i8"), np.concatenate(pivots), mixed((mixed(parts + self.salt) * self.salt).sum(axis=2, dtype=np.uint64)).view(np.int64)
 
 
 def _signatures(rows: DataFrame, reader: Reader) -> DataFrame:
-    """(rid, doc_id, sid, n, bits, pivots, keys) of rows(rid, doc_id, text): sid names the shingle set, n is its size."""
+    """(rid, doc_id, sid, n, bits, fine, pivots, keys) of rows(rid, doc_id, text): sid names the shingle set, n is its size."""
     kind = dict(rows.dtypes)["doc_id"]
-    kinds = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int64())]
+    kinds = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             sets = [shingles(t) for t in b.column(2).to_pylist()]
             sid = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             some = [k for k, s in enumerate(sets) if len(s)]
-            bits: list = [None] * len(sets)
-            pivots: list = [None] * len(sets)
-            keys: list = [[]] * len(sets)
+            found: list[list] = [[None] * len(sets), [None] * len(sets), [None] * len(sets), [[]] * len(sets)]
             if some:
-                for k, f, p, x in zip(some, *reader.read([sets[k] for k in some]), strict=True):
-                    bits[k], pivots[k], keys[k] = np.frombuffer(f, "<i8"), p, x
-            cols = [sid, [len(s) for s in sets], bits, pivots, keys]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["rid", "doc_id", "sid", "n", "bits", "pivots", "keys"])
+                for col, values in zip(found, reader.read([sets[k] for k in some]), strict=True):
+                    for k, x in zip(some, values, strict=True):
+                        col[k] = x
+            cols = [sid, [len(s) for s in sets], *found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["rid", "doc_id", "sid", "n", "bits", "fine", "pivots", "keys"])
 
-    return rows.mapInArrow(run, f"rid binary, doc_id {kind}, sid binary, n int, bits array<bigint>, pivots array<tinyint>, keys array<bigint>")
+    return rows.mapInArrow(run, f"rid binary, doc_id {kind}, sid binary, n int, bits array<bigint>, fine array<bigint>, pivots array<tinyint>, keys array<bigint>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -151,8 +152,8 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "sid binary, grams array<bigint>")
 
 
-def _distance(x: str, y: str) -> Column:
-    return sum((F.bit_count(F.get(f"{x}.bits", F.lit(k)).bitwiseXOR(F.get(f"{y}.bits", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+def _distance(x: str, y: str, bits: int = BITS) -> Column:
+    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(bits // 64)), F.lit(0))
 
 
 def _may(x: str, y: str) -> Column:
@@ -160,7 +161,7 @@ def _may(x: str, y: str) -> Column:
     n = F.least(f"{x}.n", f"{y}.n") * NEAR[1] >= F.greatest(f"{x}.n", f"{y}.n") * NEAR[0]
     for k in range(PIVOTS):
         n = n & (F.abs(F.get(f"{x}.pivots", F.lit(k)).cast("int") - F.get(f"{y}.pivots", F.lit(k)).cast("int")) <= DIFFER)
-    return n & (_distance(x, y) <= RADIUS)
+    return n & (_distance(f"{x}.bits", f"{y}.bits") <= RADIUS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,30 +187,32 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return written(now.join(apart, "key"), "live")
 
 
-def set_links(members: DataFrame, sets_of) -> DataFrame:
+def set_links(members: DataFrame, fine: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of the components of all verified pairs that share a key in members(key, sid, s); s is (n, bits, pivots).
 
-    Each round compares every member of a key with one of them, which then has met all and leaves; each set's nearest
-    such candidate is verified. This puts large groups of near copies together without their pairs. Then every pair of a key
-    whose sides are still apart is compared, so that the components are those of all pairs: what is skipped is joined
-    already. sets_of(sids) gives the whole sets of some members.
+    Each round compares every member of a key with one of them, another one in each key, and verifies each set's nearest
+    such candidate. This puts large groups of near copies together without their pairs. Then every pair of a key whose
+    sides are still apart is compared, by fine(sid, fine), too, so that the components are those of all pairs: what is
+    skipped is joined already. sets_of(pairs) gives the whole sets of some members.
     """
     spark = members.sparkSession
     links = spark.createDataFrame([], "a binary, b binary")
     roots = spark.createDataFrame([], "node binary, root binary")
     live = members.withColumn("root", F.col("sid"))
     for k in range(ROUNDS):
-        one = live.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "sid").alias("h"), F.col("sid").alias("b"), F.col("s").alias("t"), F.col("root").alias("root_b"))).alias("p")).select("key", "p.b", "p.t", "p.root_b")
+        one = live.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "key", "sid").alias("h"), F.col("sid").alias("b"), F.col("s").alias("t"), F.col("root").alias("root_b"))).alias("p")).select("key", "p.b", "p.t", "p.root_b")
         met = live.join(one, "key").where(F.col("sid") != F.col("b"))
-        near = met.where((F.col("root") != F.col("root_b")) & _may("s", "t")).groupBy("sid").agg(F.min(F.struct(_distance("s", "t").alias("d"), "b")).alias("p"))
+        near = met.where((F.col("root") != F.col("root_b")) & _may("s", "t")).groupBy("sid").agg(F.min(F.struct(_distance("s.bits", "t.bits").alias("d"), "b")).alias("p"))
         pairs = written(_ordered(near.select(F.col("sid").alias("a"), F.col("p.b").alias("b"))), "pairs")
         if pairs.isEmpty():
             break
         links = links.union(_verified(pairs, sets_of(pairs)))
         roots = written(components(links), "roots")
         live = _rooted(live.drop("root"), roots)
-    right = live.select("key", F.col("sid").alias("b"), F.col("s").alias("t"), F.col("root").alias("root_b"))
-    rest = live.join(right, "key").where((F.col("root") < F.col("root_b")) & _may("s", "t"))
+    live = written(live.join(fine, "sid"), "apart")
+    right = live.select("key", F.col("sid").alias("b"), F.col("s").alias("t"), F.col("fine").alias("finer"), F.col("root").alias("root_b"))
+    near = _distance("s.bits", "t.bits") + _distance("fine", "finer", len(LEVELS) * BITS) <= FINE_RADIUS
+    rest = live.join(right, "key").where((F.col("root") < F.col("root_b")) & _may("s", "t") & near)
     pairs = written(_ordered(rest.select(F.col("sid").alias("a"), "b")), "pairs")
     return components(links.union(_verified(pairs, sets_of(pairs))))
 
@@ -230,7 +233,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = _signatures(rows, Reader(*tables_for(docs.count()))).withColumn("uid", F.monotonically_increasing_id())
     found = written(found, "signatures")
     distinct = found.groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("uid").alias("uid"))
-    one = written(found.join(distinct.select("uid"), "uid").select("sid", "rid", "n", "bits", "pivots", "keys"), "distinct")
+    one = written(found.join(distinct.select("uid"), "uid").select("sid", "rid", "n", "bits", "fine", "pivots", "keys"), "distinct")
     each = one.select("sid", F.explode("keys").alias("key"))
     many = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     members = written(each.join(many, "key").join(one.select("sid", F.struct("n", "bits", "pivots").alias("s")), "sid"), "members")
@@ -241,7 +244,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         held = rows.select("rid", "text").join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "rid")
         return _sets(held.select("sid", "text"))
 
-    roots = set_links(members, sets_of).withColumnRenamed("node", "sid")
+    roots = set_links(members, one.select("sid", "fine"), sets_of).withColumnRenamed("node", "sid")
     classes = distinct.select("sid", "first").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     return found.select("rid", "doc_id", "sid").join(classes.join(smallest, "root").select("sid", F.col("root").alias("class_id"), "component_id"), "sid").select("rid", "doc_id", "class_id", "component_id")
