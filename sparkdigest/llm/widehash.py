@@ -29,13 +29,13 @@ TURNS, NEAREST_BITS = 2, 11
 #: Probability that sets at similarity 0.8 have the same nearest reference fingerprint in one table (measured).
 AGREE = 0.33
 #: Share of pairs at similarity 0.8 that no key may find.
-MISSED = 0.015
+MISSED = 0.01
 #: Reference fingerprints whose distances are kept, in steps of a SCALE-th of a deviation, and how much two may differ.
 PIVOTS, SCALE, DIFFER = 16, 24, 44
 #: Sizes of sets are told apart by powers of this in a key, from another start in each.
 SIZES = 3.0
-#: Rounds in which a class is compared with one of its members, before all pairs that are still apart.
-ROUNDS = 2
+#: Rounds in which a class is compared with one of its members go on while one pair in so many is a link, at most ROUNDS.
+WORTH, ROUNDS = 10, 8
 #: Pairs up to which their ids are sent to every task, 32 bytes each.
 SENT = 500_000
 
@@ -206,9 +206,12 @@ def set_links(members: DataFrame, fine: DataFrame, sets_of: Callable[[DataFrame]
         pairs = written(_ordered(near.select(F.col("sid").alias("a"), F.col("p.b").alias("b"))), "pairs")
         if pairs.isEmpty():
             break
-        links = links.union(_verified(pairs, sets_of(pairs)))
+        new = _verified(pairs, sets_of(pairs))
+        links = links.union(new)
         roots = written(components(links), "roots")
         live = _rooted(live.drop("root"), roots)
+        if WORTH * new.count() < pairs.count():
+            break
     live = written(live.join(fine, "sid"), "apart")
     right = live.select("key", F.col("sid").alias("b"), F.col("s").alias("t"), F.col("fine").alias("finer"), F.col("root").alias("root_b"))
     near = _distance("s.bits", "t.bits") + _distance("fine", "finer", len(LEVELS) * BITS) <= FINE_RADIUS
