@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from sparkdigest.llm import simhash, widehash
 from tests.conftest import SMALL
@@ -53,7 +55,7 @@ def test_different_texts_of_one_id_stay(spark):
     say = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(60))
     one = say()
     df = spark.createDataFrame([(1, one, 0), (1, one, 0), (1, say(), 1), (1, say(), 2), (2, one, 3), (None, say(), 4), (None, None, 5), (None, "", 6)], "doc_id long, text string, row_ int")
-    df = df.withColumnRenamed("row_", "id_").withColumn("rid", df.row_).withColumn("row", df.row_)
+    df = df.withColumnRenamed("row_", "id_").withColumn("rid", F.col("id_")).withColumn("row", F.col("id_"))
     kept = simhash.keep_first(df, widehash.near_copies(df))
     assert kept.columns == df.columns and sorted(r.id_ for r in kept.collect())[:4] == [0, 1, 2, 4] and kept.count() == 5
 

@@ -244,3 +244,26 @@ def test_odd_pages(spark):
     got = sorted(((r.page_id, r.text) for r in html.extract(df).collect()), key=repr)
     assert [g for g in got if g[0] == 4] == [(4, "x & y\nz")] * 2 and len(got) == len(rows)
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_lists_are_left_when_outsiders_cannot_qualify():
+    """Skewed vectors stop early; random ones are read nearly to the end, but scores are resolved for few."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for skewed, most in ((True, 0.6), (False, 0.97)):
+        c = rng.integers(-64, 65, (3000, 16))
+        if skewed:
+            c[:40] += 400
+        q = np.abs(rng.integers(1, 65, (20, 16))) if skewed else rng.integers(-64, 65, (20, 16))
+        ids = rng.permutation(3000)
+        r, got, score, read = topk.block_topk(np.arange(5000, 5020), q, topk.Lists(ids, c), 20, np.full(20, -np.inf))
+        for row in range(20):
+            s = dict(zip(ids.tolist(), (c @ q[row]).tolist(), strict=True))
+            want = sorted(s, key=lambda i: (-s[i], i))[:20]
+            mine = [(int(i), int(x)) for k, i, x in zip(r, got, score, strict=True) if k == row]
+            assert sorted(mine, key=lambda x: (-x[1], x[0])) == [(i, s[i]) for i in want]
+        assert read < most, (skewed, read)
+        # what other blocks have reached cuts the reading short
+        floor = np.array([sorted((c @ q[row]).tolist())[-5] for row in range(20)], float)
+        assert topk.block_topk(np.arange(5000, 5020), q, topk.Lists(ids, c), 20, floor)[3] <= read
