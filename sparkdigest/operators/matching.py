@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdigest.functions.text import identity_tokens, jaccard, word_text, word_tokens
@@ -92,6 +92,21 @@ def shortlist(left: DataFrame, right: DataFrame, left_id: str = "left_id", right
     return a.join(b, "token").select(left_id, right_id).distinct()
 
 
+def nearest_pairs(rows: DataFrame, id_col: str, within: list[str], most: int) -> DataFrame:
+    """(within, left_id, right_id): pairs of rows(within, id, text) that share an identity token, left_id < right_id.
+
+    All pairs that can be among the first `most` of a group in the order of left_id, right_id: of the rows with a token, one
+    pairs with the next `most` by id only, as no more can come before `most` others. So a token that many rows have costs
+    `most` pairs a row, found by joins on a token and a stretch of `most` places.
+    """
+    each = rows.select(*within, F.col(id_col).alias("id"), F.explode(F.array_distinct(identity_tokens(F.col("text")))).alias("token"))
+    place = F.row_number().over(Window.partitionBy(*within, "token").orderBy("id"))
+    each = each.withColumn("place", place).withColumn("stretch", F.floor(F.col("place") / most))
+    right = each.select(*within, "token", F.col("id").alias("right_id"), F.col("place").alias("right_place"), F.explode(F.array("stretch", F.col("stretch") - 1)).alias("stretch"))
+    near = F.col("right_place").between(F.col("place") + 1, F.col("place") + most)
+    return each.join(right, [*within, "token", "stretch"]).where(near).select(*within, F.col("id").alias("left_id"), "right_id").distinct()
+
+
 def merge_related(entries: DataFrame, same_story: Callable[[dict, dict], bool], calls: int = 60, key: str = "digest_id") -> DataFrame:
     """(key, seq, leader_seq, phase) of every entry: the entry that absorbs it, or itself.
 

@@ -143,11 +143,10 @@ def script_check(spark, sf_dir):
 
 
 @query("""SELECT doc_id, trim(regexp_replace(replace(lower(source || ' ' || lang), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '-') AS slug, left(sha256(text), 10) AS display_id,
-  replace(left(text, 60), chr(10), '\\n') || CASE WHEN length(text) > 60 THEN '' ELSE '' END AS shown FROM documents WHERE length(text) <= 60 OR NOT contains(left(text, 60), chr(10))""")
+  left(replace(text, chr(10), '\\n'), 60) || CASE WHEN length(replace(text, chr(10), '\\n')) > 60 THEN '…' ELSE '' END AS shown FROM documents""")
 def slugs_and_hashes(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where((F.length("text") <= 60) | ~F.contains(F.left("text", F.lit(60)), F.lit("\n")))
-    shown = F.regexp_replace(text.preview(F.left("text", F.lit(60)), 80), "…$", "")
-    return docs.select("doc_id", text.slug(F.concat_ws(" ", "source", "lang")).alias("slug"), text.short_hash(F.col("text"), 10).alias("display_id"), shown.alias("shown"))
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.slug(F.concat_ws(" ", "source", "lang")).alias("slug"), text.short_hash(F.col("text"), 10).alias("display_id"), text.preview(F.col("text"), 60).alias("shown"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'zh_Hant' WHEN 1 THEN 'ZH-CN' WHEN 2 THEN 'en-GB' WHEN 3 THEN 'zh-mo' WHEN 4 THEN 'DE_at' ELSE 'fr' END AS l FROM conversations)
@@ -167,12 +166,12 @@ def event_links(spark, sf_dir):
 _ESC = r"'([\\*_~`|><#!\[\]()])', '\\\1', 'g'"
 
 
-@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F-\x9F]', '', 'g') AS t FROM documents),
-m AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(^|\n)([ \t]*)([-+]|\d+[.)])(\s)', '\1\2\\\3\4', 'g'), '(^|\n)([ \t]*)(-{{3,}})[ \t]*(\n|$)', '\1\2\\\3\4', 'g') AS t FROM t)
-SELECT doc_id, md5(regexp_replace(t, {_ESC})) AS inert_md5 FROM m WHERE NOT regexp_matches(t, '@|https?://|www\.|\n[ \t]*-') """)
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B-\x1F\x7F-\x9F\p{{Cf}}]', '', 'g') AS t FROM documents),
+l AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '@(everyone|here)\b', '＠\1', 'gi'), '<@([!&]?)(\d+)>', '<＠\1\2>', 'g'), '(^|\W)(https?)://', '\1\2[:]//', 'gi'), '(^|\W)www\.', '\1www[.]', 'gi') AS t FROM t),
+m AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^([ \t]*)([-+]|\d+[.)])(\s|#)', '\1\\\2\3', 'g'), '(?m)^([ \t]*)(-{{3,}})[ \t]*$', '\1\\\2', 'g') AS t FROM l)
+SELECT doc_id, md5(regexp_replace(t, {_ESC})) AS inert_md5 FROM m""")
 def inert_text(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"@|https?://|www\.|\n[ \t]*-"))
-    return docs.select("doc_id", F.md5(text.inert_text(F.col("text"))).alias("inert_md5"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.inert_text(F.col("text"))).alias("inert_md5"))
 
 
 @query("""SELECT doc_id, md5(trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(text, 'https?://\\S+', '', 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F]', '', 'g'), '@', '@' || chr(8203)), '`', 'ˋ'), '\\s+', ' ', 'g'))) AS cell_md5 FROM documents""")
@@ -180,10 +179,10 @@ def agenda_cells(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.agenda_cell(F.col("text"))).alias("cell_md5"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(left(text, 80), ','), lambda t: regexp_replace(trim(regexp_replace(lower(t), '\\s+', ' ', 'g')), ' ', '-', 'g')), lambda t: t <> ''), '|') AS tags,
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda t: regexp_replace(trim(regexp_replace(lower(t), '\\s+', ' ', 'g')), ' ', '-', 'g')), lambda t: t <> ''), '|') AS tags,
   coalesce(nullif(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200), ''), left(text, 200)) AS bounded FROM documents""")
 def tags_and_titles(spark, sf_dir):
-    tags = text.normalised_tags(F.split(F.left("text", F.lit(80)), ","))
+    tags = text.normalised_tags(F.split("text", ","))
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(tags, "|").alias("tags"), text.bounded_title(F.col("text")).alias("bounded"))
 
 
@@ -258,12 +257,12 @@ def mention_limit(spark, sf_dir):
     return selection.mention_limit(_sectioned(spark, sf_dir), 10, ["source"], F.col("doc_id")).select("doc_id", "source", "section")
 
 
-@query("""WITH p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, a.source FROM labels x JOIN documents a USING (doc_id) JOIN documents b ON a.source = b.source AND a.doc_id < b.doc_id AND b.doc_id <= a.doc_id + 50)
+@query(f"""WITH t AS (SELECT doc_id, source, unnest(list_distinct({_TOKENS.format('text')})) AS t FROM documents),
+p AS (SELECT DISTINCT a.doc_id AS left_id, b.doc_id AS right_id, a.source FROM t a JOIN t b ON a.source = b.source AND a.t = b.t AND a.doc_id < b.doc_id)
 SELECT left_id, right_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY left_id, right_id) AS k FROM p) WHERE k <= 60""")
 def judge_budget(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
-    left = docs.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("left_id"), "source")
-    pairs = left.join(docs.withColumnRenamed("doc_id", "right_id"), "source").where("left_id < right_id and right_id <= left_id + 50")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    pairs = matching.nearest_pairs(docs, "doc_id", ["source"], 60)
     return selection.spread_budget(pairs, 60, ["source"], F.col("left_id"), F.col("right_id")).select("left_id", "right_id")
 
 
@@ -312,7 +311,9 @@ def hn_retry(spark, sf_dir):
 SELECT feed, feed_rank, id, event_type FROM r LEFT JOIN events ON id = event_id AND event_type <> 'error'""")
 def feed_scan(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    lists = e.groupBy((F.col("user_id") % 20).alias("feed")).agg(F.to_json(F.array_sort(F.collect_list("event_id"))).alias("ids"))
+    # a feed is cut before it is listed: what is gathered for a feed is bounded
+    first = entries.numbered(e.select((F.col("user_id") % 20).alias("feed"), "event_id"), ["feed"], F.col("event_id")).where("rank <= 30")
+    lists = first.groupBy("feed").agg(F.to_json(F.array_sort(F.collect_list("event_id"))).alias("ids"))
     items = e.where("event_type <> 'error'").select(F.col("event_id").alias("id"), "event_type")
     return feeds.with_items(feeds.ranked_feed(lists, 30), items).select("feed", F.col("feed_rank").cast("long").alias("feed_rank"), "id", "event_type")
 
@@ -740,8 +741,12 @@ def shrunk_texts(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from sparkdigest import stored  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from sparkdigest import stored  # noqa: F401
+
     return dict(SQL)

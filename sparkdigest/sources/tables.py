@@ -3,56 +3,80 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkdigest.operators.state import current
 
+_MANIFEST = "name string, run_id string, version long, op_seq long"
+
+
+class Run(NamedTuple):
+    """Rows that are written but don't count yet, and the version whose folder they lie in."""
+
+    run_id: str
+    version: int
+
 
 class ChangeLog:
     """A table as a log of its changes. Writers append; a reader takes each key's latest row; compaction rewrites.
 
-    Files of a version lie in a folder of its own, and the newest manifest row names the version and run that count, so that a
-    write over several tables is whole or not there: its run is listed only when all its parts are written.
+    Files of a version lie in a folder of its own. The manifest lists the runs that count, with their version and order;
+    the newest version holds. Tables that are to change together share a manifest folder, so that one file of it lists
+    all their runs (commit_all). Of runs that two writers list under one number, the run id decides the order.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], manifest: str | None = None, name: str | None = None):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
-        self.schema = f"{schema}, op_seq long, run_id string"
-
-    def _exists(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        self.schema = f"{schema}, run_id string"
+        self.manifest_path = (manifest or f"{self.path}/manifest").rstrip("/")
+        self.name = name or self.path.rpartition("/")[2]
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
+    def _read(self, path: str, schema: str) -> DataFrame:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        return self.spark.read.schema(schema).parquet(path) if there else self.spark.createDataFrame([], schema)
 
     def manifest(self) -> DataFrame:
-        return self._read("manifest", "run_id string, version long, op_seq long")
+        return self._read(self.manifest_path, _MANIFEST).where(F.col("name") == self.name)
 
     def version(self) -> int:
         return self.manifest().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
-    def stage(self, rows: DataFrame, run_id: str | None = None) -> str:
+    def next_seq(self) -> int:
+        return self._read(self.manifest_path, _MANIFEST).agg(F.coalesce(F.max("op_seq"), F.lit(0)) + 1).first()[0]
+
+    def stage(self, rows: DataFrame, run_id: str | None = None) -> Run:
         """Write rows; they don't count until commit()."""
-        run_id = run_id or uuid.uuid4().hex
-        seq = self.manifest().agg(F.coalesce(F.max("op_seq"), F.lit(0)) + 1).first()[0]
-        rows.withColumn("op_seq", F.lit(seq).cast("long")).withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(f"{self.path}/v{self.version()}")
-        return run_id
+        run = Run(run_id or uuid.uuid4().hex, self.version())
+        rows.withColumn("run_id", F.lit(run.run_id)).write.mode("append").parquet(f"{self.path}/v{run.version}")
+        return run
+
+    def listed(self, run: Run) -> Run:
+        """The run in the folder of the newest version: if the table was compacted since, its rows are written there."""
+        version = self.version()
+        if run.version != version:
+            rows = self._read(f"{self.path}/v{run.version}", self.schema).where(F.col("run_id") == run.run_id)
+            rows.write.mode("append").parquet(f"{self.path}/v{version}")
+        return Run(run.run_id, version)
 
-    def commit(self, run_id: str) -> None:
-        m = self.manifest()
-        seq = m.agg(F.coalesce(F.max("op_seq"), F.lit(0)) + 1).first()[0]
-        self.spark.createDataFrame([(run_id, self.version(), seq)], "run_id string, version long, op_seq long").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+    def commit(self, run: Run) -> None:
+        commit_all([(self, run)])
 
     def append(self, rows: DataFrame) -> None:
         self.commit(self.stage(rows))
 
     def log(self) -> DataFrame:
+        """All rows that count, with the order of their runs as op_seq."""
         version = self.version()
-        return self._read(f"v{version}", self.schema).join(self.manifest().where(F.col("version") == version).select("run_id"), "run_id", "left_semi")
+        # a manifest has a row for each run since the last compaction
+        order = Window.orderBy("op_seq", "run_id")
+        runs = self.manifest().where(F.col("version") == version).groupBy("run_id").agg(F.min("op_seq").alias("op_seq"))
+        runs = runs.select("run_id", F.row_number().over(order).cast("long").alias("op_seq"))
+        return self._read(f"{self.path}/v{version}", self.schema).join(runs, "run_id")
 
     def rows(self) -> DataFrame:
         """The current row of each key."""
@@ -60,12 +84,22 @@ class ChangeLog:
 
     def compact(self) -> None:
         """Write the current rows as a new version and point to it; the old version stays for readers that have it open."""
-        rows, version, run_id = self.rows(), self.version() + 1, uuid.uuid4().hex
-        rows.withColumn("op_seq", F.lit(0).cast("long")).withColumn("run_id", F.lit(run_id)).write.parquet(f"{self.path}/v{version}")
-        self.spark.createDataFrame([(run_id, version, 0)], "run_id string, version long, op_seq long").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-
-
-def commit_all(staged: list[tuple[ChangeLog, str]]) -> None:
-    """List the runs of several tables, after all of them are written."""
-    for log, run_id in staged:
-        log.commit(run_id)
+        rows, run = self.rows(), Run(uuid.uuid4().hex, self.version() + 1)
+        rows.withColumn("run_id", F.lit(run.run_id)).write.parquet(f"{self.path}/v{run.version}")
+        self._list([(self.name, *run, 0)])
+
+    def _list(self, rows: list[tuple]) -> None:
+        # one partition, so one file: it is there as a whole or not at all
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(self.manifest_path)
+
+
+def commit_all(staged: Iterable[tuple[ChangeLog, Run]]) -> None:
+    """Make the runs of several tables count at once: all their rows are written before, and one file lists them."""
+    staged = list(staged)
+    if len({log.manifest_path for log, _ in staged}) > 1:
+        raise ValueError("tables that are committed together must share a manifest")
+    if staged:
+        first = staged[0][0]
+        runs = [(log.name, *log.listed(run)) for log, run in staged]
+        seq = first.next_seq()
+        first._list([(*run, seq) for run in runs])

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkdigest.operators import checks, entries, matching, records, schedule, selection, state, subscriptions
+from sparkdigest.operators import checks, entries, matching, records, schedule, selection, state, store, subscriptions
 from sparkdigest.plans import reminders
 from sparkdigest.sources import paged, schemas, tables
 from sparkdigest.streaming import reminders as stream
@@ -220,3 +220,46 @@ def test_shrinking(spark):
     rows = spark.createDataFrame([("x" * 1000, 30), ("short", 30), ("x", 0), (None, 3), ("漢" * 100, 8)], "t string, b int")
     got = [r[0] for r in rows.select(records.shrunk_to_budget("t", "b")).collect()]
     assert got[0] == "x" * 100 and got[1:4] == ["short", "", None] and got[4] == "漢" * 10
+
+
+def test_a_run_outlives_a_compaction(spark, tmp_path):
+    log = tables.ChangeLog(spark, str(tmp_path / "t"), "k int, v string", ["k"])
+    log.append(spark.createDataFrame([(1, "a")], "k int, v string"))
+    run = log.stage(spark.createDataFrame([(2, "b")], "k int, v string"))
+    log.compact()
+    log.commit(run)
+    assert sorted(map(tuple, log.rows().collect())) == [(1, "a"), (2, "b")]
+
+
+def test_tables_change_together_or_not_at_all(spark, tmp_path):
+    both = [tables.ChangeLog(spark, str(tmp_path / n), "k int, v string", ["k"], manifest=str(tmp_path / "manifest")) for n in ("a", "b")]
+    row = spark.createDataFrame([(1, "x")], "k int, v string")
+    staged = [(log, log.stage(row)) for log in both]
+    assert [log.rows().count() for log in both] == [0, 0]  # a crash here leaves nothing
+    tables.commit_all(staged)
+    assert [log.rows().count() for log in both] == [1, 1]
+    # two writers with one number: the run id decides, the same way for every reader
+    first, second = (both[0].stage(spark.createDataFrame([(1, v)], "k int, v string"), f"run-{v}") for v in ("p", "q"))
+    both[0]._list([("a", *first, 9), ("a", *second, 9)])
+    assert both[0].rows().first().v == "q"
+    with pytest.raises(ValueError, match="share a manifest"):
+        tables.commit_all([(both[0], first), (tables.ChangeLog(spark, str(tmp_path / "c"), "k int", ["k"]), first)])
+
+
+def test_mail_selectors(spark):
+    sources = spark.createDataFrame([("s", "gmail", "label:a"), ("h", "hackernews", None)], "id string, type string, gmail_query string")
+    subscriptions = sources.where("id = 's'")
+    assert store.mail_query(sources, subscriptions) == "" and store.mail_query(sources, subscriptions, query="x") == "x"
+    assert store.mail_query(sources, subscriptions, source="s") == store.mail_query(sources, subscriptions, subscription="s") == "label:a"
+    for bad, said in (({"source": "h"}, "not a Gmail"), ({"source": "z"}, "available source IDs: h, s"), ({"query": "x", "source": "s"}, "exclude")):
+        with pytest.raises(ValueError, match=said):
+            store.mail_query(sources, subscriptions, **bad)
+
+
+def test_schema_without_lengths():
+    assert store.without_max_length({"a": [{"maxLength": 3, "type": "string"}], "maxLength": 1}) == {"a": [{"type": "string"}]}
+
+
+def test_pairs_of_a_frequent_token_stay_in_proportion(spark):
+    rows = spark.createDataFrame([(k, "s", "Postgres news") for k in range(200)], "doc_id int, source string, text string")
+    assert matching.nearest_pairs(rows, "doc_id", ["source"], 5).count() == sum(min(5, 199 - k) for k in range(200))
