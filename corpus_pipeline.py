@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return simhash.keep_first(docs, widehash.near_copies(docs))
+    return simhash.keep_first(docs, lambda: widehash.near_copies(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,15 +53,38 @@ def _scratch(spark: SparkSession) -> str:
     return path
 
 
+#: Scratch tables that released() will remove, the innermost call last.
+_HELD: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again. It survives lost executors, and is
-    removed at the end of the application."""
+    removed by released() or at the end of the application."""
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    if _HELD:
+        _HELD[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """written(make(), name); then the scratch tables that make() wrote on its way are removed."""
+    held: list[str] = []
+    _HELD.append(held)
+    try:
+        out = written(make(), name)
+    finally:
+        _HELD.pop()
+    spark = out.sparkSession
+    for path in held[:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if _HELD:
+        _HELD[-1].append(held[-1])
+    return out
+
+
 def raw(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import written
+from sparkdigest.llm.common import released, written
 
 
 def _state(links: DataFrame) -> tuple:
@@ -13,6 +13,11 @@ def _state(links: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
+    """contracted(), of whose rounds nothing is left behind."""
+    return released(lambda: contracted(links), "components")
+
+
+def contracted(links: DataFrame) -> DataFrame:
     """(node, root) of each node in links(a, b); root is the smallest node that it can reach.
 
     Each round first hangs every larger neighbour of a node on the node's smallest neighbour, then every smaller one

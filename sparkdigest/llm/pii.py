@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import pick, row_id, written
+from sparkdigest.llm.common import pick, released, row_id, written
 from sparkdigest.llm.quality import let, words_of
 
 # The kinds in their order. Runs are possessive and begin where a run begins or the last match ended,
@@ -25,6 +25,9 @@ DISCLOSURE = 0.9
 #: Different lines, and different surroundings (word before, word after), of a term in an entity's documents.
 SUPPORT = 3
 
+#: Spans up to which they are sent to every task, some 60 bytes each; beyond, texts are dealt to them.
+SENT = 200_000
+
 _SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
@@ -179,8 +182,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     Null and empty texts, null ids and repeated rows stay as rows of their own; an empty table gives no rows. Columns of
     docs may have any name.
     """
-    found = find(docs, id_col, text_col, disclosure, support)
-    held = written(found.select("rid", F.concat(*PATTERNS, "terms").alias("spans")).where("size(spans) > 0").dropDuplicates(["rid"]), "held")
+    place = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    spans = F.transform(F.concat(*PATTERNS, "terms"), place)
+    held = released(lambda: find(docs, id_col, text_col, disclosure, support).select("rid", spans.alias("spans")).where("size(spans) > 0").dropDuplicates(["rid"]), "held")
+    few = (held.agg(F.sum(F.size("spans") + 1)).first()[0] or 0) <= SENT
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id(id_col, text_col).alias("rid"), F.col(f"`{text_col}`").alias("text"))
-    both = rows.join(held, "rid", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(sanitised(F.col("text"), F.col("spans"))))
+    both = rows.join(F.broadcast(held) if few else held, "rid", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(sanitised(F.col("text"), F.col("spans"))))
     return both.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import pick, raw, row_id, small, written
+from sparkdigest.llm.common import pick, raw, released, row_id, small, written
 from sparkdigest.llm.components import components
 
 #: Links join fingerprints at so many differing bits or fewer.
@@ -118,17 +118,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that come first in their near-duplicate class; see keep_first()."""
-    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+    return keep_first(docs, lambda: near_duplicates(docs, id_col, text_col), id_col, text_col)
 
 
-def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs, all columns, for each class of found(rid, doc_id, class_id): that of the smallest id, then rid.
+def keep_first(docs: DataFrame, find: Callable[[], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, all columns, for each class of find() -> (rid, doc_id, class_id): that of the smallest id, then rid.
 
     Classes and not ids decide: texts of one id that are no near copies all stay, and null ids come last. Of repeated
     rows (same id and text) one stays. Null and empty texts are one class. An empty table gives no rows; columns of docs
     may have any name.
     """
-    found = written(found.select("rid", "doc_id", "class_id"), "near")
+    found = released(lambda: find().select("rid", "doc_id", "class_id"), "near")
     first = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")).select("first.rid")
     times = found.groupBy("rid").agg(F.count(F.lit(1)).alias("times")).join(first.withColumn("first", F.lit(True)), "rid", "left")
     # what goes, and rows that are repeated: few as a rule, and then no text is exchanged

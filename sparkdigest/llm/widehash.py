@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import Rolling, mixed, pick, raw, row_id, small, written
+from sparkdigest.llm.common import Rolling, mixed, pick, raw, released, row_id, small, written
 from sparkdigest.llm.components import components
 
 #: Words of a shingle.
@@ -23,7 +23,7 @@ BITS = 512
 #: Pairs that differ in more bits go: 3 deviations above the mean at similarity 0.8.
 RADIUS = 104
 #: A finer fingerprint has two more bits each, of which pairs at similarity 0.8 differ in 171 on average (deviation 11).
-LEVELS, FINE_RADIUS = (-1.0, 1.0), 200
+LEVELS, FINE_RADIUS = (-1.0, 1.0), 190
 #: A table's reference fingerprints: TURNS Walsh matrices and their complements, so 2 * TURNS * BITS, known by NEAREST_BITS bits.
 TURNS, NEAREST_BITS = 2, 11
 #: Probability that sets at similarity 0.8 have the same nearest reference fingerprint in one table (measured).
@@ -142,14 +142,14 @@ def _signatures(rows: DataFrame, reader: Reader) -> DataFrame:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(sid, grams) of rows(sid, text); a repeated row gives the same twice."""
+    """(sid, grams) of rows(sid, text), 32 bits of each shingle's hash; a repeated row gives the same twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            grams = pa.array([shingles(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))
+            grams = pa.array([(shingles(t) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), grams], ["sid", "grams"])
 
-    return rows.mapInArrow(run, "sid binary, grams array<bigint>")
+    return rows.mapInArrow(run, "sid binary, grams array<int>")
 
 
 def _distance(x: str, y: str, bits: int = BITS) -> Column:
@@ -164,8 +164,13 @@ def _may(x: str, y: str) -> Column:
     return n & (_distance(f"{x}.bits", f"{y}.bits") <= RADIUS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs(a, b), a written table, that are near copies by their whole sets.
+def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """near_pairs(), of which no sets are left behind."""
+    return released(lambda: near_pairs(pairs, sets_of(pairs)), "verified")
+
+
+def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs(a, b), a written table, that are near copies by their whole sets, of whose shingles 32 bits are compared.
 
     Sets travel to their pairs: once each for every pair. Up to SENT pairs, these go to the sets; beyond, both are dealt
     by set.
@@ -173,7 +178,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sides = pairs.select(F.explode(F.array("a", "b")).alias("sid"), "a", "b")
     both = sets.join(F.broadcast(sides) if pairs.count() <= SENT else sides, "sid").groupBy("a", "b").agg(F.min(F.struct("sid", "grams")).alias("x"), F.max(F.struct("sid", "grams")).alias("y"))
     shared = F.size(F.array_intersect("x.grams", "y.grams"))
-    return written(both.where(shared * NEAR[1] >= (F.size("x.grams") + F.size("y.grams") - shared) * NEAR[0]).select("a", "b"), "verified")
+    return both.where(shared * NEAR[1] >= (F.size("x.grams") + F.size("y.grams") - shared) * NEAR[0]).select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -206,9 +211,9 @@ def set_links(members: DataFrame, fine: DataFrame, sets_of: Callable[[DataFrame]
         pairs = written(_ordered(near.select(F.col("sid").alias("a"), F.col("p.b").alias("b"))), "pairs")
         if pairs.isEmpty():
             break
-        new = _verified(pairs, sets_of(pairs))
+        new = _verified(pairs, sets_of)
         links = links.union(new)
-        roots = written(components(links), "roots")
+        roots = components(links)
         live = _rooted(live.drop("root"), roots)
         if WORTH * new.count() < pairs.count():
             break
@@ -217,7 +222,7 @@ def set_links(members: DataFrame, fine: DataFrame, sets_of: Callable[[DataFrame]
     near = _distance("s.bits", "t.bits") + _distance("fine", "finer", len(LEVELS) * BITS) <= FINE_RADIUS
     rest = live.join(right, "key").where((F.col("root") < F.col("root_b")) & _may("s", "t") & near)
     pairs = written(_ordered(rest.select(F.col("sid").alias("a"), "b")), "pairs")
-    return components(links.union(_verified(pairs, sets_of(pairs))))
+    return components(links.union(_verified(pairs, sets_of)))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,7 +56,7 @@ def test_different_texts_of_one_id_stay(spark):
     one = say()
     df = spark.createDataFrame([(1, one, 0), (1, one, 0), (1, say(), 1), (1, say(), 2), (2, one, 3), (None, say(), 4), (None, None, 5), (None, "", 6)], "doc_id long, text string, row_ int")
     df = df.withColumnRenamed("row_", "id_").withColumn("rid", F.col("id_")).withColumn("row", F.col("id_"))
-    kept = simhash.keep_first(df, widehash.near_copies(df))
+    kept = simhash.keep_first(df, lambda: widehash.near_copies(df))
     assert kept.columns == df.columns and sorted(r.id_ for r in kept.collect())[:4] == [0, 1, 2, 4] and kept.count() == 5
 
 
