@@ -35,7 +35,7 @@ PIVOTS, SCALE, DIFFER = 16, 24, 44
 #: Sizes of sets are told apart by powers of this in a key, from another start in each.
 SIZES = 3.0
 #: Rounds in which a class is compared with one of its members go on while one pair in so many is a link, at most ROUNDS.
-WORTH, ROUNDS = 10, 8
+WORTH, ROUNDS = 10, 3
 #: Pairs up to which their ids are sent to every task, 32 bytes each.
 SENT = 500_000
 
