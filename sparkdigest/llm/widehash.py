@@ -36,6 +36,8 @@ PIVOTS, SCALE, DIFFER = 16, 24, 44
 SIZES = 3.0
 #: Rounds in which a class is compared with one of its members go on while one pair in so many is a link, at most ROUNDS.
 WORTH, ROUNDS = 10, 3
+#: Contractions after such a round: what they leave apart is only compared once more.
+EARLY = 2
 #: Pairs up to which their ids are sent to every task, 32 bytes each.
 SENT = 500_000
 
@@ -213,7 +215,7 @@ def set_links(members: DataFrame, fine: DataFrame, sets_of: Callable[[DataFrame]
             break
         new = _verified(pairs, sets_of)
         links = links.union(new)
-        roots = components(links)
+        roots = components(links, EARLY)
         live = _rooted(live.drop("root"), roots)
         if WORTH * new.count() < pairs.count():
             break
