@@ -28,6 +28,16 @@ def small(batches: Iterable[pa.RecordBatch], rows: int = TEXT_BATCH) -> Iterator
             yield b.slice(at, rows)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run() for mapInArrow, after which the worker, which Spark keeps for later tasks, gives Arrow's free memory back."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions, which the cluster sizes to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

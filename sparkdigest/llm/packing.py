@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import partitions, pick, small, written
+from sparkdigest.llm.common import partitions, pick, small, tidy, written
 from sparkdigest.llm.tokens import encoding, ids_of
 
 
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int = 0, id_col: str =
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def match_runs(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:

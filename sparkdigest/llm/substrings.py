@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkdigest.llm.common import Rolling, partitions, raw
+from sparkdigest.llm.common import Rolling, partitions, raw, tidy
 
 #: Bytes of text in a chunk of documents, which is dealt out and looked up as one; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
@@ -84,7 +84,7 @@ def chunks(rows: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, _CHUNKS)
+    return rows.mapInArrow(tidy(run), _CHUNKS)
 
 
 class Chunk:
@@ -220,7 +220,7 @@ def _answers(asked: DataFrame, parts: int, judge: Callable[[list[list[np.ndarray
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["chunk", "part", "n", "hits"])
 
-    found = asked.repartitionById(parts, "part").mapInArrow(run, _REPLIES)
+    found = asked.repartitionById(parts, "part").mapInArrow(tidy(run), _REPLIES)
     return found.groupBy("chunk").agg(F.collect_list(F.struct("part", "n", "hits")).alias("hits"))
 
 
@@ -316,9 +316,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
                 yield _rows(parts, chunk, c.bounds, entries)
 
-    hits = _answers(dealt.mapInArrow(probes, _ENTRIES), parts, _hit)
+    hits = _answers(dealt.mapInArrow(tidy(probes), _ENTRIES), parts, _hit)
     asked = dealt.join(hits, "chunk", "left")
-    again = _answers(asked.mapInArrow(windows, _ENTRIES), parts, _later).withColumnRenamed("hits", "again")
+    again = _answers(asked.mapInArrow(tidy(windows), _ENTRIES), parts, _later).withColumnRenamed("hits", "again")
     kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield from out.combine_chunks().to_batches()
 
     schema = T._parse_datatype_string("doc_id long, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept string")
-    return asked.join(again, "chunk", "left").mapInArrow(cut, schema.add(rows.schema["others"]) if others else schema)
+    return asked.join(again, "chunk", "left").mapInArrow(tidy(cut), schema.add(rows.schema["others"]) if others else schema)
 
 
 def _kept(text: bytes, words: tuple, starts: np.ndarray | None, window: int, spaced: bool) -> tuple[int, list[list[int]], bytes]:

@@ -14,7 +14,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from sparkdigest.llm.common import pick, small
+from sparkdigest.llm.common import pick, small, tidy
 
 #: Longer texts are cut before they are encoded.
 LONG = 1 << 16
@@ -93,7 +93,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 cols.append(pa.array([enc.decode_bytes(x.tolist()) for x in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", "decoded"][: len(cols)])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -108,4 +108,4 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             out = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, decoded binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, decoded binary")

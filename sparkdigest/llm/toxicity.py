@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import pick, small
+from sparkdigest.llm.common import pick, small, tidy
 
 #: Letters of a subsequence, and how far apart its first and last letter may lie.
 ORDER, SPAN = 3, 5
@@ -286,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([m.beta.tobytes()], pa.binary()), *[pa.array([float(v)]) for v in (m.bias, m.slope, m.shift)]], ["beta", "bias", "slope", "shift"])
 
     rows = training_rows(docs, labels, id_col, text_col, label_col)
-    found = rows.mapInArrow(run, "beta binary, bias double, slope double, shift double").first()
+    found = rows.mapInArrow(tidy(run), "beta binary, bias double, slope double, shift double").first()
     if found is None:
         return fit([], [])
     return Model(np.frombuffer(found["beta"], np.float32), found["bias"], found["slope"], found["shift"])
@@ -324,7 +324,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.scores(b.column(1).to_pylist()))], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
@@ -337,4 +337,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: flo
         for b in small(batches):
             yield b.filter(pa.array(scorer.scores(b.column(at).to_pylist()) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import Rolling, mixed, pick, raw, released, row_id, small, written
+from sparkdigest.llm.common import Rolling, mixed, pick, raw, released, row_id, small, tidy, written
 from sparkdigest.llm.components import components
 
 #: Words of a shingle.
@@ -140,7 +140,7 @@ def _signatures(rows: DataFrame, reader: Reader) -> DataFrame:
             cols = [sid, [len(s) for s in sets], *found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["rid", "doc_id", "sid", "n", "bits", "fine", "pivots", "keys"])
 
-    return rows.mapInArrow(run, f"rid binary, doc_id {kind}, sid binary, n int, bits array<bigint>, fine array<bigint>, pivots array<tinyint>, keys array<bigint>")
+    return rows.mapInArrow(tidy(run), f"rid binary, doc_id {kind}, sid binary, n int, bits array<bigint>, fine array<bigint>, pivots array<tinyint>, keys array<bigint>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def _sets(rows: DataFrame) -> DataFrame:
             grams = pa.array([(shingles(t) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), grams], ["sid", "grams"])
 
-    return rows.mapInArrow(run, "sid binary, grams array<int>")
+    return rows.mapInArrow(tidy(run), "sid binary, grams array<int>")
 
 
 def _distance(x: str, y: str, bits: int = BITS) -> Column:
