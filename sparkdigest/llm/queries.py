@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdigest.llm import html, neighbours, packing, pii, quality, sharding, simhash, substrings, tokens, topk, toxicity
+from sparkdigest.llm import conversations, html, neighbours, packing, pii, quality, sharding, simhash, substrings, tokens, topk, toxicity
 from sparkdigest.llm.common import table
 
 
@@ -93,6 +93,64 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+#: Table of CRC-32 (reflected polynomial 0xEDB88320), made from its rule, for SQL without that function.
+_CRC = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS steps)"""
+
+
+def _crc32(codes: str) -> str:
+    """CRC-32 of a list of byte values, in a query that has the table crc."""
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audited(table(spark, sf_dir, "conversations"))
+
+
+def _edited(was: str, cost: str, edit: str, told: str = "[]", when: str = "true") -> str:
+    """A state's best after one more edit, in SQL."""
+    return f"CASE WHEN {was} IS NOT NULL AND {when} THEN {{'cost': {was}.cost + {cost}, 'audit': {was}.audit || '{edit}', 'told': {was}.told || {told}}} END"
+
+
+def _stays(was: str, role: str) -> str:
+    """The same for a turn that is kept or gets another role."""
+    own = _edited(was, "more", "K", "[role || ':' || text]", f"free AND initial = '{role[0]}'")
+    return own + ", " + _edited(was, "more + 1", "R", f"['{role}:' || text]", f"free AND initial <> '{role[0]}'")
+
+
+SQL["op12_conversation_repair"] = rf"""
+WITH RECURSIVE {_CRC},
+marked AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(unicode(x) AS BIGINT))")} % 20 AS d
+  FROM conversations, crc),
+rows AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM marked WHERE d <> 0),
+placed AS (SELECT conv_id, turn, role, text, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM rows),
+faults AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM placed),
+steps AS (SELECT conv_id, i, role, text, initial, coalesce(fault, '') NOT IN ('blank', 'duplicate') AS free, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM faults),
+fold AS (
+  SELECT conv_id, 0 AS i, {{'cost': 0, 'audit': '', 'told': CAST([] AS VARCHAR[])}} AS s0, CAST(NULL AS STRUCT(cost INTEGER, audit VARCHAR, told VARCHAR[])) AS s1,
+    CAST(NULL AS STRUCT(cost INTEGER, audit VARCHAR, told VARCHAR[])) AS s2, CAST(NULL AS STRUCT(cost INTEGER, audit VARCHAR, told VARCHAR[])) AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, CAST(i AS INTEGER), {_edited("s0", "2", "D")}, least({_edited("s1", "2", "D")}, {_edited("s0", "more", "K", "[role || ':' || text]", "free AND initial = 's'")}),
+    least({_edited("s2", "2", "D")}, {_stays("s0", "user")}, {_stays("s1", "user")}, {_stays("t3", "user")}),
+    least({_edited("s3", "2", "D")}, {_stays("t2", "assistant")})
+  FROM (SELECT *, least(s3, {_edited("t2", "5", "I", "['assistant:']")}) AS t3
+    FROM (SELECT steps.*, s0, s1, s2, s3, least(s2, {", ".join(_edited(x, "5", "I", "['user:']") for x in ("s0", "s1", "s3"))}) AS t2
+      FROM fold JOIN steps ON steps.conv_id IS NOT DISTINCT FROM fold.conv_id AND steps.i = fold.i + 1))),
+best AS (SELECT conv_id, arg_max(least(s0, s3), i) AS b FROM fold GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(b.cost AS BIGINT) AS cost, b.audit AS audit, sha256(array_to_string(b.told, chr(10))) AS repaired_sha256
+FROM best LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM best.conv_id"""
+
+
 def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_copies(table(spark, sf_dir, "embeddings"))
 
