@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdigest.llm import conversations, html, neighbours, packing, pii, quality, sharding, simhash, substrings, tokens, topk, toxicity
+from sparkdigest.llm import conversations, html, neighbours, packing, pii, quality, sharding, simhash, spelling, substrings, tokens, topk, toxicity
 from sparkdigest.llm.common import table
 
 
@@ -102,6 +102,31 @@ def _crc32(codes: str) -> str:
     return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: Bytes of a text of letters up to U+00FF.
+_BYTES = """flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))"""
+SQL["op11_spelling_variants"] = rf"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+small AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32(_BYTES.format("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS h FROM small, crc),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS (SELECT word, n, length(word) AS len, i, left(word, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.len = b.len AND a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.head || a.tail = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.head || a.tail = b.word),
+near AS (SELECT word, count(*) AS n_near, max(other_n) AS most FROM pairs GROUP BY word),
+best AS (SELECT pairs.word, any_value(n_near) AS n_near, any_value(most) AS most, min(other) AS other FROM pairs JOIN near ON near.word = pairs.word AND most = other_n GROUP BY pairs.word),
+forms AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN other END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n
+  FROM words LEFT JOIN best ON best.word = words.word),
+ways AS (SELECT word, word AS at, form AS next FROM forms UNION ALL SELECT ways.word, forms.word, forms.form FROM ways JOIN forms ON ways.next = forms.word)
+SELECT forms.word, forms.form, ways.at AS root, n, n_near, form_n FROM forms JOIN ways ON ways.word = forms.word AND ways.next IS NULL"""
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audited(table(spark, sf_dir, "conversations"))
 
