@@ -16,12 +16,31 @@ POINT = "struct<dateTime:string,date:string>"
 EVENT = f"calendar_id string, calendar_name string, id string, recurringEventId string, summary string, location string, start {POINT}, end {POINT}, htmlLink string, hangoutLink string, description string, entryPoints array<string>"
 
 
-def mails(raw: DataFrame, newer_than_days: int | None = None, now: str | None = None, done: DataFrame | None = None) -> DataFrame:
-    """Mails of MAIL with their instant and header map, those already labelled as done or too old left out."""
-    found = raw.withColumn("published_at", F.timestamp_millis(F.col("internalDate").cast("long"))).withColumn("headers", header_map(F.col("headers")))
+#: Labels that a mail gets when its run has ended.
+ENDED = ("Processed", "Failed")
+
+
+def mail_search(query: str, days: int, force: bool = False, labels: tuple[str, ...] = ENDED) -> str:
+    """The search that a service is asked: mails of the last days, unless forced without those that a run has ended."""
+    return " ".join([f"({query}) newer_than:{int(days)}d", *([] if force else [f'-label:"{x}"' for x in labels])])
+
+
+def mails(raw: DataFrame, newer_than_days: int | None = None, now: str | None = None, done: DataFrame | None = None, force: bool = False, labels: tuple[str, ...] = ENDED) -> DataFrame:
+    """Mails of MAIL with their instant and header map: those of the last days, and unless forced only those that neither bear
+    one of the labels nor are in done(id). Null labels are none; a null or malformed instant is too old for any number of days."""
+    found = raw
     if newer_than_days is not None:
-        found = found.where(F.col("published_at") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(newer_than_days)} DAY"))
-    return found.join(done.select("id"), "id", "left_anti") if done is not None else found
+        since = F.unix_millis(F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(newer_than_days)} DAY"))
+        found = found.where(F.expr("try_cast(internalDate AS bigint)") >= since)
+    if not force:
+        found = found.where(~F.coalesce(F.arrays_overlap("labelIds", F.array(*map(F.lit, labels))), F.lit(False)))
+        found = found.join(done.select("id"), "id", "left_anti") if done is not None else found
+    return found.withColumn("published_at", F.timestamp_millis(F.expr("try_cast(internalDate AS bigint)"))).withColumn("headers", header_map(F.col("headers")))
+
+
+def in_window(rows: DataFrame, time_min: str, time_max: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Rows that lie in [time_min, time_max) in part at least, as plain comparisons, which go to a paged source."""
+    return rows.where((F.col(end) > F.lit(time_min).cast("timestamp")) & (F.col(start) < F.lit(time_max).cast("timestamp")))
 
 
 def events(raw: DataFrame, zone: str) -> DataFrame:
