@@ -136,7 +136,7 @@ def string_list(value: Column) -> Column:
     plain = value.rlike(r'^\s*\[\s*(?:"(?:[^"\\]|\\.)*"\s*(?:,\s*"(?:[^"\\]|\\.)*"\s*)*)?\]\s*$')
     ok = value.isNull() | F.coalesce(plain & parsed.isNotNull(), F.lit(False))
     ids = F.when(value.isNull(), F.array().cast("array<string>")).when(ok, parsed)
-    return F.struct(ids.alias("ids"), F.when(~ok, "MESSAGE_IDS_CORRUPT").alias("error"))
+    return F.struct(ids.alias("ids"), F.when(~ok, "DISCORD_MESSAGE_IDS_CORRUPT").alias("error"))
 
 
 def known_code(code: Column, known: list[str], other: str) -> Column:
@@ -144,10 +144,18 @@ def known_code(code: Column, known: list[str], other: str) -> Column:
     return F.when(code.isin(known), code).otherwise(F.lit(other))
 
 
-# Codes by HTTP status.
-STATUS_CODES = {401: "UNAUTHORIZED", 403: "FORBIDDEN", 404: "NOT_FOUND", 408: "TIMEOUT", 410: "NOT_FOUND", 429: "RATE_LIMITED", 451: "FORBIDDEN"}
+# What an article's error says of its link.
+URL_CODES = {
+    "ARTICLE_URL_BLOCKED": "URL_POLICY_BLOCKED",
+    "ARTICLE_REDIRECT_BLOCKED": "URL_REDIRECT_BLOCKED",
+    "ARTICLE_FETCH_DEADLINE_EXCEEDED": "URL_RESOLUTION_DEADLINE_EXCEEDED",
+    "ARTICLE_FETCH_TIMEOUT": "URL_RESOLUTION_TIMEOUT",
+    "ARTICLE_CONTENT_TYPE_UNSUPPORTED": "URL_CONTENT_TYPE_UNSUPPORTED",
+    "ARTICLE_TOO_LARGE": "URL_METADATA_TOO_LARGE",
+}
 
 
-def status_code(status: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in STATUS_CODES.items() for x in pair])
-    return F.when(status.between(200, 299), F.lit(None).cast("string")).otherwise(F.coalesce(F.try_element_at(known, status), F.when(status >= 500, "SERVER_ERROR").otherwise("HTTP_ERROR")))
+def url_code(article_code: Column) -> Column:
+    """The code of a link whose article failed; null where nothing failed, URL_RESOLUTION_FAILED for any other code."""
+    known = F.create_map(*[F.lit(x) for pair in URL_CODES.items() for x in pair])
+    return F.when(article_code.isNotNull(), F.coalesce(F.try_element_at(known, article_code), F.lit("URL_RESOLUTION_FAILED")))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkdigest.operators.state import mark
+from sparkdigest.sources.chunk_sink import FAILED, LIMITED, LONGEST_WAIT, REFUSED, TRIES
 
-# Tries of one message, and how a status is answered.
-TRIES = 4
+#: Ids that a message about an unknown one names.
+SHOWN = 20
 # States.
 RETRIED, ENDED, OPEN = ("pending", "failed"), ("processed", "failed"), ("pending", "failed")
 
@@ -20,14 +21,20 @@ RETRIED, ENDED, OPEN = ("pending", "failed"), ("processed", "failed"), ("pending
 # ---- joins with state -------------------------------------------------------------------------------------------
 
 
+def _beside(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Both joined on key; of a column that both have, the left one's."""
+    return left.join(right.select(key, *[c for c in right.columns if c not in left.columns]), key, how)
+
+
 def with_document(items: DataFrame, documents: DataFrame, feed_state: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
-    """Items of the wanted documents (document_id) with their document and, where there is one, its feed state; newest first.
+    """Items of the wanted documents (document_id) with their document and, where there is one, its feed state; newest document
+    first. Of a column that several have, the item's holds, then the document's.
 
     The set of ids is a semi join, so it may be of any size; the limit is a top-k, which leaves `limit` rows a task.
     """
     chosen = items.join(wanted.select("document_id"), "document_id", "left_semi")
-    both = chosen.join(documents, "document_id").join(feed_state, "document_id", "left")
-    return both.orderBy(F.desc("published_at"), "document_id", "item_id").limit(limit)
+    both = _beside(_beside(chosen, documents.withColumn("published_at__", F.col("published_at")), "document_id"), feed_state, "document_id", "left")
+    return both.orderBy(F.desc("published_at__"), "document_id", "item_id").limit(limit).drop("published_at__")
 
 
 def by_external(documents: DataFrame, state: DataFrame, external: DataFrame, key: str) -> DataFrame:
@@ -36,8 +43,10 @@ def by_external(documents: DataFrame, state: DataFrame, external: DataFrame, key
 
 
 def failed_first(documents: DataFrame, state: DataFrame, limit: int, source: Column) -> DataFrame:
-    """Failed documents of a source with their state, the longest untouched first."""
-    return documents.where(source & (F.col("state") == "failed")).join(state, "document_id").orderBy("updated_at", "document_id").limit(limit)
+    """Failed documents of a source with their state, the documents that were longest untouched first; of a column that both
+    have, the document's."""
+    failed = documents.where(source & (F.col("state") == "failed"))
+    return _beside(failed, state, "document_id").orderBy("updated_at", "document_id").limit(limit)
 
 
 def to_label(documents: DataFrame, mail_state: DataFrame) -> DataFrame:
@@ -63,109 +72,146 @@ def fail(documents: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
     return both.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in documents.columns])
 
 
-def resolve(documents: DataFrame, state: DataFrame, outcomes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def _last(rows: DataFrame, keys: list[str], values: list[str], order: str | None, name: str) -> DataFrame:
+    """(keys, name): the values of each key as a struct, those of the row that comes last by order; of several last ones, or
+    without an order, the greatest, so that every run chooses the same."""
+    chosen = F.struct(*values)
+    return rows.groupBy(*keys).agg(F.max_by(chosen, F.struct(*([order] if order else []), chosen)).alias(name))
+
+
+def _with(rows: DataFrame, hit: Column, new: dict[str, Column]) -> list[Column]:
+    """The columns of rows, where hit holds with new's values, in the types that they have."""
+    return [F.when(hit, new[c].cast(rows.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns]
+
+
+def resolve(documents: DataFrame, state: DataFrame, outcomes: DataFrame, now: Column, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Both tables after outcomes(document_id, text, basis, final_url, error), to be committed together.
 
-    A text resets its document to discovered with the text's hash and length; an error fails it. The state gets the link
-    and what became of the fetch.
+    A text resets its document to discovered with the text's hash and length; an error fails it. The state gets the link,
+    what became of the fetch, and the time. Of several outcomes of a document the last by `order` (a column of outcomes)
+    counts, without one a text before an error; neither table ever gets more rows. An outcome without text or error has an empty text.
     """
-    good, bad = outcomes.where("error is null"), outcomes.where("error is not null")
-    found = good.select("document_id", F.struct("basis", F.sha2("text", 256).alias("sha"), F.length("text").alias("size")).alias("new_"))
-    both = documents.join(found, "document_id", "left")
-    new = {
-        "content_basis": F.col("new_.basis"),
-        "content_sha256": F.col("new_.sha"),
-        "content_characters": F.col("new_.size"),
-        "state": F.lit("discovered"),
-        "last_error_code": F.lit(None).cast("string"),
-        "updated_at": now,
-    }
-    reset = both.select(*[F.when(F.col("new_").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in documents.columns])
-    fetched = state.join(outcomes.select("document_id", F.struct("final_url", "error").alias("new_")), "document_id", "left")
-    status = {"final_url": F.when(F.col("new_.error").isNull(), F.col("new_.final_url")).otherwise(F.col("final_url")), "fetch_status": F.coalesce("new_.error", F.lit("fetched")), "fetched_at": now}
-    fetched = fetched.select(*[F.when(F.col("new_").isNotNull(), status[c]).otherwise(F.col(c)).alias(c) if c in status else F.col(c) for c in state.columns])
-    return fail(reset, bad.select("document_id", "error"), now), fetched
-
-
-def agenda_after(stored: DataFrame, new: DataFrame, keys: list[str], now: Column, force: bool = False) -> DataFrame:
-    """Agenda deliveries after new(keys, content): what is not there is added as pending.
-
-    What is there stays as it is, or, forced, starts anew with the new content: pending, no messages sent, no error.
+    told = outcomes.withColumn("good", F.col("error").isNull()).withColumn("text", F.coalesce("text", F.lit("")))
+    last = _last(told, ["document_id"], ["good", "text", "basis", "final_url", "error"], order, "new__")
+    good, new_ = F.col("new__.good"), F.col("new__")
+    found = {"content_basis": new_["basis"], "content_sha256": F.sha2(new_["text"], 256), "content_characters": F.length(new_["text"]), "state": F.lit("discovered"), "last_error_code": F.lit(None), "updated_at": now}
+    reset = documents.join(last, "document_id", "left").select(*_with(documents, good, found))
+    status = {"final_url": F.when(good, new_["final_url"]).otherwise(F.col("final_url")), "fetch_status": F.coalesce(new_["error"], F.lit("fetched")), "fetched_at": now, "updated_at": now}
+    fetched = state.join(last, "document_id", "left").select(*_with(state, new_.isNotNull(), status))
+    return fail(reset, last.where(~good).select("document_id", new_["error"].alias("error")), now), fetched
+
+
+def agenda_after(stored: DataFrame, new: DataFrame, keys: list[str], now: Column, force: bool = False, order: str | None = None) -> DataFrame:
+    """Agenda deliveries after new(keys, content, ...): what is not there is added as pending.
+
+    What is there stays as it is, or, forced, starts anew with the new content: pending, no messages sent, no error. Of
+    several new rows of a key the last by `order` counts.
     """
-    fresh = new.dropDuplicates(keys)
-    start = {"state": F.lit("pending"), "message_ids": F.lit(None).cast("string"), "delivered_at": F.lit(None).cast("timestamp"), "last_error_code": F.lit(None).cast("string"), "created_at": now, "updated_at": now}
-    row = lambda d: d.select(*[start[c].cast(stored.schema[c].dataType).alias(c) if c in start else F.col(c) for c in stored.columns])
-    added = row(fresh.join(stored.select(*keys), keys, "left_anti"))
+    start = {"state": F.lit("pending"), "message_ids": F.lit(None), "delivered_at": F.lit(None), "last_error_code": F.lit(None), "created_at": now, "updated_at": now}
+    wish = _last(new, keys, [c for c in new.columns if c not in keys], order, "new__")
+    given = [c for c in stored.columns if c in new.columns and c not in keys]
+    row = [start[c].cast(stored.schema[c].dataType).alias(c) if c in start else F.col(f"new__.{c}").alias(c) if c in given else F.col(c) for c in stored.columns]
+    added = wish.join(stored.select(*keys), keys, "left_anti").select(*row)
     if not force:
         return stored.unionByName(added)
-    hit = fresh.select(*keys, F.struct("content").alias("new_"))
-    again = stored.join(hit, keys, "left")
-    keep = {**start, "content": F.col("new_.content"), "created_at": F.col("created_at")}
-    return again.select(*[F.when(F.col("new_").isNotNull(), keep[c].cast(stored.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in keep else F.col(c) for c in stored.columns]).unionByName(added)
+    again = {**start, "content": F.col("new__.content"), "created_at": F.col("created_at")}
+    return stored.join(wish, keys, "left").select(*_with(stored, F.col("new__").isNotNull(), again)).unionByName(added)
+
+
+class Synced(NamedTuple):
+    """Tables after a sync; attempts also tell whether each was reset or created."""
 
+    attempts: DataFrame
+    deliveries: DataFrame
+    n_created: Column
 
-def attempts_after(stored: DataFrame, wanted: DataFrame, deliveries: DataFrame, keys: list[str], content: list[str]) -> tuple[DataFrame, DataFrame, Column]:
-    """(attempts, deliveries, created): attempts after a sync, the deliveries that stay, and an aggregate that counts what is new.
 
-    An attempt that waits or has failed and whose content differs starts anew: pending, no progress, its deliveries gone.
-    Those that have come to an end are never revived, and an equal one stays as it is.
+def attempts_after(
+    stored: DataFrame, wanted: DataFrame, deliveries: DataFrame, keys: list[str], content: list[str], destinations: list[str] | None = None, order: str | None = None, flags: tuple[str, str] = ("reset", "created")
+) -> Synced:
+    """Attempts after a sync, the deliveries that stay or are new, and an aggregate that counts the attempts that are new.
+
+    An attempt that waits or has failed and whose content differs starts anew: pending, no progress, no error, its deliveries
+    gone. Those that have come to an end are never revived, and an equal one stays as it is. Of several wishes for a key the
+    last by `order` counts. Every wanted attempt gets a pending delivery to each destination that it has none to yet.
+    `flags` names the two columns that attempts gets; stored mustn't have them.
     """
-    wish = wanted.dropDuplicates(keys)
-    both = stored.join(wish.select(*keys, F.struct(*content).alias("new_")), keys, "left")
+    reset, created = flags
+    if {reset, created} & set(stored.columns):
+        raise ValueError(f"stored attempts have a column {reset} or {created}; name other flags")
+    wish = _last(wanted, keys, content, order, "new__")
     differs = F.lit(False)
     for c in content:
-        differs = differs | ~F.col(c).eqNullSafe(F.col(f"new_.{c}"))
-    again = F.col("new_").isNotNull() & F.col("state").isin(*RETRIED) & differs
-    new = {**{c: F.col(f"new_.{c}") for c in content}, "state": F.lit("pending"), "progress": F.lit(0)}
-    kept = both.select(*[F.when(again, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in stored.columns], again.alias("reset"), F.lit(False).alias("created"))
-    added = wish.join(stored.select(*keys), keys, "left_anti").withColumns({"state": F.lit("pending"), "progress": F.lit(0)}).select(*stored.columns, F.lit(False).alias("reset"), F.lit(True).alias("created"))
-    attempts = kept.unionByName(added)
-    return attempts, deliveries.join(kept.where("reset").select(*keys), keys, "left_anti"), F.count_if(F.col("created"))
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"new__.{c}"))
+    again = F.col("new__").isNotNull() & F.col("state").isin(*RETRIED) & differs
+    start = {"state": F.lit("pending"), "progress": F.lit(0), "last_error_code": F.lit(None)}
+    fresh = {**{c: F.col(f"new__.{c}") for c in content}, **start}
+    kept = stored.join(wish, keys, "left").select(*_with(stored, again, fresh), again.alias(reset), F.lit(False).alias(created))
+    row = [F.col(c) if c in keys else fresh.get(c, F.lit(None)).cast(stored.schema[c].dataType).alias(c) for c in stored.columns]
+    added = wish.join(stored.select(*keys), keys, "left_anti").select(*row, F.lit(False).alias(reset), F.lit(True).alias(created))
+    left = deliveries.join(kept.where(reset).select(*keys), keys, "left_anti")
+    if destinations:
+        each = wish.select(*keys, F.explode(F.array(*map(F.lit, dict.fromkeys(destinations)))).alias("destination"), F.lit("pending").alias("state"))
+        new = each.join(left.select(*keys, "destination"), [*keys, "destination"], "left_anti")
+        left = left.unionByName(new.select(*[c for c in each.columns if c in left.columns]), allowMissingColumns=True)
+    return Synced(kept.unionByName(added), left, F.count_if(F.col(created)))
 
 
 # ---- sending ----------------------------------------------------------------------------------------------------
 
 
-def next_try(status: Column, attempt: Column, retry_after: Column) -> Column:
+def next_try(status: Column, attempt: Column, retry_after: Column, transport: Column | None = None) -> Column:
     """What follows a try (0, 1, ...) with an HTTP status: struct(action, wait in seconds, error).
 
-    A busy service names the wait, one second if it doesn't; a broken one is waited for twice as long each time; other
-    errors and a last try end it.
+    A busy service names the wait, which is kept within LONGEST_WAIT, one second if it names none; a broken one is waited for
+    twice as long each time; other errors and a last try end it. A bot's errors tell what is wrong with its configuration.
     """
     last = attempt >= TRIES - 1
     busy, broken = status == 429, status >= 500
     action = F.when(status < 400, "done").when((busy | broken) & ~last, "retry").otherwise("fail")
-    wait = F.when(action != "retry", 0.0).when(busy, F.coalesce(retry_after, F.lit(1.0))).otherwise(F.pow(F.lit(2.0), attempt))
-    error = F.when(action == "fail", F.when(busy, "DISCORD_RATE_LIMITED").when(broken, "DISCORD_DELIVERY_FAILED").otherwise("DISCORD_REJECTED"))
+    asked = F.greatest(F.lit(0.0), F.least(F.lit(LONGEST_WAIT), F.coalesce(retry_after, F.lit(1.0))))
+    wait = F.when(action != "retry", 0.0).when(busy, asked).otherwise(F.pow(F.lit(2.0), attempt))
+    refused = F.lit(None).cast("string")
+    if transport is not None:
+        codes = F.create_map(*[F.lit(x) for pair in REFUSED.items() for x in pair])
+        refused = F.when(transport == "bot", F.try_element_at(codes, status.cast("int")))
+    error = F.when(action == "fail", F.when(busy, LIMITED).otherwise(F.coalesce(refused, F.lit(FAILED))))
     return F.struct(action.alias("action"), wait.alias("wait"), error.alias("error"))
 
 
 def sent_progress(tries: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_sent, error) of each delivery, from its tries(keys, chunk_no, attempt, status): chunks count up to the first
-    that wasn't taken, whose last try gives the error."""
-    last = tries.groupBy(*keys, "chunk_no").agg(F.max_by(F.struct("status", "attempt"), "attempt").alias("t"))
-    done = last.select(*keys, "chunk_no", (F.col("t.status") < 400).alias("ok"), next_try(F.col("t.status"), F.lit(TRIES - 1), F.lit(None).cast("double"))["error"].alias("error"))
-    stop = done.groupBy(*keys).agg(F.min(F.when(~F.col("ok"), F.struct("chunk_no", "error"))).alias("stop"), F.max("chunk_no").alias("all"))
-    return stop.select(*keys, F.coalesce(F.col("stop.chunk_no") - 1, F.col("all")).alias("n_sent"), F.col("stop.error").alias("error"))
+    """(keys, n_sent, error) of each delivery, from its tries(keys, chunk_no, attempt, status): chunks 1, 2, ... count up to the
+    first that wasn't taken or wasn't tried; the last try of a chunk that wasn't taken gives the error."""
+    last = tries.groupBy(*keys, "chunk_no").agg(F.max_by(F.struct("status", "attempt"), F.struct("attempt", "status")).alias("t"))
+    ended = next_try(F.col("t.status"), F.lit(TRIES - 1), F.lit(None).cast("double"))
+    done = last.select(*keys, "chunk_no", (F.col("t.status") < 400).alias("ok"), ended["error"].alias("error"))
+    taken = F.count_if("ok").over(Window.partitionBy(*keys).orderBy("chunk_no"))
+    counted = done.withColumn("in_line", F.col("ok") & (F.col("chunk_no") == taken))
+    stop = F.min(F.when(~F.col("ok"), F.struct("chunk_no", "error")))
+    found = counted.groupBy(*keys).agg(F.count_if("in_line").alias("n_sent"), stop.alias("stop"))
+    return found.select(*keys, "n_sent", F.when(F.col("stop.chunk_no") == F.col("n_sent") + 1, F.col("stop.error")).alias("error"))
 
 
 # ---- choices and small things -----------------------------------------------------------------------------------
 
 
 def mail_query(sources: DataFrame, subscriptions: DataFrame, query: str | None = None, source: str | None = None, subscription: str | None = None) -> str:
-    """The mail search that one of the three selectors names; none of them means all mail."""
-    given = [x for x in (query, source, subscription) if x is not None]
-    if len(given) > 1:
-        raise ValueError("query, source and subscription exclude each other")
-    if not given or query is not None:
-        return query or ""
-    table, kind = (sources, "source") if source is not None else (subscriptions, "subscription")
-    rows = {r["id"]: r for r in table.select("id", "type", "gmail_query").limit(10_000).collect()}
-    if given[0] not in rows:
-        raise ValueError(f"unknown {kind} id {given[0]!r}; available {kind} IDs: {', '.join(sorted(rows)) or '(none)'}")
-    if rows[given[0]]["type"] != "gmail":
-        raise ValueError(f"source {given[0]!r} is not a Gmail source")
-    return rows[given[0]]["gmail_query"]
+    """The mail search that one selector stands for: a search itself, or the id of a row of sources or of subscriptions
+    (id, type, gmail_query), which Spark looks up; no selector stands for all mail. Of rows that repeat an id, the least search."""
+    selected = {k: v for k, v in {"query": query, "source": source, "subscription": subscription}.items() if v is not None}
+    if len(selected) > 1:
+        raise ValueError(f"give one of {', '.join(selected)}, not several")
+    kind, value = next(iter(selected.items()), ("query", ""))
+    if kind == "query":
+        return value
+    table = {"source": sources, "subscription": subscriptions}[kind]
+    hit = table.where(F.col("id") == value).orderBy("type", "gmail_query").first()
+    if hit is None:
+        some = [r["id"] for r in table.select("id").distinct().orderBy("id").limit(SHOWN + 1).collect()]
+        raise ValueError(f"no {kind} {value!r}; there are: {', '.join(some[:SHOWN]) or 'none'}{' ...' if len(some) > SHOWN else ''}")
+    if hit["type"] != "gmail":
+        raise ValueError(f"{kind} {value!r} doesn't read mail")
+    return hit["gmail_query"]
 
 
 def one_day_before(now: Column) -> Column:
@@ -228,8 +274,3 @@ def robots_allow(agent: str):
             yield pd.Series([s != 200 or (r := rules(t or "")) is None or r.can_fetch(agent, u or "") for s, t, u in zip(status, robots, urls, strict=True)], dtype=bool)
 
     return allowed
-
-
-def erased(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in ids, marked as reset: a state table's own way to forget without rewriting its log."""
-    return mark(rows, ids, key, state=F.lit("discovered"), attempt_count=F.lit(0))

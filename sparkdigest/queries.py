@@ -193,14 +193,17 @@ def interval_parse(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", time.offset_seconds(offsets).alias("seconds"))
 
 
-@query("""SELECT event_id, CASE s WHEN 200 THEN NULL WHEN 404 THEN 'NOT_FOUND' WHEN 429 THEN 'RATE_LIMITED' WHEN 503 THEN 'SERVER_ERROR' ELSE 'HTTP_ERROR' END AS code,
-  round(1 / (1 + exp(-value / 100)), 9) AS relevance FROM (SELECT event_id, value, [200, 404, 429, 503, 418][event_id % 5 + 1] AS s FROM events)""")
+_ARTICLE_CODES = [None, "ARTICLE_URL_BLOCKED", "ARTICLE_REDIRECT_BLOCKED", "ARTICLE_FETCH_DEADLINE_EXCEEDED", "ARTICLE_FETCH_TIMEOUT", "ARTICLE_CONTENT_TYPE_UNSUPPORTED", "ARTICLE_TOO_LARGE", "ARTICLE_HTTP_ERROR"]
+
+
+@query("""SELECT event_id, [NULL, 'URL_POLICY_BLOCKED', 'URL_REDIRECT_BLOCKED', 'URL_RESOLUTION_DEADLINE_EXCEEDED', 'URL_RESOLUTION_TIMEOUT', 'URL_CONTENT_TYPE_UNSUPPORTED', 'URL_METADATA_TOO_LARGE', 'URL_RESOLUTION_FAILED'][event_id % 8 + 1] AS code,
+  round(1 / (1 + exp(-value / 100)), 9) AS relevance FROM events""")
 def codes_and_scores(spark, sf_dir):
-    status = F.element_at(F.array(*map(F.lit, [200, 404, 429, 503, 418])), (F.col("event_id") % 5 + 1).cast("int"))
-    return read(spark, sf_dir, "events").select("event_id", text.status_code(status).alias("code"), F.round(time.sigmoid(F.col("value") / 100), 9).alias("relevance"))
+    article = F.element_at(F.array(*map(F.lit, _ARTICLE_CODES)), (F.col("event_id") % 8 + 1).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", text.url_code(article).alias("code"), F.round(time.sigmoid(F.col("value") / 100), 9).alias("relevance"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'MESSAGE_IDS_CORRUPT' ELSE 'MESSAGE_IDS_CORRUPT' END AS error, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 END AS n FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'DISCORD_MESSAGE_IDS_CORRUPT' ELSE 'DISCORD_MESSAGE_IDS_CORRUPT' END AS error, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 END AS n FROM events""")
 def message_ids(spark, sf_dir):
     value = F.when(F.col("event_id") % 4 == 1, '["a", "b"]').when(F.col("event_id") % 4 == 2, '["a", 1]').when(F.col("event_id") % 4 == 3, "{")
     found = read(spark, sf_dir, "events").select("event_id", text.string_list(value).alias("l"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdigest.operators import store
+from sparkdigest.session import scratch
+from sparkdigest.sources import chunk_sink, tables
 from sparkdigest.queries import NOW, query, read
 
 
@@ -36,7 +38,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM lineitem JOIN d ON l_orderkey = document_id WHERE l_orderkey % 3 = 0 ORDER BY changed DESC, document_id, item_id LIMIT 500""")
 def items_with_state(spark, sf_dir):
     docs = _orders(spark, sf_dir)
-    feed = docs.where("document_id % 2 = 0").select("document_id", (F.col("document_id") % 500).alias("feed_rank"))
+    feed = docs.where("document_id % 2 = 0").select("document_id", (F.col("document_id") % 500).alias("feed_rank"), F.lit("other").alias("state"), F.lit(NOW).cast("timestamp").alias("published_at"))
     found = store.with_document(_lines(spark, sf_dir), docs, feed, docs.where("document_id % 3 = 0"), 500)
     return found.select("document_id", "item_id", "part", "state", "feed_rank")
 
@@ -51,7 +53,8 @@ def mail_documents(spark, sf_dir):
 @query(f"""WITH {_D} SELECT document_id, document_id % 500 AS feed_rank FROM d WHERE state = 'failed' AND length(source_id) < 3 ORDER BY changed, document_id LIMIT 200""")
 def failed_documents(spark, sf_dir):
     docs = _orders(spark, sf_dir)
-    feed = docs.select("document_id", (F.col("document_id") % 500).alias("feed_rank"))
+    # the state has a time and a state of its own, which must not decide
+    feed = docs.select("document_id", (F.col("document_id") % 500).alias("feed_rank"), F.lit(NOW).cast("timestamp").alias("updated_at"), F.lit("fetched").alias("state"))
     return store.failed_first(docs, feed, 200, F.length("source_id") < 3).select("document_id", "feed_rank")
 
 
@@ -85,10 +88,14 @@ _OUTCOME = "CASE WHEN document_id % 3 = 0 THEN 'ok' WHEN document_id % 3 = 1 THE
 
 def _resolved(spark, sf_dir):
     docs = _orders(spark, sf_dir).withColumns({"content_basis": F.lit("metadata"), "content_sha256": F.lit(None).cast("string"), "content_characters": F.lit(0)})
-    state = docs.select("document_id", F.lit(None).cast("string").alias("final_url"), F.lit("new").alias("fetch_status"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    none = F.lit(None).cast("timestamp")
+    state = docs.select("document_id", F.lit(None).cast("string").alias("final_url"), F.lit("new").alias("fetch_status"), none.alias("fetched_at"), none.alias("updated_at"))
     good = F.col("document_id") % 3 == 0
-    outcomes = docs.where("document_id % 3 < 2").select("document_id", F.when(good, F.concat(F.lit("text "), "document_id")).alias("text"), F.when(good, "article").alias("basis"), F.when(good, F.concat(F.lit("https://a.example/"), "document_id")).alias("final_url"), F.when(~good, "HTTP_ERROR").alias("error"))
-    return store.resolve(docs, state, outcomes, F.lit(NOW).cast("timestamp"))
+    outcomes = docs.where("document_id % 3 < 2").select("document_id", F.when(good, F.concat(F.lit("text "), "document_id")).alias("text"), F.when(good, "article").alias("basis"), F.when(good, F.concat(F.lit("https://a.example/"), "document_id")).alias("final_url"), F.when(~good, "HTTP_ERROR").alias("error"), F.lit(1).alias("seq"))
+    # half of them have had the contrary outcome before, some twice
+    twice = F.explode(F.array_repeat(F.lit(0), (F.col("document_id") % 3 + 1).cast("int"))).alias("seq")
+    earlier = outcomes.where("document_id % 2 = 0").select("document_id", F.when(~good, "older").alias("text"), F.when(~good, "older").alias("basis"), F.when(~good, "older").alias("final_url"), F.when(good, "OLDER").alias("error"), twice)
+    return store.resolve(docs, state, outcomes.unionByName(earlier), F.lit(NOW).cast("timestamp"), order="seq")
 
 
 @query(f"""WITH {_D}, o AS (SELECT *, {_OUTCOME} AS o FROM d)
@@ -99,9 +106,9 @@ def resolved_documents(spark, sf_dir):
     return _resolved(spark, sf_dir)[0].select("document_id", "state", "attempt_count", "last_error_code", "content_basis", "content_sha256", F.col("content_characters").cast("long").alias("content_characters"))
 
 
-@query(f"""WITH {_D} SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'https://a.example/' || document_id END AS final_url, CASE document_id % 3 WHEN 0 THEN 'fetched' WHEN 1 THEN 'HTTP_ERROR' ELSE 'new' END AS fetch_status FROM d""")
+@query(f"""WITH {_D} SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'https://a.example/' || document_id END AS final_url, CASE document_id % 3 WHEN 0 THEN 'fetched' WHEN 1 THEN 'HTTP_ERROR' ELSE 'new' END AS fetch_status, document_id % 3 < 2 AS touched FROM d""")
 def resolved_states(spark, sf_dir):
-    return _resolved(spark, sf_dir)[1].select("document_id", "final_url", "fetch_status")
+    return _resolved(spark, sf_dir)[1].select("document_id", "final_url", "fetch_status", F.col("updated_at").isNotNull().alias("touched"))
 
 
 def _agenda(spark, sf_dir, force):
@@ -110,8 +117,10 @@ def _agenda(spark, sf_dir, force):
     sent = F.lit("2024-01-01 00:00:00").cast("timestamp")
     none = F.lit(None)
     stored = c.where("c_custkey % 3 < 2").select(key.cast("string").alias("agenda_day"), F.lit("old").alias("content"), F.when(key % 3 == 0, "delivered").otherwise("failed").alias("state"), F.when(key % 3 == 0, '["1"]').alias("message_ids"), F.when(key % 3 == 0, sent).alias("delivered_at"), F.when(key % 3 == 1, "X").alias("last_error_code"), sent.alias("created_at"), sent.alias("updated_at"))
-    new = c.where("c_custkey % 2 = 0").select(key.cast("string").alias("agenda_day"), F.lit("new").alias("content"), none.cast("string").alias("other"))
-    return store.agenda_after(stored, new, ["agenda_day"], F.lit(NOW).cast("timestamp"), force).select("agenda_day", "content", "state", "message_ids", "last_error_code")
+    # each wish comes after an older one of the same day
+    wishes = F.explode(F.array(*[F.struct(F.lit(k).alias("seq"), F.lit(x).alias("content")) for k, x in enumerate(("older", "new"))])).alias("w")
+    new = c.where("c_custkey % 2 = 0").select(key.cast("string").alias("agenda_day"), none.cast("string").alias("other"), wishes).select("agenda_day", "other", "w.*")
+    return store.agenda_after(stored, new, ["agenda_day"], F.lit(NOW).cast("timestamp"), force, order="seq").select("agenda_day", "content", "state", "message_ids", "last_error_code")
 
 
 _AGENDA = """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS agenda_day, c_custkey % 3 AS k, c_custkey % 2 = 0 AS wanted FROM customer WHERE c_custkey % 3 < 2 OR c_custkey % 2 = 0)
@@ -133,10 +142,12 @@ def _attempts(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     key = F.col("event_id")
     state = F.when(key % 4 == 0, "pending").when(key % 4 == 1, "failed").when(key % 4 == 2, "delivered").otherwise("cancelled")
-    stored = e.where("event_id % 5 < 4").select(key.alias("attempt"), F.col("event_type").alias("content"), state.alias("state"), (key % 3).cast("int").alias("progress"))
-    wanted = e.where("event_id % 5 > 0").select(key.alias("attempt"), F.when(key % 2 == 0, "moved").otherwise(F.col("event_type")).alias("content"))
-    deliveries = stored.select("attempt", F.lit("d").alias("destination"))
-    return store.attempts_after(stored, wanted, deliveries, ["attempt"], ["content"])
+    stored = e.where("event_id % 5 < 4").select(key.alias("attempt"), F.col("event_type").alias("content"), state.alias("state"), (key % 3).cast("int").alias("progress"), F.when(key % 4 == 1, "X").alias("last_error_code"))
+    # a third of the wishes come after another one for the same attempt
+    wishes = F.filter(F.array(F.struct(F.lit(0).alias("seq"), F.lit("older").alias("content")), F.struct(F.lit(1).alias("seq"), F.when(key % 2 == 0, "moved").otherwise(F.col("event_type")).alias("content"))), lambda w: (w["seq"] == 1) | (key % 3 == 0))
+    wanted = e.where("event_id % 5 > 0").select(key.alias("attempt"), F.explode(wishes).alias("w")).select("attempt", "w.*")
+    deliveries = stored.select("attempt", F.lit("d").alias("destination"), F.lit("sent").alias("state"))
+    return store.attempts_after(stored, wanted, deliveries, ["attempt"], ["content"], destinations=["d", "e", "d"], order="seq")
 
 
 _A = """WITH e AS (SELECT event_id AS attempt, event_type, ['pending', 'failed', 'delivered', 'cancelled'][event_id % 4 + 1] AS s, event_id % 5 < 4 AS stored, event_id % 5 > 0 AS wanted, event_id % 2 = 0 AS moved FROM events),
@@ -144,36 +155,39 @@ a AS (SELECT *, stored AND wanted AND moved AND s IN ('pending', 'failed') AS ag
 
 
 @query(_A + """ SELECT attempt, CASE WHEN again OR NOT stored AND moved THEN 'moved' ELSE event_type END AS content, CASE WHEN again OR NOT stored THEN 'pending' ELSE s END AS state,
-  CAST(CASE WHEN again OR NOT stored THEN 0 ELSE attempt % 3 END AS INTEGER) AS progress, NOT stored AS created FROM a""")
+  CAST(CASE WHEN again OR NOT stored THEN 0 ELSE attempt % 3 END AS INTEGER) AS progress, CASE WHEN stored AND NOT again AND s = 'failed' THEN 'X' END AS last_error_code, NOT stored AS created FROM a""")
 def attempts_synced(spark, sf_dir):
-    return _attempts(spark, sf_dir)[0].drop("reset")
+    return _attempts(spark, sf_dir).attempts.drop("reset")
 
 
-@query(_A + " SELECT attempt, 'd' AS destination FROM a WHERE stored AND NOT again")
+@query(_A + """ SELECT attempt, 'd' AS destination, 'sent' AS state FROM a WHERE stored AND NOT again
+UNION ALL SELECT attempt, 'd', 'pending' FROM a WHERE wanted AND (again OR NOT stored) UNION ALL SELECT attempt, 'e', 'pending' FROM a WHERE wanted""")
 def deliveries_kept(spark, sf_dir):
-    return _attempts(spark, sf_dir)[1]
+    return _attempts(spark, sf_dir).deliveries
 
 
 @query(_A + " SELECT count(*) FILTER (NOT stored) AS created FROM a")
 def attempts_created(spark, sf_dir):
-    attempts, _, created = _attempts(spark, sf_dir)
-    return attempts.agg(created.alias("created"))
+    found = _attempts(spark, sf_dir)
+    return found.attempts.agg(found.n_created.alias("created"))
 
 
-@query("""WITH t AS (SELECT event_id, [200, 429, 503, 404, 201][event_id % 5 + 1] AS status, event_id % 4 AS attempt, CASE WHEN event_id % 3 = 0 THEN 2.5 END AS after FROM events),
+@query("""WITH t AS (SELECT event_id, [200, 429, 503, 404, 201, 401, 403][event_id % 7 + 1] AS status, event_id % 4 AS attempt, event_id % 2 = 0 AS bot, value - 50 AS asked, event_id % 3 = 0 AS named FROM events),
 a AS (SELECT *, CASE WHEN status < 400 THEN 'done' WHEN (status = 429 OR status >= 500) AND attempt < 3 THEN 'retry' ELSE 'fail' END AS action FROM t)
-SELECT event_id, action, CAST(CASE WHEN action <> 'retry' THEN 0 WHEN status = 429 THEN coalesce(after, 1) ELSE 2 ** attempt END AS DOUBLE) AS wait,
-  CASE WHEN action = 'fail' THEN CASE WHEN status = 429 THEN 'DISCORD_RATE_LIMITED' WHEN status >= 500 THEN 'DISCORD_DELIVERY_FAILED' ELSE 'DISCORD_REJECTED' END END AS error FROM a""")
+SELECT event_id, action, CAST(CASE WHEN action <> 'retry' THEN 0 WHEN status = 429 AND named THEN CASE WHEN asked < 0 THEN 0 WHEN asked > 30 THEN 30 ELSE asked END WHEN status = 429 THEN 1 ELSE 2 ** attempt END AS DOUBLE) AS wait,
+  CASE WHEN action = 'fail' THEN CASE WHEN status = 429 THEN 'DISCORD_RATE_LIMITED' WHEN bot AND status = 401 THEN 'DISCORD_BOT_UNAUTHORIZED' WHEN bot AND status = 403 THEN 'DISCORD_BOT_FORBIDDEN'
+    WHEN bot AND status = 404 THEN 'DISCORD_BOT_CHANNEL_NOT_FOUND' ELSE 'DISCORD_DELIVERY_FAILED' END END AS error FROM a""")
 def send_retries(spark, sf_dir):
     key = F.col("event_id")
-    status = F.element_at(F.array(*map(F.lit, [200, 429, 503, 404, 201])), (key % 5 + 1).cast("int"))
-    found = store.next_try(status, key % 4, F.when(key % 3 == 0, 2.5))
+    status = F.element_at(F.array(*map(F.lit, [200, 429, 503, 404, 201, 401, 403])), (key % 7 + 1).cast("int"))
+    transport = F.when(key % 2 == 0, "bot").otherwise("webhook")
+    found = store.next_try(status, key % 4, F.when(key % 3 == 0, F.col("value") - 50), transport)
     return read(spark, sf_dir, "events").select("event_id", found.alias("t")).select("event_id", "t.*")
 
 
 @query("""WITH t AS (SELECT l_orderkey AS k, l_linenumber AS c, (l_partkey + l_linenumber) % 6 AS m FROM lineitem), l AS (SELECT k, c, max(m) AS m FROM t GROUP BY ALL),
-s AS (SELECT k, min(c) FILTER (m >= 4) AS stop, max(c) AS n FROM l GROUP BY k)
-SELECT k, CAST(coalesce(stop - 1, n) AS INTEGER) AS n_sent, CASE WHEN stop IS NOT NULL THEN CASE (SELECT m FROM l WHERE l.k = s.k AND l.c = s.stop) WHEN 4 THEN 'DISCORD_DELIVERY_FAILED' ELSE 'DISCORD_RATE_LIMITED' END END AS error FROM s""")
+r AS (SELECT k, c, row_number() OVER (PARTITION BY k ORDER BY c) AS r FROM l WHERE m < 4), n AS (SELECT l.k, (SELECT count(*) FROM r WHERE r.k = l.k AND r.c = r.r) AS n_sent FROM l GROUP BY l.k)
+SELECT n.k, n_sent, CASE l.m WHEN 4 THEN 'DISCORD_DELIVERY_FAILED' WHEN 5 THEN 'DISCORD_RATE_LIMITED' END AS error FROM n LEFT JOIN l ON l.k = n.k AND l.c = n_sent + 1 AND l.m >= 4""")
 def chunks_sent(spark, sf_dir):
     line = read(spark, sf_dir, "lineitem")
     m = (F.col("l_partkey") + F.col("l_linenumber")) % 6
@@ -216,3 +230,61 @@ def robots_checked(spark, sf_dir):
     text = F.when(key % 4 == 0, F.when(F.contains("url", F.lit("1")), every).otherwise(other)).when(key % 4 == 1, every).when(key % 4 == 2, "no rules").otherwise(every)
     status = F.when(key % 4 == 1, 404).otherwise(200)
     return pages.select("page_id", store.robots_allow("reader")(status, text, F.col("url")).alias("allowed"))
+
+
+# ---- tables and deliveries that outlive a run -------------------------------------------------------------------
+
+
+def _ledger(spark, sf_dir):
+    """A change log of orders in three commits, compacted between the second and the third: their prices, halves of those with
+    an even key, and zero for multiples of five; and the number of the second commit."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    log = tables.ChangeLog(spark, scratch(spark, "ledger"), "k long, price double", ["k"])
+    log.append(orders)
+    backup = log.append(orders.where("k % 2 = 0").withColumn("price", F.col("price") / 2))
+    log.compact()
+    log.append(orders.where("k % 5 = 0").withColumn("price", F.lit(0.0)))
+    return log, backup
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN o_totalprice / 2 ELSE o_totalprice END AS price FROM orders")
+def log_now(spark, sf_dir):
+    return _ledger(spark, sf_dir)[0].rows()
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 2 ELSE o_totalprice END AS price FROM orders")
+def log_as_of_a_snapshot(spark, sf_dir):
+    log, backup = _ledger(spark, sf_dir)
+    return log.rows(backup)
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN -1 WHEN o_orderkey % 2 = 0 THEN o_totalprice / 2 ELSE o_totalprice END AS price FROM orders")
+def log_restored(spark, sf_dir):
+    log, backup = _ledger(spark, sf_dir)
+    log.reset()
+    log.restore(backup)
+    log.append(log.rows().where("k % 7 = 0").withColumn("price", F.lit(-1.0)))
+    return log.rows()
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS n, c_custkey % 3 AS bad, c_custkey % 5 AS kind FROM customer)
+SELECT 'c' || k AS delivery_id, run, CAST(n AS INTEGER) AS n_chunks, CAST(CASE WHEN run = 1 OR bad >= n THEN n ELSE bad END AS INTEGER) AS n_sent,
+  CASE WHEN run = 0 AND bad < n THEN CASE kind WHEN 0 THEN 'DISCORD_RATE_LIMITED' WHEN 1 THEN 'DISCORD_BOT_FORBIDDEN' ELSE 'DISCORD_DELIVERY_FAILED' END END AS error
+FROM c, (SELECT unnest([0, 1]) AS run)""")
+def chunks_delivered(spark, sf_dir):
+    """Messages to customers go out twice: on the first run chunk `bad` is refused, the second one goes on there. Chunks that were
+    taken would be lost if they were asked for again."""
+    chunk_sink.register(spark)
+    path, key = scratch(spark, "deliveries").removeprefix("file:"), F.col("c_custkey")
+    refused = F.element_at(F.array(*map(F.lit, ["429:99", "403", "502", "none", "lost"])), (key % 5 + 1).cast("int"))
+    runs = []
+    for run in (0, 1):
+        answer = lambda k, run=run: F.when(k < key % 3, "lost" if run else "429:0 200").when((k == key % 3) & F.lit(run == 0), refused).otherwise("200")
+        chunks = F.transform(F.slice(F.array(*map(F.lit, range(3))), F.lit(1), (key % 4).cast("int")), lambda k: F.concat(k.cast("string"), F.lit("|"), answer(k)))
+        rows = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), key).alias("delivery_id"), F.lit("d").alias("destination"), F.when(key % 5 == 1, "bot").otherwise("webhook").alias("transport"), chunks.alias("chunks"))
+        rows.write.format("chunks").mode("append").option("path", path).option("waitScale", "0").save()
+        runs.append(chunk_sink.log(spark, path))
+    first = runs[0].select("delivery_id", F.lit(0).alias("run"), "n_chunks", "n_sent", "error")
+    names = runs[0].select(F.input_file_name().alias("file")).distinct()
+    later = runs[1].withColumn("file", F.input_file_name()).join(names, "file", "left_anti")
+    return first.unionByName(later.select("delivery_id", F.lit(1).alias("run"), "n_chunks", "n_sent", "error"))

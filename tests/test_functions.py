@@ -79,7 +79,7 @@ def test_script_and_tokens(spark):
 
 def test_message_ids(spark):
     got = values(spark, ['["a","b"]', "[]", "{", '["a", 1]', None], "string", text.string_list(F.col("v")))
-    assert [(g["ids"], g["error"]) for g in got] == [(["a", "b"], None), ([], None), (None, "MESSAGE_IDS_CORRUPT"), (None, "MESSAGE_IDS_CORRUPT"), ([], None)]
+    assert [(g["ids"], g["error"]) for g in got] == [(["a", "b"], None), ([], None), (None, "DISCORD_MESSAGE_IDS_CORRUPT"), (None, "DISCORD_MESSAGE_IDS_CORRUPT"), ([], None)]
 
 
 @pytest.mark.parametrize("body", ["word " * 900, "line of text\n" * 400, "x" * 5000, "```text\n" + "row of a table\n" * 400 + "```\nfooter <x>"])
@@ -141,3 +141,12 @@ def test_mail():
     for _ in range(25):
         deep = {"mimeType": "multipart/mixed", "parts": [deep]}
     assert mail.content(mail.leaves_of_json(deep))["error"] == "EMAIL_STRUCTURE_TOO_COMPLEX"
+
+
+def test_mails_that_parsers_choke_on(spark):
+    raws = [b"Content-Type: text/plain; charset=rot13\n\nuryyb", b"Content-Type: text/plain; charset=idna\n\n\xff..x", b"Content-Type: text/plain; charset=unknown\n\nhi", b"", None, b"Content-Type: text/plain; charset*=x''%ff\n\nhi", b"Content-Disposition: ;;;\nContent-Type: ;\n\nhi"]
+    found = [r.m for r in spark.createDataFrame([(x,) for x in raws], "raw binary").select(mail.extract_message("raw").alias("m")).collect()]
+    assert [m.analysis_text for m in found][:3] == ["uryyb", "�..x", "hi"] and all((m.error is None) == (m.analysis_text is not None) for m in found)
+    payloads = ["[]", "{", "7", '"x"', None, "", '{"parts": 3, "headers": 7, "body": []}', '{"parts": [7, null, {"mimeType": "text/plain", "body": {"data": "aGk"}}], "headers": [1, {"name": null}]}', "[" * 100_000]
+    found = [r.m for r in spark.createDataFrame([(x,) for x in payloads], "p string").select(mail.extract_payload("p").alias("m")).collect()]
+    assert [m.error for m in found] == ["EMAIL_NO_USABLE_TEXT"] * 7 + [None, "EMAIL_NO_USABLE_TEXT"] and found[7].analysis_text == "hi"

@@ -250,7 +250,7 @@ def test_mail_selectors(spark):
     subscriptions = sources.where("id = 's'")
     assert store.mail_query(sources, subscriptions) == "" and store.mail_query(sources, subscriptions, query="x") == "x"
     assert store.mail_query(sources, subscriptions, source="s") == store.mail_query(sources, subscriptions, subscription="s") == "label:a"
-    for bad, said in (({"source": "h"}, "not a Gmail"), ({"source": "z"}, "available source IDs: h, s"), ({"query": "x", "source": "s"}, "exclude")):
+    for bad, said in (({"source": "h"}, "doesn't read mail"), ({"source": "z"}, "there are: h, s$"), ({"query": "x", "source": "s"}, "not several")):
         with pytest.raises(ValueError, match=said):
             store.mail_query(sources, subscriptions, **bad)
 
@@ -262,3 +262,29 @@ def test_schema_without_lengths():
 def test_pairs_of_a_frequent_token_stay_in_proportion(spark):
     rows = spark.createDataFrame([(k, "s", "Postgres news") for k in range(200)], "doc_id int, source string, text string")
     assert matching.nearest_pairs(rows, "doc_id", ["source"], 5).count() == sum(min(5, 199 - k) for k in range(200))
+
+
+def test_selectors_know_every_id(spark):
+    many = spark.range(10_050).select(F.col("id").cast("string").alias("id"), F.lit("gmail").alias("type"), F.concat(F.lit("q"), "id").alias("gmail_query"))
+    assert store.mail_query(many, many, source="10049") == "q10049"
+    with pytest.raises(ValueError, match=r"there are: 0, 1, 10, .* \.\.\.$"):
+        store.mail_query(many, many, subscription="x")
+
+
+def test_one_outcome_counts_for_a_document(spark):
+    docs = spark.createDataFrame([(k, "failed", 1, "X", None, None, None) for k in (1, 2, 3)], "document_id int, state string, attempt_count int, last_error_code string, content_basis string, content_sha256 string, content_characters int")
+    state = spark.createDataFrame([(k, None, "new") for k in (1, 2, 3)], "document_id int, final_url string, fetch_status string")
+    outcomes = spark.createDataFrame([(1, None, None, None, "E"), (1, "a", "article", "u", None), (2, None, None, None, "E"), (2, None, None, None, "F"), (9, "z", "article", "u", None), (None, "z", None, None, None)], "document_id int, text string, basis string, final_url string, error string")
+    d, s = store.resolve(docs, state, outcomes, F.current_timestamp())
+    assert sorted((r.document_id, r.state, r.attempt_count, r.last_error_code, r.content_characters) for r in d.collect()) == [(1, "discovered", 1, None, 1), (2, "failed", 2, "F", None), (3, "failed", 1, "X", None)]
+    assert sorted(map(tuple, s.collect())) == [(1, "u", "fetched"), (2, None, "F"), (3, None, "new")]
+
+
+def test_flags_of_synced_attempts_must_be_free(spark):
+    stored = spark.createDataFrame([(1, "a", "pending", 0, True)], "k int, content string, state string, progress int, reset boolean")
+    wanted = spark.createDataFrame([(1, "b"), (1, "c")], "k int, content string")
+    none = spark.createDataFrame([], "k int, destination string")
+    with pytest.raises(ValueError, match="other flags"):
+        store.attempts_after(stored, wanted, none, ["k"], ["content"])
+    found = store.attempts_after(stored, wanted, none, ["k"], ["content"], flags=("again", "new"))
+    assert [tuple(r) for r in found.attempts.collect()] == [(1, "c", "pending", 0, True, True, False)]
