@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +32,18 @@ mi muy no nos o para pero por porque que se ser si sin sobre su sus también un
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 LINKS_MAX = 0.2
+# A page's language counts as unknown if fewer of its words are stop words. Its own frequent words take their place then: those
+# that make up this share of all and occur this often; blocks need the lower densities of them. Pages of fewer words have none.
+UNKNOWN, OWN_SHARE, OWN_COUNT = 0.22, 0.012, 3
+OWN_LOW, OWN_HIGH, OWN_WORDS = 0.10, 0.15, 200
 # Elements.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "head")
-NOT_CONTENT = frozenset(["nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu", "label", "fieldset"])
+NOT_CONTENT = frozenset(["nav", "header", "footer", "aside", "form", "dialog", "menu", "fieldset"])
+CONTROLS = frozenset(["button", "select", "textarea", "datalist", "output", "progress", "meter"])
+SECTIONS = frozenset(["article", "main", "section", "aside", "header", "footer", "h1"])
 ARTICLE = frozenset(["article", "main"])
 INLINE = frozenset(
-    """a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong
+    """a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong
 sub sup time tt u var wbr input""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +55,8 @@ related replies reply share sharing sidebar signup social sponsor sponsored subs
 search""".split()
 )
 COMMENT_NAMES = frozenset(["comment", "comments", "reply", "replies", "disqus"])
+# Words that say that such a name speaks of something else: what the element has, or a part of the content.
+OTHER_NAMES = frozenset(["has", "with", "without", "no", "article", "content", "entry", "post", "story", "body", "main", "page", "layout", "wrapper", "container"])
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
@@ -55,7 +64,7 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?(?=[\s/]|$)", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]*+))?+|\"[^\"]*+\"|'[^']*+'")
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -67,51 +76,59 @@ class Block:
     text: str
     links: int
     place: tuple[int, ...]
-    boilerplate: bool
     article: bool
     heading: bool
 
 
-def _not_content(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element and all in it are no content, by its name or the words of its attributes."""
-    if tag in NOT_CONTENT or tag == "header" and not in_article:
-        return True
+#: What an element's name or attributes say against its content: nothing, that it is never shown, that it is a part beside the
+#: content, that its class, id or role sounds so, or that readers wrote it.
+SAYS_NOTHING, HIDDEN, BESIDE, NAMED, READERS = range(5)
+
+
+def _said(tag: str, attrs: str, in_article: bool) -> int:
+    """What an element says against its content."""
+    told = BESIDE if tag in NOT_CONTENT and not (tag == "header" and in_article) else SAYS_NOTHING
     if not attrs or tag in ("html", "body"):
-        return False
+        return told
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif key in ("class", "id", "role"):
-            names = {n.lower() for n in _NAME.findall(value)}
-            if names & (COMMENT_NAMES if tag in ARTICLE else NOT_CONTENT_NAMES):
-                return True
-    return False
-
-
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order. Unclosed and stray tags are taken as they come: an end tag closes the nearest open
-    element of its name, or nothing."""
+            return HIDDEN
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return HIDDEN
+        if key in ("class", "id", "role"):
+            for name in value.split():
+                words = {n.lower() for n in _NAME.findall(name)}
+                if words & COMMENT_NAMES and not words & OTHER_NAMES - {"post", "entry", "article"}:
+                    told = max(told, READERS)
+                elif tag not in ARTICLE and words & NOT_CONTENT_NAMES and not words & OTHER_NAMES:
+                    told = max(told, NAMED)
+    return told
+
+
+def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
+    """The blocks of a page in order, and what elements say against theirs, by the elements' numbers. Unclosed and stray tags are
+    taken as they come: an end tag closes the nearest open element of its name, or nothing; a nav that is still open where
+    a section begins ends there. Text of controls is left out without breaking the block that they stand in."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, number, no content
+    says: dict[int, int] = {}
+    stack: list[tuple[str, int]] = [("", 0)]  # tag, number
     parts: list[str] = []
     count = links = breaks = articles = 0
     anchor = heading = False
+    control = ""
 
     def close() -> None:
         nonlocal links, anchor, breaks
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, links, tuple(x[1] for x in stack), stack[-1][2], articles > 0, heading))
+            out.append(Block(text, links, tuple(x[1] for x in stack), articles > 0, heading))
         parts.clear()
         links, breaks, anchor = 0, 0, False
 
     def say(raw: str) -> None:
         nonlocal links, breaks
-        if raw:
+        if raw and not control:
             text = entities.unescape(raw)
             parts.append(text)
             if text.strip():
@@ -119,6 +136,11 @@ def blocks(page: str) -> list[Block]:
                 if anchor:
                     links += len("".join(text.split()))
 
+    def leave(k: int) -> None:
+        nonlocal articles
+        articles -= sum(x[0] in ARTICLE for x in stack[k:])
+        del stack[k:]
+
     at = 0
     for m in _TOKEN.finditer(page):
         say(page[at : m.start()])
@@ -127,6 +149,11 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         end = bool(m["end"] or m["end2"])
+        if tag in CONTROLS or tag in ("option", "optgroup"):
+            if tag in CONTROLS and (not end or tag == control):
+                control = "" if end else tag
+                parts.append(" ")
+            continue
         if tag in INLINE:
             if tag == "a":
                 anchor = not end
@@ -136,55 +163,110 @@ def blocks(page: str) -> list[Block]:
                 if breaks > 1:
                     close()
             continue
+        control = ""
         close()
         if tag in VOID:
             continue
         if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    articles -= sum(x[0] in ARTICLE for x in stack[k:])
-                    del stack[k:]
-                    break
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), None)
+            if k is not None:
+                leave(k)
         else:
-            if stack[-1][0] == "p" or tag == stack[-1][0] in ("li", "tr", "td", "option", "dt", "dd"):
+            if stack[-1][0] == "p" or tag == stack[-1][0] in ("li", "tr", "td", "dt", "dd"):
                 stack.pop()
+            if tag in SECTIONS:
+                k = next((k for k in range(1, len(stack)) if stack[k][0] == "nav"), None)
+                if k is not None:
+                    leave(k)
             count += 1
-            stack.append((tag, count, stack[-1][2] or _not_content(tag, m["attrs"] or "", articles > 0)))
+            stack.append((tag, count))
+            if told := _said(tag, m["attrs"] or "", articles > 0):
+                says[count] = told
             articles += tag in ARTICLE
         heading = any(re.fullmatch("h[1-6]", x[0]) for x in stack[-2:])
     say(page[at:])
     close()
-    return out
+    return out, says
 
 
-def classify(found: list[Block]) -> list[bool]:
-    """Which blocks are content.
+def _stop_words(found: list[list[str]]) -> tuple[frozenset[str], float, float]:
+    """The stop words of a page, from the words of its blocks, and the two densities that blocks need: of a known language the
+    listed ones; else the page's own most frequent words, or none needed on a page that is too short to tell."""
+    n = Counter(w for words in found for w in words)
+    total = sum(n.values())
+    if sum(k for w, k in n.items() if w in STOP_WORDS) >= UNKNOWN * total:
+        return STOP_WORDS, STOP_LOW, STOP_HIGH
+    if total < OWN_WORDS:
+        return frozenset(), 0.0, 0.0
+    return frozenset(w for w, k in n.items() if k >= max(OWN_COUNT, OWN_SHARE * total)), OWN_LOW, OWN_HIGH
 
-    First each block by itself: those in elements of no content are bad; much link text is bad; long ones of many stop
-    words are good, as are middling ones; short ones, and in an article ones of few stop words, stay undecided, other
-    ones of few stop words are bad. Then undecided blocks take the label of the nearest decided block, counting
-    only those that share the innermost common element first; at the same distance good wins inside an article and
-    bad elsewhere. Where no block is decided, those of an article are good.
-    """
-    first: list[bool | None] = []
-    for b in found:
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0
+
+def by_density(found: list[Block]) -> list[bool | None]:
+    """The first pass, each block by itself: much link text is bad; short ones and headings stay undecided, with links in them
+    bad outside articles; ones of many stop words are good, middling ones if they aren't long; ones of few are bad, in an article
+    undecided."""
+    words = [_WORD.findall(b.text.lower()) for b in found]
+    known, low, high = _stop_words([w for b, w in zip(found, words, strict=True) if b.links <= LINKS_MAX * len(b.text)])
+    out: list[bool | None] = []
+    for b, own in zip(found, words, strict=True):
+        stops = sum(w in known for w in own) / len(own) if own else 0
         size = len(b.text)
-        if b.boilerplate or b.links > LINKS_MAX * size and not b.article or b.links > 0.8 * size:
-            first.append(False)
+        if b.links > (0.5 if b.article else LINKS_MAX) * size:
+            out.append(False)
         elif size < LENGTH_LOW or b.heading:
-            first.append(None)
-        elif stops >= STOP_HIGH or stops >= STOP_LOW and size <= LENGTH_HIGH:
-            first.append(True)
+            out.append(None)
+        elif stops >= high or stops >= low and size <= LENGTH_HIGH:
+            out.append(True)
         else:
-            first.append(None if b.article or stops >= STOP_LOW else False)
+            out.append(None if b.article or stops >= low else False)
+    return out
+
+
+def _overruled(found: list[Block], says: dict[int, int], first: list[bool | None]) -> set[int]:
+    """Elements whose word against their content doesn't count, as no article stands outside them, and either they only sound so
+    and hold more than half of the page's prose in several blocks (a wrapper named after its sidebar), or no prose is
+    anywhere else. Where no block is prose, undecided ones are taken for it."""
+    told = [{n for n in b.place if n in says} for b in found]
+    wanted = True if True in first else None
+    prose = [k for k, good in enumerate(first) if good is wanted]
+    total = sum(len(found[k].text) for k in prose)
+    size: Counter[int] = Counter()
+    number: Counter[int] = Counter()
+    for k in prose:
+        size.update(dict.fromkeys(told[k], len(found[k].text)))
+        number.update(told[k])
+    apart = [told[k] for k, b in enumerate(found) if b.article]
+    free = {n for n in size if all(n in x or any(says[y] != NAMED for y in x) for x in apart)}
+    out = {n for n in free if says[n] == NAMED and 2 * size[n] > total and number[n] > 1}
+    if all(told[k] - out for k in prose):
+        out |= {n for n in free if says[n] in (NAMED, BESIDE)}
+    return out
+
+
+def classify(found: list[Block], says: dict[int, int]) -> list[bool]:
+    """Which blocks are content.
+
+    First each block by itself (by_density). What elements say against their content is a clue that makes blocks bad unless it is
+    overruled; where an article holds most of the prose that is left, prose outside it is bad. Then undecided blocks
+    take the label of the nearest decided block, counting only those that share the innermost common element first; at the
+    same distance good wins inside an article and bad elsewhere. Where no block is good, undecided ones that
+    no clue speaks against are: a page may consist of short blocks.
+    """
+    first = by_density(found)
+    void = _overruled(found, says, first)
+    against = [any(n in says and n not in void for n in b.place) for b in found]
+    first = [False if bad else x for x, bad in zip(first, against, strict=True)]
+    prose = [b for b, good in zip(found, first, strict=True) if good]
+    if 2 * sum(len(b.text) for b in prose if b.article) > sum(len(b.text) for b in prose):
+        first = [x and b.article if x else x for x, b in zip(first, found, strict=True)]
+    if True not in first:
+        within = any(b.article for b, x in zip(found, first, strict=True) if x is None)
+        return [x is None and (b.article or not within) for b, x in zip(found, first, strict=True)]
     # the decided block before and after each one, and for an article those of the same article alone
     out = list(first)
-    decided = [k for k, x in enumerate(first) if x is not None and not (found[k].boilerplate)]
+    known = {k for k, x in enumerate(first) if x is not None and not against[k]}
     before: int | None = None
     left: list[int | None] = []
-    known = set(decided)
     for k in range(len(found)):
         left.append(before)
         if k in known:
@@ -220,8 +302,8 @@ def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by a newline; null counts as empty."""
     if not page:
         return ""
-    found = blocks(page)
-    return "\n".join(b.text for b, good in zip(found, classify(found), strict=True) if good)
+    found, says = blocks(page)
+    return "\n".join(b.text for b, good in zip(found, classify(found, says), strict=True) if good)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
