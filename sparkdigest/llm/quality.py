@@ -12,9 +12,9 @@ from sparkdigest.llm.common import pick, written
 WHITE = r"[\x20\x09-\x0D]+"
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Buckets of hashed n-grams grow with the corpus: one for so many bytes of text, a power of two from 2**LEAST_BITS on. The
-#: table of their ratios goes to every task; at 2**MOST_BITS its 32 MB are all that it may take.
-BUCKET_BYTES, LEAST_BITS, MOST_BITS = 4096, 16, 22
+#: Bits that name a bucket of hashed n-grams, the same for every corpus, so that a text's score doesn't change with the number of
+#: texts beside it; the table of their ratios, 512 KB, goes to every task.
+BITS = 16
 #: Trusted ids up to which they are sent to every task, 8 bytes each; beyond, documents and ids are dealt by id.
 SENT = 1_000_000
 #: Pseudo-counts of the target for each bucket, dealt out as the raw counts are.
@@ -65,10 +65,10 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios: Column | None = None, bits: int = LEAST_BITS) -> DataFrame:
+def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios: Column | None = None) -> DataFrame:
     """(doc_id, text, n_words, n_repeat_words, word_chars, n_symbols, n_dup_lines, base_failed) of every row.
 
-    With ratios (a log ratio for each of 2**bits buckets), score is the mean of the text's n-grams. Words are split and
+    With ratios (a log ratio for each of 2**BITS buckets), score is the mean of the text's n-grams. Words are split and
     hashed once for all of it.
     """
     d = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
@@ -76,7 +76,7 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio
     of_words = [lambda w, s: F.size(w).cast("long").alias("n_words"), lambda w, s: repeated_words(w).alias("n_repeat_words")]
     if ratios is not None:
         d = d.withColumn("ratios", ratios)
-        of_words.append(lambda w, s: mean_ratio(w, s, F.col("ratios"), bits).alias("score"))
+        of_words.append(lambda w, s: mean_ratio(w, s, F.col("ratios")).alias("score"))
     return d.select(
         "doc_id",
         "text",
@@ -97,14 +97,14 @@ def shapes_of(text: Column) -> Column:
     return words_of(text)
 
 
-def _bucket(hashed: Column, bits: int) -> Column:
-    return hashed.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
-def _at(w: Column, s: Column, x: Column, i: Column, bits: int) -> tuple[Column, Column, Column]:
+def _at(w: Column, s: Column, x: Column, i: Column) -> tuple[Column, Column, Column]:
     """Buckets of word i of w, of it and the next, and of their shapes in s and whether they are equal."""
     after = F.get(w, i + 1)
-    return _bucket(x, bits), _bucket(F.xxhash64(F.lit(2), x, after), bits), _bucket(F.xxhash64(F.lit(3), F.get(s, i), F.get(s, i + 1), x == after), bits)
+    return _bucket(x), _bucket(F.xxhash64(F.lit(2), x, after)), _bucket(F.xxhash64(F.lit(3), F.get(s, i), F.get(s, i + 1), x == after))
 
 
 def _hashed(text: Column, body: Callable[[Column, Column], Column]) -> Column:
@@ -112,49 +112,43 @@ def _hashed(text: Column, body: Callable[[Column, Column], Column]) -> Column:
     return let(F.struct(hashes_of(words_of(text)).alias("w"), hashes_of(shapes_of(text)).alias("s")), lambda v: body(v["w"], v["s"]))
 
 
-def grams(text: Column, bits: int) -> Column:
+def grams(text: Column) -> Column:
     """Buckets of a text's n-grams: words, pairs of words, and pairs of word shapes that say if the words are equal."""
 
     def of(w: Column, s: Column) -> Column:
         pairs = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
-        return F.concat(F.transform(w, lambda x, i: _at(w, s, x, i, bits)[0]), F.transform(pairs, lambda x, i: _at(w, s, x, i, bits)[1]), F.transform(pairs, lambda x, i: _at(w, s, x, i, bits)[2]))
+        return F.concat(F.transform(w, lambda x, i: _at(w, s, x, i)[0]), F.transform(pairs, lambda x, i: _at(w, s, x, i)[1]), F.transform(pairs, lambda x, i: _at(w, s, x, i)[2]))
 
     return _hashed(text, of)
 
 
-def mean_ratio(w: Column, s: Column, ratios: Column, bits: int) -> Column:
+def mean_ratio(w: Column, s: Column, ratios: Column) -> Column:
     """Mean of the log ratios of n-grams of hashed words w and shapes s, 0 without words."""
     n = F.size(w)
 
     def worth(x: Column, i: Column) -> Column:
-        one, two, three = (F.get(ratios, b) for b in _at(w, s, x, i, bits))
+        one, two, three = (F.get(ratios, b) for b in _at(w, s, x, i))
         return one + F.when(i + 1 < n, two + three).otherwise(0.0)
 
     total = F.aggregate(F.transform(w, worth), F.lit(0.0), lambda a, v: a + v)
     return total / F.greatest(3 * n - 2, F.lit(1))
 
 
-def bits_for(docs: DataFrame, text_col: str = "text") -> int:
-    """Bits that name a bucket, by the corpus's bytes of text."""
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long"))).first()[0] or 0
-    return min(MOST_BITS, max(LEAST_BITS, (size // BUCKET_BYTES).bit_length()))
-
-
-def log_ratios(docs: DataFrame, trusted: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row: an array of 2**bits log ratios of the trusted target's multinomial to the raw corpus's.
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row: an array of 2**BITS log ratios of the trusted target's multinomial to the raw corpus's.
 
     Raw counts are of all documents, target counts of all whose id is in trusted(doc_id). N-grams are counted in each
-    task before they are shuffled, at most 2**bits rows a task.
+    task before they are shuffled, at most 2**BITS rows a task.
     """
     spark = docs.sparkSession
     good = written(pick(trusted, id_col).toDF("doc_id").where("doc_id is not null").distinct(), "trusted").withColumn("good", F.lit(1))
     d = pick(docs, id_col, text_col).toDF("doc_id", "text").join(F.broadcast(good) if good.count() <= SENT else good, "doc_id", "left")
-    each = d.select("good", F.explode(grams(F.coalesce("text", F.lit("")), bits)).alias("bucket"))
+    each = d.select("good", F.explode(grams(F.coalesce("text", F.lit("")))).alias("bucket"))
     counts = written(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")), "counts")
     sums = counts.select(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
-    every = spark.range(1 << bits).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    every = spark.range(1 << BITS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     share = F.col("raw") / F.col("all_raw")
-    prior = PRIOR * (1 << bits)
+    prior = PRIOR * (1 << BITS)
     ratio = F.coalesce(F.log((F.col("target") + prior * share) / (F.col("all_target") + prior) / share), F.lit(0.0))
     table = every.join(F.broadcast(sums)).select("bucket", ratio.alias("ratio"))
     return table.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))), lambda x: x["ratio"]).alias("ratios"))
@@ -167,8 +161,7 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     and fails; without trusted rows every ratio is 0 and all that pass the rules stay. Null ids, repeated rows and empty
     tables pass through; further columns are ignored.
     """
-    bits = bits_for(docs, text_col)
-    ratios = written(log_ratios(docs, trusted, bits, id_col, text_col), "ratios").scalar()
-    found = rules(docs, id_col, text_col, ratios, bits).drop("text")
+    ratios = written(log_ratios(docs, trusted, id_col, text_col), "ratios").scalar()
+    found = rules(docs, id_col, text_col, ratios).drop("text")
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 

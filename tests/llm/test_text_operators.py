@@ -276,7 +276,7 @@ def test_scores_are_log_likelihood_ratios(spark):
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
     trusted = docs.where("doc_id % 3 = 0").select("doc_id")
-    grams = {r.doc_id: r.g for r in docs.select("doc_id", quality.grams(quality.F.col("text"), 16).alias("g")).collect()}
+    grams = {r.doc_id: r.g for r in docs.select("doc_id", quality.grams(quality.F.col("text")).alias("g")).collect()}
     raw = Counter(g for gs in grams.values() for g in gs)
     target = Counter(g for d, gs in grams.items() if d % 3 == 0 for g in gs)
     every, good, prior = sum(raw.values()), sum(target.values()), quality.PRIOR * (1 << 16)
