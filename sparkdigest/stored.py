@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkdigest.functions import language
 from sparkdigest.operators import store
 from sparkdigest.session import scratch
 from sparkdigest.sources import chunk_sink, tables
@@ -288,3 +289,23 @@ def chunks_delivered(spark, sf_dir):
     names = runs[0].select(F.input_file_name().alias("file")).distinct()
     later = runs[1].withColumn("file", F.input_file_name()).join(names, "file", "left_anti")
     return first.unionByName(later.select("delivery_id", F.lit(1).alias("run"), "n_chunks", "n_sent", "error"))
+
+
+# ---- languages --------------------------------------------------------------------------------------------------
+
+_GRAM = "((CAST(unicode(g[1:1]) AS BIGINT) * 131 + CASE WHEN length(g) > 1 THEN unicode(g[2:2]) ELSE 0 END) * 131 + CASE WHEN length(g) > 2 THEN unicode(g[3:3]) ELSE 0 END) % 4093"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, lang, doc_id % 5 = 0 AS held_out, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+')) AS w FROM documents),
+g AS (SELECT doc_id, lang, held_out, left('^' || w, 3) AS g FROM w UNION ALL SELECT doc_id, lang, held_out, right(w || '$', 3) FROM w),
+f AS (SELECT doc_id, lang, held_out, {_GRAM} AS b FROM g),
+n AS (SELECT lang, b, count(*) AS n FROM f WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL), t AS (SELECT lang, sum(n) AS total FROM n GROUP BY lang),
+e AS (SELECT t.lang, e.b, ln((coalesce(n, 0) + 0.5) / (total + 0.5 * 4093)) AS weight FROM t CROSS JOIN (SELECT unnest(range(4093)) AS b) e LEFT JOIN n ON n.lang = t.lang AND n.b = e.b),
+s AS (SELECT doc_id, e.lang, sum(weight) AS s FROM (SELECT doc_id, b FROM f) f JOIN e USING (b) GROUP BY ALL),
+r AS (SELECT doc_id, lang AS detected, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS r FROM s)
+SELECT documents.doc_id, lang, documents.doc_id % 5 = 0 AS held_out, detected FROM documents LEFT JOIN r ON r.doc_id = documents.doc_id AND r = 1""")
+def language_detected(spark, sf_dir):
+    """Profiles of four fifths of the documents, applied to all of them."""
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", F.col("doc_id") % 5 == 0)
+    found = language.detected(docs, language.profiles(docs.where(~F.col("held_out"))))
+    return found.select("doc_id", "lang", "held_out", "detected")
