@@ -57,6 +57,26 @@ class Client(Protocol):
     def get(self, url: str, most: int, seconds: float) -> Page: ...
 
 
+class ScriptedWeb:
+    """Stand-in without a network: the path /<moves>/<answer>/... of a link says how often it moves on and what it then is: ok, pdf,
+    large, late, silent, or a status. Hosts whose name begins with shut let no reader in, those that begin with half none below
+    /0/pdf."""
+
+    def get(self, url: str, most: int, seconds: float) -> Page:
+        where = urlsplit(url)
+        if where.path == "/robots.txt":
+            rule = {"shut": "/", "half": "/0/pdf"}.get(where.netloc[:4])
+            return Page(200, {}, f"User-agent: *\nDisallow: {rule}".encode()) if rule else Page(404)
+        _, moves, answer, *rest = where.path.split("/")
+        if moves != "0":
+            return Page(302, {"Location": f"/{int(moves) - 1}/{answer}/{'/'.join(rest)}"}, seconds=1.0)
+        if answer == "silent":
+            raise TimeoutError
+        kind = {"content-type": "application/pdf" if answer == "pdf" else "text/html; charset=utf-8"}
+        body = b"x" * (most + 1) if answer == "large" else url.encode()
+        return Page(int(answer) if answer.isdigit() else 200, kind, body, 40.0 if answer == "late" else 0.1)
+
+
 def _asked(client: Client, url: str, used: float) -> tuple:
     """(location, content_type, body, seconds used, error) of one request of an article."""
     try:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from sparkdigest.functions import language
 from sparkdigest.operators import store
 from sparkdigest.session import scratch
-from sparkdigest.sources import chunk_sink, tables
+from sparkdigest.sources import articles, chunk_sink, tables
+from sparkdigest.streaming import state as streaming
+from sparkdigest.plans import calls
 from sparkdigest.queries import NOW, query, read
 
 
@@ -309,3 +311,94 @@ def language_detected(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").withColumn("held_out", F.col("doc_id") % 5 == 0)
     found = language.detected(docs, language.profiles(docs.where(~F.col("held_out"))))
     return found.select("doc_id", "lang", "held_out", "detected")
+
+
+# ---- checkpoints of an older schema -----------------------------------------------------------------------------
+
+
+def _adopted(spark, sf_dir):
+    """Orders as digests with a checkpoint of their own, to a, b, a destination that has gone, or none; a fifth has deliveries."""
+    k = F.col("o_orderkey")
+    state = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "delivered").otherwise("pending")
+    digests = read(spark, sf_dir, "orders").select(k.alias("digest_id"), state.alias("state"), F.concat(F.lit('["'), k, F.lit('"]')).alias("message_ids"), F.element_at(F.array(*map(F.lit, ["a", "b", "gone", None])), (k % 4 + 1).cast("int")).alias("destination_key"), F.when(F.col("o_orderstatus") == "F", "X").alias("last_error_code"))
+    stored = digests.where("digest_id % 5 = 0").select("digest_id", F.lit("a").alias("destination_key"), F.lit("delivered").alias("state"), F.lit("[]").alias("message_ids"), F.lit(None).cast("string").alias("last_error_code"), F.lit(None).cast("timestamp").alias("retired_at"))
+    return store.adopted(digests, stored, ["a", "b"], "digest_id")
+
+
+_ADOPTED = """WITH o AS (SELECT o_orderkey AS digest_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'delivered' ELSE 'pending' END AS state, ['a', 'b', 'gone', NULL][o_orderkey % 4 + 1] AS own, o_orderkey % 5 = 0 AS there FROM orders)"""
+
+
+@query(_ADOPTED + """ SELECT digest_id, d AS destination_key, CASE WHEN d = own THEN state ELSE 'pending' END AS state, CASE WHEN d = own THEN '["' || digest_id || '"]' END AS message_ids,
+  CASE WHEN d = own AND state = 'failed' THEN 'X' END AS last_error_code FROM o, (VALUES ('a'), ('b')) t(d) WHERE NOT there UNION ALL SELECT digest_id, 'a', 'delivered', '[]', NULL FROM o WHERE there""")
+def deliveries_adopted(spark, sf_dir):
+    return _adopted(spark, sf_dir)[1].drop("retired_at")
+
+
+@query(_ADOPTED + " SELECT digest_id, CASE WHEN there THEN 'delivered' WHEN own IN ('a', 'b') AND state = 'failed' THEN 'failed' ELSE 'pending' END AS state FROM o")
+def digests_after_adoption(spark, sf_dir):
+    return _adopted(spark, sf_dir)[0].select("digest_id", "state")
+
+
+# ---- the web and models -----------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT page_id, ['shut', 'half', 'open'][page_id % 3 + 1] AS h, page_id % 8 AS moves, ['ok', 'pdf', 'late', 'silent', '503'][page_id % 5 + 1] AS answer FROM pages),
+u AS (SELECT *, 'https://' || h || page_id % 4 || '.example/' AS root, answer || '/' || page_id AS rest FROM p),
+e AS (SELECT *, CASE WHEN page_id % 17 = 0 THEN 'ARTICLE_URL_BLOCKED' WHEN h = 'shut' THEN 'ARTICLE_ROBOTS_DENIED' WHEN moves > 5 THEN 'ARTICLE_REDIRECT_BLOCKED' WHEN h = 'half' AND answer = 'pdf' THEN 'ARTICLE_ROBOTS_DENIED'
+  ELSE ['', 'ARTICLE_CONTENT_TYPE_UNSUPPORTED', 'ARTICLE_FETCH_DEADLINE_EXCEEDED', 'ARTICLE_FETCH_TIMEOUT', 'ARTICLE_FETCH_FAILED'][page_id % 5 + 1] END AS error FROM u)
+SELECT CASE WHEN page_id % 17 = 0 THEN 'ftp://x.example/' || page_id ELSE root || moves || '/' || rest END AS url, CASE WHEN error = '' THEN root || '0/' || rest END AS final_url,
+  CAST(CASE WHEN page_id % 17 = 0 OR h = 'shut' THEN 0 WHEN moves > 5 THEN 6 ELSE moves END AS INTEGER) AS hops, nullif(error, '') AS error FROM e""")
+def articles_fetched(spark, sf_dir):
+    """Links made of pages' numbers, to a web that answers by their paths."""
+    k = F.col("page_id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    link = F.concat(F.lit("https://"), pick(["shut", "half", "open"], 3), k % 4, F.lit(".example/"), k % 8, F.lit("/"), pick(["ok", "pdf", "late", "silent", "503"], 5), F.lit("/"), k)
+    urls = read(spark, sf_dir, "pages").select(F.when(k % 17 == 0, F.concat(F.lit("ftp://x.example/"), k)).otherwise(link).alias("url"))
+    return articles.articles(urls, articles.ScriptedWeb, "reader").select("url", "final_url", "hops", "error")
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}\n ]', '', 'g') AS t FROM documents),
+l AS (SELECT doc_id, t, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')[1:10] AS lines FROM d),
+e AS (SELECT doc_id, len(lines) AS n, length(t) > 1500 OR len(list_filter(lines, lambda x: length(x) > 200)) > 0 AS again, len(list_filter(lines, lambda x: length(x) > 200)) > 0 AS bad FROM l)
+SELECT doc_id, CASE WHEN again AND bad THEN 'TITLE_LENGTH' END AS error, CAST(CASE WHEN again THEN 2 ELSE 1 END AS INTEGER) AS calls, CASE WHEN NOT (again AND bad) THEN n END AS n_items FROM e""")
+def messages_extracted(spark, sf_dir):
+    """Documents as messages to a model that says too much at first: long texts and lines go round again, long lines fail twice."""
+    prompt = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}\n ]", "")
+    found = calls.extracted(read(spark, sf_dir, "documents"), "doc_id", prompt, calls.lines_model)
+    return found.select("doc_id", "error", "calls", F.when(F.col("items").isNotNull(), F.size("items")).cast("long").alias("n_items"))
+
+
+# ---- state that lives in streams, as of an instant --------------------------------------------------------------
+
+_KINDS = ["planned", "planned", "failed", "failed", "sent", "cancelled", "other"]
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id || '-' || day(ts) AS attempt, ts AS "at", event_id AS seq, ['planned', 'planned', 'failed', 'failed', 'sent', 'cancelled', 'other'][event_id % 7 + 1] AS kind,
+    CASE WHEN event_id % 11 > 0 THEN ts + to_hours(CAST(event_id % 5 AS BIGINT)) END AS start FROM events WHERE ts <= TIMESTAMP '2024-01-25 12:00:00'),
+n AS (SELECT *, row_number() OVER (PARTITION BY attempt ORDER BY "at", seq) AS i FROM e),
+f AS (SELECT DISTINCT attempt, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS "at", CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS state, 0 AS tries, CAST(NULL AS TIMESTAMP) AS start, CAST(NULL AS TIMESTAMP) AS ended, 0 AS ended_tries, false AS changed FROM e
+  UNION ALL SELECT attempt, i, "at", seq, CASE WHEN plan THEN 'pending' WHEN step THEN CASE kind WHEN 'sent' THEN 'delivered' ELSE kind END ELSE now END, CASE WHEN plan THEN 0 WHEN step AND kind = 'failed' THEN tries + 1 ELSE tries END,
+    CASE WHEN plan THEN new_start ELSE start END, CASE WHEN over THEN start END, tries, plan OR step
+  FROM (SELECT *, coalesce(kind = 'planned' AND new_start IS NOT NULL AND (now IS NULL OR now IN ('pending', 'failed') AND start <> new_start), false) AS plan, coalesce(kind IN ('sent', 'failed', 'cancelled') AND now IN ('pending', 'failed'), false) AS step
+    FROM (SELECT f.attempt, n.i, n."at", n.seq, n.kind, n.start AS new_start, f.start, f.tries, coalesce(f.state IN ('pending', 'failed') AND n."at" >= f.start, false) AS over, CASE WHEN f.state IN ('pending', 'failed') AND n."at" >= f.start THEN 'expired' ELSE f.state END AS now
+      FROM f JOIN n ON n.attempt = f.attempt AND n.i = f.i + 1))),
+z AS (SELECT attempt, arg_max(state, i) AS state, arg_max(tries, i) AS tries, arg_max(start, i) AS start FROM f WHERE i > 0 GROUP BY attempt)
+SELECT attempt, epoch_us("at") AS "at", seq, state, tries FROM f WHERE changed UNION ALL SELECT attempt, epoch_us(ended), -1, 'expired', ended_tries FROM f WHERE ended IS NOT NULL
+UNION ALL SELECT attempt, epoch_us(start), -1, 'expired', tries FROM z WHERE state IN ('pending', 'failed') AND start <= TIMESTAMP '2024-01-25 12:00:00'""")
+def attempts_over_time(spark, sf_dir):
+    """Events of a user on a day as those of an attempt."""
+    k, at = F.col("event_id"), F.col("ts").cast("timestamp")
+    start = F.when(k % 11 > 0, at + F.make_dt_interval(hours=k % 5))
+    rows = read(spark, sf_dir, "events").select(F.concat_ws("-", "user_id", F.day("ts")).alias("attempt"), at.alias("at"), k.alias("seq"), F.element_at(F.array(*map(F.lit, _KINDS)), (k % 7 + 1).cast("int")).alias("kind"), (start - F.expr("INTERVAL 5 MINUTES")).alias("reminder_at"), start.alias("start"))
+    found = streaming.attempt_transitions(rows, F.lit("2024-01-25 12:00:00").cast("timestamp"))
+    return found.withColumn("at", F.unix_micros("at"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS h, ts AS "at", user_id % 3 > 0 AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT h, i, "at", "at" + CASE WHEN good THEN INTERVAL 36 HOUR ELSE INTERVAL 5 HOUR END AS ends, false AS served FROM e WHERE i = 1
+  UNION ALL SELECT e.h, e.i, e."at", CASE WHEN f.ends > e."at" THEN f.ends ELSE e."at" + CASE WHEN good THEN INTERVAL 36 HOUR ELSE INTERVAL 5 HOUR END END, f.ends > e."at" FROM f JOIN e ON e.h = f.h AND e.i = f.i + 1)
+SELECT CAST(h AS VARCHAR) AS url_hash, epoch_us("at") AS "at", served FROM f""")
+def links_served(spark, sf_dir):
+    """Events of a user as requests for one link, which two users in three can be given."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url_hash"), F.when(F.col("user_id") % 3 > 0, "good").otherwise("bad").alias("url"), F.col("ts").cast("timestamp").alias("at"))
+    return streaming.served_from_cache(rows, F.col("url") == "good", 36 * 3600, 5 * 3600).withColumn("at", F.unix_micros("at"))

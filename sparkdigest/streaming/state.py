@@ -161,7 +161,7 @@ def served_from_cache(links: DataFrame, good: Column, good_seconds: int, bad_sec
 
     def step(s: Column, x: Column) -> Column:
         served = F.coalesce(s["ends"] > x["at"], F.lit(False))
-        life = F.when(x["good"], good_seconds).otherwise(bad_seconds)
+        life = F.when(x["good"], good_seconds).otherwise(bad_seconds).cast("long")
         ends = F.when(served, s["ends"]).otherwise(F.timestamp_micros(F.unix_micros(x["at"]) + life * 1_000_000))
         return F.struct(ends.alias("ends"), F.concat(s["told"], F.array(F.struct(x["at"].alias("at"), served.alias("served")))).alias("told"))
 
