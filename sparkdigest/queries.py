@@ -594,18 +594,68 @@ def _entries(spark, sf_dir):
     )
 
 
-@query(f"""WITH e AS (SELECT doc_id AS seq, coalesce(quality, 0) AS q, source, {_TITLE.format("left(text, 60)")} AS k FROM documents LEFT JOIN labels USING (doc_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY q DESC, seq) AS n, min(seq) OVER (PARTITION BY k) AS pos, count(*) OVER (PARTITION BY k) AS size FROM e),
-o AS (SELECT k, count(DISTINCT source) AS s FROM e GROUP BY k)
-SELECT pos, seq, source AS source_name, s - 1 AS n_also FROM r JOIN o USING (k) WHERE n = 1""")
+def _linked_entries(spark, sf_dir):
+    """Documents as entries with links, discussions and all parts of a rank: whole texts as summaries, first lines as titles."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    k, none = F.col("doc_id"), F.lit(None)
+    link = F.when(k % 4 == 0, F.concat(F.lit("https://a.example/"), F.floor(k / 20)))
+    talk = F.when(k % 12 == 0, link).when(k % 3 == 0, F.concat(F.lit("https://t.example/"), k))
+    number = lambda c: c.cast("double")
+    return d.select(
+        k.alias("seq"),
+        F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("title"),
+        F.coalesce("text", F.lit("")).alias("summary"),
+        F.col("source").alias("source_name"),
+        link.alias("article_url"),
+        talk.alias("discussion_url"),
+        none.cast("string").alias("hn_item_id"),
+        number(F.when(k % 11 == 0, k % 2)).alias("review_score"),
+        number(F.when(k % 2 == 0, k % 3)).alias("reranker_score"),
+        number(F.coalesce("quality", F.lit(0))).alias("importance"),
+        number(k % 5).alias("confidence"),
+        number(F.when(talk.isNotNull(), k % 7)).alias("hn_score"),
+        number(F.when(talk.isNotNull(), k % 2)).alias("hn_comments"),
+        number(F.when(k % 9 > 0, F.col("n_chars") % 4)).alias("published"),
+        F.array().cast("array<string>").alias("also_from"),
+        F.array().cast("array<string>").alias("merged_summaries"),
+    )
+
+
+_LINKED = f"""e AS (SELECT doc_id AS seq, coalesce(text, '') AS summary, source, CASE WHEN doc_id % 4 = 0 THEN 'https://a.example/' || doc_id // 20 END AS url,
+  CASE WHEN doc_id % 12 = 0 THEN 'https://a.example/' || doc_id // 20 WHEN doc_id % 3 = 0 THEN 'https://t.example/' || doc_id END AS talk, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 END AS score,
+  {_TITLE.format("string_split(coalesce(text, ''), chr(10))[1]")} AS title, [coalesce(CASE WHEN doc_id % 11 = 0 THEN doc_id % 2 END, -1), coalesce(CASE WHEN doc_id % 2 = 0 THEN doc_id % 3 END, -1), coalesce(quality, 0), doc_id % 5,
+    coalesce(CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 END, -1), coalesce(CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 END, -1), coalesce(CASE WHEN doc_id % 9 > 0 THEN n_chars % 4 END, -1e300)] AS r FROM documents LEFT JOIN labels USING (doc_id))"""
+_OWN_LINK = "CASE WHEN {0}.url <> coalesce({0}.talk, '') THEN {0}.url END"
+
+
+@query(f"""WITH RECURSIVE {_LINKED},
+n AS (SELECT coalesce(url, title) AS k, struct_pack(seq := seq, summary := summary, source := source, url := url, talk := talk, score := score, r := r, also := CAST([] AS VARCHAR[]), merged := CAST([] AS VARCHAR[])) AS x,
+  row_number() OVER (PARTITION BY coalesce(url, title) ORDER BY seq) AS i FROM e),
+f AS (SELECT k, i, x.seq AS pos, x FROM n WHERE i = 1
+  UNION ALL SELECT k, i, pos, struct_pack(seq := w.seq, summary := w.summary, source := w.source, url := coalesce({_OWN_LINK.format("w")}, {_OWN_LINK.format("o")}, w.url),
+      talk := CASE WHEN w.talk IS NULL AND o.talk IS NOT NULL THEN o.talk ELSE w.talk END, score := CASE WHEN w.talk IS NULL AND o.talk IS NOT NULL THEN o.score ELSE w.score END, r := w.r,
+      also := list_distinct(w.also || list_filter([o.source] || o.also, lambda z: z IS NOT NULL AND z <> '' AND z <> w.source)),
+      merged := list_distinct(CASE WHEN len(w.merged) > 0 THEN w.merged ELSE [w.summary] END || [o.summary] || o.merged))
+  FROM (SELECT n.k, n.i, pos, CASE WHEN n.x.r > f.x.r THEN n.x ELSE f.x END AS w, CASE WHEN n.x.r > f.x.r THEN f.x ELSE n.x END AS o FROM f JOIN n ON n.k = f.k AND n.i = f.i + 1)),
+z AS (SELECT arg_max(pos, i) AS pos, arg_max(x, i) AS x FROM f GROUP BY k)
+SELECT pos, x.seq AS seq, x.source AS source_name, array_to_string(list_sort(x.also), '|') AS also, CAST(len(x.merged) AS BIGINT) AS n_merged, sha256(array_to_string(list_sort(x.merged), '|')) AS merged_sha256,
+  x.url AS article_url, x.talk AS discussion_url, CAST(x.score AS DOUBLE) AS hn_score FROM z""")
 def fold_dedupe(spark, sf_dir):
-    folded = entries.fold_entries(_entries(spark, sf_dir))
-    return folded.select("pos", "seq", "source_name", F.size("also_from").cast("long").alias("n_also"))
+    folded = entries.fold_entries(_linked_entries(spark, sf_dir))
+    said = lambda c: F.array_join(F.array_sort(c), "|")
+    merged = F.sha2(said("merged_summaries"), 256).alias("merged_sha256")
+    return folded.select("pos", "seq", "source_name", said("also_from").alias("also"), F.size("merged_summaries").cast("long").alias("n_merged"), merged, "article_url", "discussion_url", "hn_score")
 
 
-@query("""SELECT seq FROM (SELECT doc_id AS seq, coalesce(quality, 0) AS q FROM documents LEFT JOIN labels USING (doc_id)) ORDER BY q DESC, seq LIMIT 50""")
+@query(f"""WITH {_LINKED} SELECT seq, source AS source_name, CAST(row_number() OVER (PARTITION BY source ORDER BY r DESC, seq) AS INTEGER) AS rank FROM e""")
 def entry_order(spark, sf_dir):
-    return entries.in_rank_order(_entries(spark, sf_dir)).limit(50).select("seq")
+    rows = _linked_entries(spark, sf_dir)
+    return entries.numbered(rows, ["source_name"], entries.rank_of(F.col).desc(), F.col("seq")).select("seq", "source_name", "rank")
+
+
+@query(f"""WITH {_LINKED} SELECT seq FROM e ORDER BY r DESC, seq LIMIT 100""")
+def entry_top(spark, sf_dir):
+    return entries.in_rank_order(_linked_entries(spark, sf_dir)).limit(100).select("seq")
 
 
 # ---- subscriptions ----------------------------------------------------------------------------------------------
