@@ -61,7 +61,8 @@ def repeated_words(hashes: Column) -> Column:
 
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r\n", "") != "")
+    # trimming ends at the first word, where taking white space out would go on to the end
+    lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(" \t\x0b\x0c\r")) != "")
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
@@ -82,7 +83,7 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio
         "text",
         _hashed(text, lambda w, s: F.struct(*[f(w, s) for f in of_words])).alias("w"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size(F.split(text, f"[{SYMBOLS}]")) - 1).cast("long").alias("n_symbols"),
         duplicate_lines(text).alias("n_dup_lines"),
     ).select("doc_id", "text", "w.*", "word_chars", "n_symbols", "n_dup_lines").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
