@@ -40,7 +40,7 @@ def sources_table(spark: SparkSession, config: dict[str, Any], only: str | None
 def named_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows with their source's name, or its id where it has none."""
     names = sources.select("source_id", F.col("source_name").alias("_name"))
-    return rows.join(F.broadcast(names), "source_id", "left").withColumn("source_name", F.coalesce("_name", "source_id")).drop("_name")
+    return rows.join(names, "source_id", "left").withColumn("source_name", F.coalesce("_name", "source_id")).drop("_name")
 
 
 def follow_redirects(urls: DataFrame, hops: DataFrame, most: int = 5) -> DataFrame:
@@ -98,8 +98,10 @@ def shrunk_to_budget(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
 
 
 def new_deliveries(parents: DataFrame, destinations: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Pending deliveries of each parent to each destination that has none yet; destinations are a configured few."""
-    pairs = parents.select(key).join(F.broadcast(destinations.select("destination_key").distinct()))
+    """Pending deliveries of each parent to each destination that has none yet; destinations are a configured few, which come to
+    each row as one list."""
+    listed = destinations.agg(F.array_sort(F.collect_set("destination_key"))).scalar()
+    pairs = parents.select(key, F.explode(listed).alias("destination_key"))
     return pairs.join(stored.select(key, "destination_key"), [key, "destination_key"], "left_anti").withColumn("state", F.lit("pending"))
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from sparkdigest.functions.text import fold
 from sparkdigest.functions.time import before, offset_seconds
+from sparkdigest.session import bounded
 
+#: Rules at most.
+RULES_MOST = 10_000
 #: Columns of a rule: a clause that is null holds, an empty list of words holds.
 RULES = "rule_seq int, rule_id string, calendar_id string, has_location boolean, all_day boolean, title_contains array<string>, location_contains array<string>, reminders array<struct<id:string,before:string>>"
 
@@ -32,10 +35,10 @@ def schedule(events: DataFrame, rules: DataFrame) -> DataFrame:
     """(calendar_id, event_id, instance_id, start, rule_id, before, reminder_at): each event's reminders.
 
     rules has RULES; the row with rule_id 'default' holds for all events and comes first. An unnamed reminder is named
-    rule:before. Of reminders of an event at the same instant the last by rule and place stays. Rules are configuration, a few
-    rows that a person has written, so they are broadcast and tested against every event.
+    rule:before. Of reminders of an event at the same instant the last by rule and place stays. Rules are configuration, rows
+    that a person has written, so they are broadcast and tested against every event; more than RULES_MOST are refused.
     """
-    found = events.join(F.broadcast(rules), rule_holds(events, rules)).select(
+    found = events.join(bounded(rules, RULES_MOST, "rules"), rule_holds(events, rules)).select(
         events["calendar_id"], "event_id", "instance_id", "start", "rule_seq", "rule_id", F.posexplode("reminders").alias("place", "r")
     )
     named = found.withColumn("rule_id", F.coalesce("r.id", F.concat_ws(":", "rule_id", "r.before"))).withColumn("reminder_at", before(F.col("start"), offset_seconds(F.col("r.before"))))

@@ -82,7 +82,7 @@ def cancelled(stored: DataFrame, wanted: DataFrame, keys: list[str], event_keys:
 def reconcile_destinations(deliveries: DataFrame, destinations: DataFrame, now: Column, key: str = "destination_key") -> DataFrame:
     """Open deliveries of destinations that are no longer configured retire; those of configured ones come back."""
     known = destinations.select(key).distinct().withColumn("_known", F.lit(True))
-    found = deliveries.join(F.broadcast(known), key, "left")
+    found = deliveries.join(known, key, "left")
     open_ = F.col("state").isin("pending", "failed")
     retired = F.when(open_ & F.col("_known").isNull(), F.coalesce("retired_at", now)).when(F.col("_known"), F.lit(None)).otherwise(F.col("retired_at"))
     return found.withColumn("retired_at", retired).drop("_known")

@@ -115,20 +115,26 @@ def shortlist_pairs(spark, sf_dir):
 
 _SCORED = f"""
 WITH d AS (SELECT doc_id, doc_id % 40 AS b, string_split(text, chr(10))[1] AS title FROM documents), n AS (SELECT item_id % 40 AS b, min(text) AS nearby FROM benchmark GROUP BY 1),
-t AS (SELECT doc_id, title, nearby, regexp_extract_all({_FOLD.format('title')}, '[\\p{{L}}\\p{{N}}_]+') AS w, regexp_extract_all({_FOLD.format("substr(title, 1, 40)")}, '[\\p{{L}}\\p{{N}}_]+') AS a,
+t AS (SELECT doc_id, title, nearby, regexp_extract_all({_FOLD.format('title')}, '[\\p{{L}}\\p{{N}}_]+') AS w, regexp_extract_all({_FOLD.format("CASE WHEN doc_id % 3 = 0 THEN substr(title, 1, 40) WHEN doc_id % 7 = 0 THEN title ELSE 'read more' END")}, '[\\p{{L}}\\p{{N}}_]+') AS a,
   regexp_extract_all({_FOLD.format('nearby')}, '[\\p{{L}}\\p{{N}}_]+') AS m FROM d JOIN n USING (b)),
-j AS (SELECT *, CASE WHEN len(w) = 0 AND len(a) = 0 THEN 0 ELSE len(list_intersect(list_distinct(w), list_distinct(a))) / CAST(len(list_distinct(list_concat(w, a))) AS DOUBLE) END AS s FROM t)
+j AS (SELECT *, CASE WHEN len(w) = 0 AND len(a) = 0 THEN 0 ELSE len(list_intersect(list_distinct(w), list_distinct(a))) / CAST(len(list_distinct(list_concat(w, a))) AS DOUBLE) END AS s,
+  CASE WHEN doc_id % 5 > 0 OR len(list_distinct(w)) < 2 THEN 0 ELSE (len(list_distinct(w)) - 1) / CAST(len(list_distinct(w)) AS DOUBLE) END AS u FROM t)
 SELECT doc_id, CASE WHEN array_to_string(a, ' ') = array_to_string(w, ' ') THEN 'exact_anchor' WHEN len(w) > 0 AND contains(array_to_string(m, ' '), array_to_string(w, ' ')) THEN 'heading_context'
-  WHEN len(w) > 0 AND s >= 0.7 THEN 'fuzzy_anchor' ELSE 'unmatched' END AS method,
+  WHEN len(w) > 0 AND s >= 0.7 THEN 'fuzzy_anchor' WHEN u >= 0.7 THEN 'url_slug' ELSE 'unmatched' END AS method,
   round(CASE WHEN array_to_string(a, ' ') = array_to_string(w, ' ') THEN 1 WHEN len(w) > 0 AND contains(array_to_string(m, ' '), array_to_string(w, ' ')) THEN 0.9
-  WHEN len(w) > 0 AND s >= 0.7 THEN s ELSE 0 END, 6) AS score FROM j"""
+  WHEN len(w) > 0 AND s >= 0.7 THEN s WHEN u >= 0.7 THEN u ELSE 0 END, 6) AS score FROM j"""
 
 
 @query(_SCORED)
 def jaccard_match(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("b"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     near = read(spark, sf_dir, "benchmark").groupBy((F.col("item_id") % 40).alias("b")).agg(F.min("text").alias("nearby"))
-    m = matching.match_score(F.col("title"), F.left("title", F.lit(40)), F.col("nearby"), F.lit("https://example.com/"))
+    words = text.word_tokens(F.col("title"))
+    anchor = F.when(F.col("doc_id") % 3 == 0, F.left("title", F.lit(40))).when(F.col("doc_id") % 7 == 0, F.col("title")).otherwise("read more")
+    # every fifth link has all words of the title but the last in its path
+    slug = F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), "-")
+    url = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("https://a.example/"), slug, F.lit("?x=1"))).otherwise("https://example.com/")
+    m = matching.match_score(F.col("title"), anchor, F.col("nearby"), url)
     return docs.join(near, "b").withColumn("m", m).select("doc_id", "m.method", F.round("m.score", 6).alias("score"))
 
 

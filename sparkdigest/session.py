@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTC makes instants and oracles agree; LAST_WIN is how repeated headers behave; AQE splits skewed joins.
 SETTINGS = {
@@ -29,6 +30,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df, to be sent to every task, once Spark has found that it has `most` rows at most; more are refused."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return F.broadcast(df)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, below spark.checkpoint.dir; where that is unset, on a local master only
     (tests), below a temporary one."""
