@@ -7,6 +7,7 @@ native expression over the answer, the rules of operators/checks among them.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -40,6 +41,16 @@ def lines_model(prompts: list[str], before: list[str | None], wrong: list[str |
     return out
 
 
+def first_line_model(prompts: list[str], before: list[str | None], wrong: list[str | None]) -> list[str | None]:
+    """Stand-in without a model: a rewrite is the first words of the source; it covers the item if they share one with the title."""
+    out = []
+    for prompt in prompts:
+        title, _, source = prompt.partition("\nbasis=")
+        words = re.findall(r"\w+", source.partition("\n")[2])[:40]
+        out.append(json.dumps({"summary": " ".join(words), "why": "it is there", "covers": bool(set(words) & set(re.findall(r"\w+", title)))}))
+    return out
+
+
 def asked(rows: DataFrame, key: str, prompt: Column, model: Model, judge: Callable[[Column], Column], batch: int = 16) -> DataFrame:
     """(key, answer, error, calls) of every row: the answer that no rule is broken by, after one call or two, else null and the
     code of what was wrong with the last one. judge(answer) gives a code or null; a failed call is not repaired.

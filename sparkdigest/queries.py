@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkdigest.functions import chunks, markup, text, time, url
 from sparkdigest.operators import checks, entries, feeds, matching, records, schedule, selection, state, subscriptions
+from sparkdigest.plans import calls
 from sparkdigest.plans import digest as digest_plan
 from sparkdigest.session import prepare
 
@@ -763,6 +764,16 @@ def digest_assembly(spark, sf_dir):
     return digest_plan.assemble(_entries(spark, sf_dir).withColumn("digest_id", F.col("seq") % 10).withColumn("category", F.lit("AI")))
 
 
+@query()
+def digest_published(spark, sf_dir):
+    """Every tenth document to a digest; articles are the documents themselves, and a rewrite is their first line."""
+    rows = _linked_entries(spark, sf_dir).withColumn("digest_id", F.col("seq") % 10).withColumn("category", F.lit("AI")).withColumn("why", F.lit("w"))
+    rows = rows.withColumn("reranker_score", F.lit(None).cast("double")).withColumn("review_score", F.lit(None).cast("double"))
+    articles = rows.where("seq % 3 > 0").select("digest_id", "seq", F.col("summary").alias("text"))
+    live = rows.select(F.concat_ws(":", "digest_id", "seq").alias("item_id"))
+    return digest_plan.published(rows, articles, calls.first_line_model, live, ("overlap", "1")).entries
+
+
 @query("""WITH RECURSIVE h AS (SELECT o_orderkey AS url, o_orderkey - 7 AS location FROM orders WHERE o_orderkey % 5 <> 0),
 w AS (SELECT o_orderkey AS raw_url, o_orderkey AS cur, 0 AS n FROM orders UNION ALL SELECT raw_url, location, n + 1 FROM w JOIN h ON cur = url WHERE n < 6)
 SELECT CAST(raw_url AS VARCHAR) AS raw_url, CASE WHEN max(n) <= 5 THEN CAST(arg_max(cur, n) AS VARCHAR) END AS final_url, CAST(max(n) AS BIGINT) AS n_hops, CASE WHEN max(n) > 5 THEN 'URL_TOO_MANY_REDIRECTS' END AS error FROM w GROUP BY raw_url""")

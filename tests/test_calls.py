@@ -85,3 +85,28 @@ def test_scores_are_audited_once_and_only_finite_ones(spark):
     scored = spark.createDataFrame([(1, 0.5), (1, 0.7), (2, float("nan")), (3, float("inf")), (4, None), (5, 0.1), (1, float("nan"))], "item_id int, score double")
     live = spark.createDataFrame([(1,), (2,), (3,), (4,), (9,)], "item_id int")
     assert [tuple(r) for r in calls.score_audit(scored, live, "m", "v1").collect()] == [(1, 0.7, "m", "v1")]
+
+
+def test_published_digests(spark, tmp_path):
+    """Two digests: rewrites hold or are left, an entry whose rewrite gives it another's title is folded, scores are kept."""
+    from sparkdigest.plans import digest
+    from tests.test_operators import NAMES
+
+    base = {"source_name": "p", "discussion_url": None, "hn_item_id": None, "review_score": None, "reranker_score": None, "importance": 1.0, "confidence": 1.0, "hn_score": None, "hn_comments": None, "published": 1.0, "also_from": [], "merged_summaries": []}
+    entry = lambda d, seq, title, url=None: base | {"digest_id": d, "seq": seq, "title": title, "summary": f"old {title}", "article_url": url, "category": "AI", "why": "old why"}
+    rows = [entry(d, seq, title, url) for d in (1, 2) for seq, title, url in ((1, "Ada one", None), (2, "Bert two", "https://a.example/2"), (3, "Carl three", None), (4, "Ada one", None))]
+    df = spark.createDataFrame(rows, f"digest_id long, {NAMES}, category string, why string")
+    articles = spark.createDataFrame([(1, 1, "Ada said much"), (1, 2, "nothing of him"), (2, 3, "Carl was there"), (2, 9, "x")], "digest_id long, seq long, text string")
+    live = spark.createDataFrame([("1:1",), ("1:2",), ("2:3",), ("7:7",)], "item_id string")
+    out = digest.published(df, articles, calls.first_line_model, live, ("m", "v"), rerank=lambda t, s: F.length(t).cast("double"), top=3)
+    found = {(r.digest_id, r.seq): (r.summary, r.why, r.basis, r.rewrite_error) for r in out.entries.collect()}
+    assert found == {
+        (1, 1): ("Ada said much", "it is there", "article", None),
+        (1, 2): ("old Bert two", "old why", "article", "NOT_COVERED"),
+        (1, 3): ("old Carl three", "old why", None, "NO_SOURCE"),
+        (2, 1): ("old Ada one old why", "it is there", "newsletters", None),
+        (2, 2): ("old Bert two", "old why", None, "NO_SOURCE"),
+        (2, 3): ("Carl was there", "it is there", "article", None),
+    }
+    assert sorted((r.digest_id, r["rank"]) for r in out.entries.collect()) == [(d, k) for d in (1, 2) for k in (1, 2, 3)]
+    assert sorted(map(tuple, out.scores.collect())) == [("1:1", 7.0, "m", "v"), ("1:2", 8.0, "m", "v"), ("2:3", 10.0, "m", "v")]
