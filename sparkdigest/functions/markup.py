@@ -11,13 +11,16 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Characters of a usable article, least and most; links of a mail and characters beside each.
 LEAST, MOST, MOST_LINKS, NEARBY = 500, 30_000, 200, 400
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul title".split())
+# Elements and classes whose text is left out of articles, and of mails.
 DROPPED = frozenset("script style noscript form nav footer aside iframe svg canvas template".split())
 DROPPED_MAIL = frozenset("script style noscript form footer".split())
 DROPPED_CLASSES = frozenset(["share", "sharing", "social", "advertisement", "ad"])
 HEADING = re.compile("h[1-6]")
+# Lines of a mail's footer, and links that lead to no article.
 FOOTER_LINE = re.compile(r"(?:unsubscribe|manage preferences|privacy policy|取消訂閱)(?:\s*[|·/]\s*(?:unsubscribe|manage preferences|privacy policy|取消訂閱))*", re.I)
 CONTROL_LABEL = re.compile(
     r"(?:unsubscribe(?: from (?:this|all) emails?)?|manage preferences|privacy policy|terms(?: of (?:service|use))?|view (?:this )?email"
@@ -102,12 +105,15 @@ def _prune(root: Node, gone) -> None:
 
 
 def _hidden(n: Node) -> bool:
-    style = n.attrs.get("style", "").replace(" ", "").lower()
-    return "hidden" in n.attrs or "display:none" in style or "visibility:hidden" in style
+    """By the attribute, or by a declaration of its style that doesn't show it."""
+    said = {tuple(re.sub(r"\s|!important", "", d).lower().split(":", 1)) for d in n.attrs.get("style", "").split(";")}
+    return "hidden" in n.attrs or not said.isdisjoint({("display", "none"), ("visibility", "hidden")})
 
 
 def _lines(text: str) -> str:
-    return "\n".join(x for x in (re.sub(r"[ \t]+", " ", line).strip() for line in text.splitlines()) if x)
+    """Lines with text in them, white space inside a line as one space."""
+    squeezed = [" ".join(re.split(r"[ \t]+", line.strip())) for line in text.splitlines()]
+    return "\n".join(filter(None, squeezed))
 
 
 def article(page: str | None) -> dict:

@@ -105,16 +105,24 @@ def model_name(name: Column) -> Column:
     return F.when(F.contains(name, F.lit(":")), name).otherwise(F.concat(name, F.lit(":latest")))
 
 
+# What a chat client would act on, and what stands in for it, in this order.
+INERT = {
+    r"(?i)@(everyone|here)\b": "＠$1",
+    r"<@([!&]?)(\d+)>": "<＠$1$2>",
+    r"(?i)(?<!\w)(https?)://": "$1[:]//",
+    r"(?i)(?<!\w)www\.": "www[.]",
+    r"(?m)^([ \t]*)([-+]|\d+[.)])(?=\s|#)": r"$1\\$2",
+    r"(?m)^([ \t]*)(-{3,})[ \t]*$": r"$1\\$2",
+    r"([\\*_~`|><#!\[\]()])": r"\\$1",
+}
+
+
 def inert_text(text: Column) -> Column:
     """Untrusted text made inert for a chat client: no control signs, mentions, links, lists, rules or markup."""
     text = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), CONTROL, "")
-    text = F.regexp_replace(text, r"(?i)@(everyone|here)\b", "＠$1")
-    text = F.regexp_replace(text, r"<@([!&]?)(\d+)>", "<＠$1$2>")
-    text = F.regexp_replace(text, r"(?i)(?<!\w)(https?)://", "$1[:]//")
-    text = F.regexp_replace(text, r"(?i)(?<!\w)www\.", "www[.]")
-    text = F.regexp_replace(text, r"(?m)^([ \t]*)([-+]|\d+[.)])(?=\s|#)", r"$1\\$2")
-    text = F.regexp_replace(text, r"(?m)^([ \t]*)(-{3,})[ \t]*$", r"$1\\$2")
-    return F.regexp_replace(text, r"([\\*_~`|><#!\[\]()])", r"\\$1")
+    for pattern, instead in INERT.items():
+        text = F.regexp_replace(text, pattern, instead)
+    return text
 
 
 def agenda_cell(text: Column) -> Column:
