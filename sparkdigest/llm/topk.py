@@ -147,7 +147,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, i
     # each block of queries is sent to every share of the candidates, which reads its blocks one after the other
     left = left.select("width", F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
     right = right.select("width", "share", F.col("ids").alias("c_ids"), F.col("data").alias("c"))
-    pairs = left.join(right, ["width", "share"]).select("width", "q_ids", "q", "c_ids", "c")
+    # no broadcast: files of queries are small next to what their copies for all shares take, and a sort keeps a block's pairs together
+    pairs = left.join(right.hint("merge"), ["width", "share"]).select("width", "q_ids", "q", "c_ids", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, Lists] = {}
