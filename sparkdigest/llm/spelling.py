@@ -89,7 +89,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n) of words(word, n) that differ by one inserted, deleted or replaced letter, each pair once."""
     listed = _listed(words)
     a, b = listed.alias("a"), listed.alias("b")
-    met = a.join(b, ["key", "rest"]).where("not a.whole and (b.whole or a.word < b.word)")
+    # no broadcast: Spark judges the lists by the file of words, of which they are many times the size in memory
+    met = a.join(b.hint("merge"), ["key", "rest"]).where("not a.whole and (b.whole or a.word < b.word)")
     # A letter that goes may be the same one in several parts: the pair counts in the part with the first difference.
     less = F.least(F.length("a.word") - 1, F.length("b.word"))
     end = _bound(F.when(F.col("b.whole"), F.length("b.word")).otherwise(less), F.col("a.part") + 1)
@@ -104,7 +105,7 @@ def _forms(words: DataFrame) -> DataFrame:
     both = F.explode(F.array(F.struct("word", "n", "other", "other_n"), F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))))
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("word")))
     near = pairs.select(both.alias("p")).select("p.*").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    told = words.join(near, "word", "left")
+    told = words.join(near.hint("merge"), "word", "left")
     often = -F.col("best.less") >= RATIO * F.col("n")
     return told.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(often, F.col("best.word")).alias("form"), F.when(often, -F.col("best.less")).alias("form_n"))
 
@@ -114,9 +115,9 @@ def _with_roots(forms: DataFrame) -> DataFrame:
     links = written(forms.where("form is not null").select("word", F.col("form").alias("root"), F.lit(True).alias("open")), "links")
     while links.where("open").take(1):
         on = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        further = links.join(on, "root", "left")
+        further = links.join(on.hint("merge"), "root", "left")
         links = written(further.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("open")), "links")
-    return forms.join(links.select("word", "root"), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return forms.join(links.select("word", "root").hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variants(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkdigest.llm import topk
+from sparkdigest.llm import spelling, topk
 
 
 def _plan(df):
@@ -16,3 +16,11 @@ def test_blocks_of_queries_are_not_broadcast(spark):
     found = topk.search(vectors, F.col("id") % 20 == 0, k=3)
     assert "SortMergeJoin" in _plan(found) and "Broadcast" not in _plan(found)
     assert [tuple(r) for r in found.where("query_id = 380").orderBy("rank").select("rank", "vec_id").collect()] == [(1, 399), (2, 398), (3, 397)]
+
+
+def test_lists_of_words_are_not_broadcast(spark):
+    words = spark.createDataFrame([("lantern", 9), ("lanterm", 3), ("lanten", 4), ("copper", 5)], "word string, n long")
+    forms = spelling._forms(words)
+    for df in (forms, spelling._with_roots(forms)):
+        assert "SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df)
+    assert sorted((r.word, r.form) for r in forms.collect()) == [("copper", None), ("lanten", "lantern"), ("lanterm", "lantern"), ("lantern", None)]
