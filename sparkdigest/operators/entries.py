@@ -61,25 +61,28 @@ def _absorb(winner: Column, other: Column, names: list[str]) -> Column:
     )
 
 
-def fold_entries(entries: DataFrame, within: list[str] | None = None) -> DataFrame:
+def fold_entries(entries: DataFrame, within: list[str] | None = None, lent_counts: bool = True) -> DataFrame:
     """One entry for each key (link, feed id or title), the strongest, having absorbed the others in their order.
 
     entries has seq, title, summary, source_name, article_url, discussion_url, hn_item_id, the parts of RANK, and
     also_from and merged_summaries (arrays). The fold is replayed as it arrives: a newcomer of higher rank takes over and
     absorbs the winner so far, any other is absorbed by it; equal ranks leave the earlier one. The result has pos, the
     seq at which the key appeared first. An entry's key group is folded in one task: the entries of one story. `within`
-    names columns (a digest) that entries must share to meet.
+    names columns (a digest) that entries must share to meet. A winner that borrows a discussion has its score in its rank from
+    then on; with lent_counts False entries keep the rank that they arrived with.
     """
     within = within or []
     names = [*dict.fromkeys(["seq", *entries.columns])]
+    if not lent_counts:
+        entries, names = entries.withColumn("rank__", rank_of(F.col)), [*names, "rank__"]
     # seq comes first in the struct, so that sorting is in order of arrival
     keyed = entries.withColumn("_key", entry_key(F.col("article_url"), F.col("hn_item_id"), F.col("title")))
     grouped = keyed.groupBy(*within, "_key").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
-    rank = lambda row: rank_of(lambda k: row[k])
+    rank = lambda row: rank_of(lambda k: row[k]) if lent_counts else row["rank__"]
     step = lambda a, row: F.when(rank(row) > rank(a), _absorb(row, a, names)).otherwise(_absorb(a, row, names))
     kind = F.get("rows", F.lit(0))
     folded = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), kind, step)
-    return grouped.select(F.col("rows")[0]["seq"].alias("pos"), folded.alias("_row")).select("pos", "_row.*")
+    return grouped.select(F.col("rows")[0]["seq"].alias("pos"), folded.alias("_row")).select("pos", "_row.*").drop("rank__")
 
 
 def ordered_distinct(rows: DataFrame, keys: list[str], value: str, seq: str = "seq", name: str = "values") -> DataFrame:

@@ -82,6 +82,14 @@ def test_fold_equals_plain_python(spark):
     assert [[r[c] for c in cols] for r in got] == [[w[c] for c in cols] for w in want]
 
 
+def test_a_borrowed_score_counts_only_if_asked(spark):
+    row = lambda seq, talk, score: {"seq": seq, "title": "a", "summary": "s", "source_name": "p", "article_url": None, "discussion_url": talk, "hn_item_id": None, "review_score": None, "reranker_score": None, "importance": 0.0 if seq == 1 else 1.0, "confidence": 0.0, "hn_score": score, "hn_comments": None, "published": None, "also_from": [], "merged_summaries": []}
+    df = spark.createDataFrame([row(0, None, None), row(1, "https://t.example/1", 4.0), row(2, "https://t.example/2", 3.0)], NAMES)
+    assert [(r.seq, r.hn_score) for r in entries.fold_entries(df).collect()] == [(0, 4.0)]
+    assert [(r.seq, r.hn_score) for r in entries.fold_entries(df, lent_counts=False).collect()] == [(2, 3.0)]
+    assert "rank__" not in entries.fold_entries(df, lent_counts=False).columns
+
+
 LINKS = "document_id int, candidate_id string, raw_url string, anchor_text string, nearby_text string, position int, kind string"
 
 
