@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from sparkdigest.llm import spelling, topk
+from sparkdigest.operators import matching
 
 
 def _plan(df):
@@ -24,3 +27,22 @@ def test_lists_of_words_are_not_broadcast(spark):
     for df in (forms, spelling._with_roots(forms)):
         assert "SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df)
     assert sorted((r.word, r.form) for r in forms.collect()) == [("copper", None), ("lanten", "lantern"), ("lanterm", "lantern"), ("lantern", None)]
+
+
+def test_a_token_of_many_rows_gives_few_pairs(spark):
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.concat(F.lit("Alpha T"), (F.col("id") % 40).cast("string")).alias("text"))
+    found = matching.first_pairs(rows, "doc_id", ["source"], 6)
+    every = sorted((a, b) for a in range(300) for b in range(a + 1, 300))
+    got = sorted((r.left_id, r.right_id) for r in found.collect())
+    assert got[:6] == every[:6] and len(got) <= 41 * 12
+    assert "WindowGroupLimit" in _plan(found)
+
+
+def test_first_pairs_of_rare_tokens(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"N{rng.randint(0, 9)}" for _ in range(rng.randint(0, 3))) for _ in range(60)]
+    df = spark.createDataFrame([(k, "a", t) for k, t in enumerate(texts)], "doc_id long, source string, text string")
+    every = [(a, b) for a in range(60) for b in range(a + 1, 60) if set(texts[a].split()) & set(texts[b].split())]
+    for most in (1, 7, 40):
+        got = sorted((r.left_id, r.right_id) for r in matching.first_pairs(df, "doc_id", ["source"], most).collect())
+        assert got[:most] == every[:most] and set(got) <= set(every)
