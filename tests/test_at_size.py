@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from sparkdigest.functions import markup
 from sparkdigest.llm import spelling, topk
 from sparkdigest.operators import matching
 
@@ -46,3 +48,12 @@ def test_first_pairs_of_rare_tokens(spark):
     for most in (1, 7, 40):
         got = sorted((r.left_id, r.right_id) for r in matching.first_pairs(df, "doc_id", ["source"], most).collect())
         assert got[:most] == every[:most] and set(got) <= set(every)
+
+
+def test_pages_are_worked_on_in_small_stretches():
+    pages = pd.Series([f'<title>t{k}</title><a href="https://a.example/{k}">x</a>' for k in range(150)])
+    links = list(markup.extract_links.func(iter([(pd.Series([""] * 150), pages)])))
+    texts = list(markup.extract_article.func(iter([pages])))
+    assert max(map(len, links)) <= 64 and max(map(len, texts)) <= 64
+    assert [x[0]["raw_url"] for b in links for x in b["links"]] == [f"https://a.example/{k}" for k in range(150)]
+    assert [t for b in texts for t in b["title"]] == [f"t{k}" for k in range(150)]
