@@ -6,11 +6,15 @@ micro-batch) goes on with the chunk after it. Tasks put down what became of thei
 once the driver's commit lists them.
 
     spark.dataSource.register(MySink)     # a ChunkSink whose service() talks to the real one
-    deliveries.write.format("chunks").mode("append").option("path", folder).save()
+    dealt(deliveries).write.format("chunks").mode("append").option("path", folder).save()
     deliveries.writeStream.format("chunks").option("path", folder).option("checkpointLocation", ...).start()
 
-A live service may take a chunk twice only if a task dies between its answer and the note of it, or if speculative tasks run: leave
-spark.speculation off. The folder must be one that driver and executors see.
+Notes lie in BUCKETS folders by a hash of the delivery, a file for each task and bucket, so that any task finds those of any run.
+dealt() gives each bucket to one task, which reads it once; without it the result is the same, but each task reads the buckets that
+it meets. A note is written before the next chunk is sent, and forced to the disk unless that was done within the last SYNC seconds.
+
+A live service may take a chunk twice only if a task dies between its answer and the note of it, if a machine loses its power within
+SYNC seconds of the note, or if speculative tasks run: leave spark.speculation off. The folder must be one that driver and executors see.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ import json
 import os
 import time
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -34,6 +40,8 @@ LOG = "delivery_id string, destination string, n_chunks int, n_sent int, error s
 # Tries of a chunk, the wait that is asked for at most, and error codes.
 TRIES, LONGEST_WAIT = 4, 30.0
 FAILED, LIMITED, CORRUPT = "DISCORD_DELIVERY_FAILED", "DISCORD_RATE_LIMITED", "DISCORD_MESSAGE_IDS_CORRUPT"
+#: Folders of notes; seconds between two times that notes are forced to the disk; buckets that a task keeps open.
+BUCKETS, SYNC, OPEN = 4096, 0.02, 64
 REFUSED = {401: "DISCORD_BOT_UNAUTHORIZED", 403: "DISCORD_BOT_FORBIDDEN", 404: "DISCORD_BOT_CHANNEL_NOT_FOUND"}
 
 
@@ -75,7 +83,11 @@ class ScriptedService:
 
 
 class Notes:
-    """Message ids of the chunks that were taken, a file of JSON lines for each delivery; a line without its end doesn't count."""
+    """Message ids of the chunks that were taken, in order.
+
+    They are in the files of the delivery's bucket, as lines of destination, delivery, place and id, after those of a file of the
+    delivery's own, as add() and earlier versions write it; a line without its end doesn't count.
+    """
 
     def __init__(self, folder: str):
         self.folder = folder
@@ -83,16 +95,32 @@ class Notes:
     def _path(self, destination: str, delivery: str) -> str:
         return os.path.join(self.folder, hashlib.sha256(json.dumps([destination, delivery]).encode()).hexdigest())
 
+    def _bucket(self, destination: str, delivery: str) -> str:
+        return os.path.join(self.folder, f"b{zlib.crc32(f'{destination}:{delivery}'.encode('utf-8', 'replace')) % BUCKETS:03x}")
+
+    def _listed(self, bucket: str) -> dict[tuple[str, str], dict[int, str]] | None:
+        """Ids by place of all deliveries of a bucket, None if some line of it can't be read: nobody knows whose it is."""
+        found: dict[tuple[str, str], dict[int, str]] = {}
+        for name in sorted(os.listdir(bucket)) if os.path.isdir(bucket) else []:
+            try:
+                for line in _whole_lines(os.path.join(bucket, name)):
+                    destination, delivery, place, message_id = json.loads(line)
+                    found.setdefault((destination, delivery), {})[place] = message_id
+            except (TypeError, ValueError):
+                return None
+        return found
+
     def taken(self, destination: str, delivery: str) -> list[str]:
+        listed = self._listed(self._bucket(destination, delivery))
         try:
-            with open(self._path(destination, delivery), encoding="utf-8") as f:
-                lines = [x for x in f if x.endswith("\n")]
+            ids = [json.loads(x) for x in _whole_lines(self._path(destination, delivery))]
         except FileNotFoundError:
-            return []
-        try:
-            ids = [json.loads(x) for x in lines]
+            ids = []
         except ValueError:
             raise DeliveryError(CORRUPT) from None
+        if listed is None:
+            raise DeliveryError(CORRUPT)
+        ids += [x for _, x in sorted(listed.get((destination, delivery), {}).items())]
         if not all(isinstance(x, str) for x in ids):
             raise DeliveryError(CORRUPT)
         return ids
@@ -105,6 +133,64 @@ class Notes:
             os.fsync(f.fileno())
 
 
+def _whole_lines(path: str) -> list[str]:
+    with open(path, encoding="utf-8") as f:
+        return [x for x in f if x.endswith("\n")]
+
+
+class TaskNotes(Notes):
+    """The notes of a task: a bucket is read when its first delivery comes, and the task adds to a file of its own in it. The last
+    OPEN buckets are kept."""
+
+    def __init__(self, folder: str):
+        super().__init__(folder)
+        self.name, self.synced = uuid.uuid4().hex, time.monotonic()
+        self.known: dict[str, dict | None] = {}
+        self.files: dict[str, int] = {}
+        self.fresh: set[int] = set()
+
+    def _listed(self, bucket: str) -> dict[tuple[str, str], dict[int, str]] | None:
+        if bucket not in self.known:
+            if len(self.known) >= OPEN:
+                self._leave(next(iter(self.known)))
+            self.known[bucket] = super()._listed(bucket)
+        return self.known[bucket]
+
+    def _leave(self, bucket: str) -> None:
+        del self.known[bucket]
+        if (file := self.files.pop(bucket, None)) is not None:
+            if file in self.fresh:
+                os.fsync(file)
+            self.fresh.discard(file)
+            os.close(file)
+
+    def add(self, destination: str, delivery: str, message_id: str) -> None:
+        bucket = self._bucket(destination, delivery)
+        own = self._listed(bucket).setdefault((destination, delivery), {})
+        place = max(own, default=-1) + 1
+        if (file := self.files.get(bucket)) is None:
+            os.makedirs(bucket, exist_ok=True)
+            file = self.files[bucket] = os.open(os.path.join(bucket, self.name), os.O_WRONLY | os.O_CREAT | os.O_APPEND, 0o666)
+        line = (json.dumps([destination, delivery, place, message_id]) + "\n").encode()
+        if os.write(file, line) < len(line):
+            raise OSError("a note was not written whole")
+        own[place] = message_id
+        self.fresh.add(file)
+        if time.monotonic() - self.synced >= SYNC:
+            self.sync()
+
+    def sync(self) -> None:
+        """Force what was noted to the disk."""
+        for file in self.fresh:
+            os.fsync(file)
+        self.fresh.clear()
+        self.synced = time.monotonic()
+
+    def close(self) -> None:
+        for bucket in [*self.known]:
+            self._leave(bucket)
+
+
 def wait_of(reply: Reply, attempt: int) -> float:
     """Seconds before the next try: what a busy service asks for, from 0 to LONGEST_WAIT, one if it names none or no number;
     twice as long each time for a broken one."""
@@ -178,14 +264,22 @@ class _Writer:
             raise ValueError("deliveries can't be taken back; use mode append")
 
     def write(self, iterator: Iterator[Row]) -> Told:
-        service, notes = self.sink.service(), Notes(os.path.join(self.path, "notes"))
+        service, notes = self.sink.service(), TaskNotes(os.path.join(self.path, "notes"))
+
+        def sleep(seconds: float) -> None:
+            notes.sync()
+            self.sink.sleep(seconds)
+
         told = Told(f"{uuid.uuid4().hex}.json", 0, 0)
         os.makedirs(folder := os.path.join(self.path, "log"), exist_ok=True)
-        with open(os.path.join(folder, told.file), "w", encoding="utf-8") as f:
-            for row in iterator:
-                n, error = delivered(row, service, notes, self.sink.sleep)
-                f.write(json.dumps({"delivery_id": row["delivery_id"], "destination": row["destination"], "n_chunks": len(row["chunks"] or []), "n_sent": n, "error": error}) + "\n")
-                told.ended, told.failed = told.ended + (error is None), told.failed + (error is not None)
+        try:
+            with open(os.path.join(folder, told.file), "w", encoding="utf-8") as f:
+                for row in iterator:
+                    n, error = delivered(row, service, notes, sleep)
+                    f.write(json.dumps({"delivery_id": row["delivery_id"], "destination": row["destination"], "n_chunks": len(row["chunks"] or []), "n_sent": n, "error": error}) + "\n")
+                    told.ended, told.failed = told.ended + (error is None), told.failed + (error is not None)
+        finally:
+            notes.close()
         return told
 
     def _count(self, messages: list[WriterCommitMessage | None], name: str) -> None:
@@ -245,6 +339,14 @@ def register(spark: SparkSession, sink: type[ChunkSink] = ChunkSink) -> None:
     spark.dataSource.register(sink)
 
 
+def dealt(deliveries: DataFrame) -> DataFrame:
+    """deliveries, each bucket of notes in one task and in one stretch of it; all tasks have some, however few the files they came in."""
+    key: Column = F.concat_ws(":", F.coalesce("destination", F.lit("")), F.coalesce("delivery_id", F.lit("")))
+    bucket = F.crc32(key.cast("binary")) % BUCKETS
+    tasks = int(deliveries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return deliveries.repartition(tasks, bucket).sortWithinPartitions(bucket)
+
+
 def log(spark: SparkSession, path: str) -> DataFrame:
     """LOG of the commits in a sink's folder, with the file of each row; a delivery has a row for each run that had it."""
     folder = os.path.join(path, "commits")

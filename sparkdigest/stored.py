@@ -285,7 +285,7 @@ def chunks_delivered(spark, sf_dir):
         answer = lambda k, run=run: F.when(k < key % 3, "lost" if run else "429:0 200").when((k == key % 3) & F.lit(run == 0), refused).otherwise("200")
         chunks = F.transform(F.slice(F.array(*map(F.lit, range(3))), F.lit(1), (key % 4).cast("int")), lambda k: F.concat(k.cast("string"), F.lit("|"), answer(k)))
         rows = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), key).alias("delivery_id"), F.lit("d").alias("destination"), F.when(key % 5 == 1, "bot").otherwise("webhook").alias("transport"), chunks.alias("chunks"))
-        rows.write.format("chunks").mode("append").option("path", path).option("waitScale", "0").save()
+        chunk_sink.dealt(rows).write.format("chunks").mode("append").option("path", path).option("waitScale", "0").save()
         runs.append(chunk_sink.log(spark, path))
     first = runs[0].select("delivery_id", F.lit(0).alias("run"), "n_chunks", "n_sent", "error")
     names = runs[0].select(F.input_file_name().alias("file")).distinct()

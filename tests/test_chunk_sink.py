@@ -104,3 +104,46 @@ def test_stream_gives_the_log_of_the_batch(spark, tmp_path):
         query.stop()
     assert _log(spark, tmp_path / "stream") == _log(spark, tmp_path / "batch") != []
     assert len(os.listdir(tmp_path / "stream" / "commits")) == 2
+
+
+def test_notes_of_many_deliveries_share_files(tmp_path, monkeypatch):
+    monkeypatch.setattr(sink, "BUCKETS", 4)
+    monkeypatch.setattr(sink, "OPEN", 2)
+    forced = []
+    monkeypatch.setattr(sink.os, "fsync", forced.append)
+    rows = [{"delivery_id": f"é{k}", "destination": "d", "transport": "bot", "chunks": ["a", "b|200" if k % 2 else "b|502"]} for k in range(90)]
+    rows.sort(key=lambda r: sink.Notes("")._bucket("d", r["delivery_id"]))
+    notes = sink.TaskNotes(str(tmp_path))
+    assert [sink.delivered(r, sink.ScriptedService(), notes, Waits())[0] for r in rows] == [1 + int(r["delivery_id"][1:]) % 2 for r in rows]
+    notes.close()
+    assert sum(len(files) for _, _, files in os.walk(tmp_path)) == 4
+    assert len(forced) < 90  # 135 chunks were taken
+    again, lost = sink.TaskNotes(str(tmp_path)), [r | {"chunks": ["a|lost", "b|200"]} for r in rows]
+    assert [sink.delivered(r, sink.ScriptedService(), again, Waits()) for r in lost] == [(2, None)] * 90
+    again.close()
+    assert all(len(sink.Notes(str(tmp_path)).taken("d", r["delivery_id"])) == 2 for r in rows)
+
+
+def test_an_unreadable_line_stops_its_bucket_and_a_torn_one_does_not(tmp_path):
+    notes = sink.TaskNotes(str(tmp_path))
+    notes.add("d", "a", "1")
+    notes.close()
+    bucket = notes._bucket("d", "a")
+    with open(os.path.join(bucket, notes.name), "a") as f:
+        f.write('["d", "a", 1, "tw')
+    assert sink.TaskNotes(str(tmp_path)).taken("d", "a") == ["1"]
+    with open(os.path.join(bucket, "other"), "w") as f:
+        f.write("{]\n")
+    with pytest.raises(sink.DeliveryError, match=sink.CORRUPT):
+        sink.TaskNotes(str(tmp_path)).taken("d", "a")
+
+
+def test_dealt_deliveries_of_one_file_go_to_all_tasks(spark, tmp_path):
+    sink.register(spark)
+    df = spark.createDataFrame([_row(f"d{k}", "x") for k in range(200)], sink.DELIVERY).coalesce(1)
+    for _ in range(2):
+        sink.dealt(df).write.format("chunks").mode("append").option("path", str(tmp_path)).save()
+    assert len(os.listdir(tmp_path / "log")) == 8
+    assert _log(spark, tmp_path) == sorted([(f"d{k}", 1, 1, None) for k in range(200)] * 2)
+    one = {(r.file, sink.Notes("")._bucket("d", r.delivery_id)) for r in sink.log(spark, str(tmp_path)).selectExpr("delivery_id", "input_file_name() file").collect()}
+    assert len(one) == 2 * len({b for _, b in one})  # a bucket is one task's in each run
