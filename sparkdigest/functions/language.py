@@ -1,4 +1,4 @@
-"""Language of texts by hashed letter n-grams, in DataFrame functions only.
+"""Language of texts by hashed letter n-grams: words, profiles and sums by DataFrame functions, the words' numbers by numpy.
 
 A word gives two features, its first and its last three signs, with ^ before and $ after it; each is a number below BUCKETS. A
 language's profile holds the log probability of each bucket in its texts. A text has the language with the greatest sum over
@@ -7,10 +7,13 @@ its features, and the margin, per feature, to the next one says how sure that is
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Buckets of n-grams: a prime, as signs are digits of a number in base BASE.
+#: Buckets of n-grams of up to three signs: a prime, as signs are digits of a number in base BASE.
 BUCKETS, BASE = 4093, 131
 #: Pseudo-count of each bucket in a profile.
 PRIOR = 0.5
@@ -23,18 +26,34 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
-def _number(gram: Column) -> Column:
-    """The bucket of an n-gram of up to three signs."""
-    sign = lambda k: F.ascii(F.substring(gram, k, 1)).cast("long")
-    return ((sign(1) * BASE + sign(2)) * BASE + sign(3)) % BUCKETS
+#: Texts whose code points a worker holds at once.
+TEXTS = 256
+
+
+def buckets(text: str) -> np.ndarray:
+    """Buckets of the n-grams of words with one space between them, first ones before last ones."""
+    codes = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    space = codes == ord(" ")
+    start, end = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:])
+    second, before = np.where(space, 0, codes)[start + 1], codes[end - 1]
+    first = ((ord("^") * BASE + codes[start]) * BASE + second) % BUCKETS
+    last = np.where(start == end, (codes[end] * BASE + ord("$")) * BASE, (before * BASE + codes[end]) * BASE + ord("$")) % BUCKETS
+    return np.concatenate([first, last]).astype(np.int32)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _buckets(texts: pa.Array) -> pa.Array:
+    parts: list[pa.Array] = []
+    for at in range(0, len(texts), TEXTS):
+        found = [buckets(t) for t in texts[at : at + TEXTS].to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found))))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 
 def features(text: Column) -> Column:
     """Buckets of the n-grams of a text, first ones before last ones."""
-    own = words(text)
-    first = F.transform(own, lambda w: _number(F.left(F.concat(F.lit("^"), w), F.lit(3))).cast("int"))
-    last = F.transform(own, lambda w: _number(F.right(F.concat(w, F.lit("$")), F.lit(3))).cast("int"))
-    return F.concat(first, last)
+    return _buckets(F.concat_ws(" ", words(text)))
 
 
 def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

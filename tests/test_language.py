@@ -73,3 +73,12 @@ def test_held_out_accuracy(spark):
     right = sum(r.lang == r.detected for r in told)
     assert len(rows) == 200 and len(told) >= 190 and right >= 0.9 * len(told)
     assert queries.queries()["language_detected"](spark, SMALL).count() == 200
+
+
+def test_words_are_numbered_in_batches_and_not_one_by_one(spark):
+    texts = ["", "a", "été 日本 x", "\U00010428\U00010429 ab abc abcd", "one two " * 300]
+    assert [language.buckets(t).tolist() for t in texts] == [_features(t) for t in texts]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([None, *texts] * 60)], "id int, text string").coalesce(1)
+    found = docs.select("id", language.features(F.col("text")).alias("f"))
+    assert [r.f for r in found.orderBy("id").collect()] == [_features(t) for t in [None, *texts] * 60]
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
