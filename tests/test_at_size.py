@@ -7,6 +7,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sparkdigest import queries
 from sparkdigest.functions import markup
 from sparkdigest.llm import spelling, topk
 from sparkdigest.operators import matching
@@ -57,3 +58,15 @@ def test_pages_are_worked_on_in_small_stretches():
     assert max(map(len, links)) <= 64 and max(map(len, texts)) <= 64
     assert [x[0]["raw_url"] for b in links for x in b["links"]] == [f"https://a.example/{k}" for k in range(150)]
     assert [t for b in texts for t in b["title"]] == [f"t{k}" for k in range(150)]
+
+
+def test_links_are_chosen_in_batches_of_documents_and_pages_parsed_once(spark):
+    items = spark.createDataFrame([(d, k, "Alpha Beta") for d in range(150) for k in range(3)] + [(150, None, "x")], "document_id int, item_seq int, source_title string")
+    rows = [(d, f"link-{k:04d}", f"https://a.example/{k}", a, "", k, "article") for d in range(150) for k, a in enumerate(["Alpha Beta", "Alpha Beta Gamma Delta"])]
+    found = matching.assign_links(items, spark.createDataFrame(rows, "document_id int, candidate_id string, raw_url string, anchor_text string, nearby_text string, position int, kind string"))
+    assert "InPandas" not in _plan(found)
+    got = sorted(map(tuple, found.collect()), key=repr)
+    want = [(d, k, "exact_anchor" if k == 0 else "unmatched", 1.0 if k == 0 else 0.0, "link-0000" if k == 0 else None) for d in range(150) for k in range(3)]
+    assert got == sorted([*want, (150, None, "unmatched", 0.0, None)], key=repr)
+    plan = _plan(queries.queries()["link_assignment"](spark, "/root/testdata/sf0.001"))
+    assert "extract_links" not in plan
