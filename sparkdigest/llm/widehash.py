@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdigest.llm.common import Rolling, mixed, pick, raw, released, row_id, small, tidy, written
@@ -40,6 +40,10 @@ WORTH, ROUNDS = 10, 3
 EARLY = 2
 #: Pairs up to which their ids are sent to every task, 32 bytes each.
 SENT = 500_000
+#: Members of a key up to which its pairs are listed as rows; larger keys are compared in blocks, whose pairs stay in their task.
+PAIRED = 3
+#: Members of a block, and shingles of its members together (4 bytes each), at most.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 22
 
 _rolling = Rolling(5)
 _LANES = np.array([sum(1 << (8 * k) for k in range(8) if i >> k & 1) for i in range(256)], np.uint64)
@@ -168,7 +172,7 @@ def _may(x: str, y: str) -> Column:
 
 def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """near_pairs(), of which no sets are left behind."""
-    return released(lambda: near_pairs(pairs, sets_of(pairs)), "verified")
+    return released(lambda: near_pairs(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")))), "verified")
 
 
 def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -190,17 +194,100 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """members(key, sid, s) with their roots, of the keys that still hold more than one root."""
     now = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    apart = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return written(now.join(apart, "key"), "live")
+    key = Window.partitionBy("key")
+    apart = now.withColumns({"low": F.min("root").over(key), "high": F.max("root").over(key)}).where("low <> high")
+    return written(apart.drop("low", "high"), "live")
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """members(key, n, sid, ...) with their block, once for each two blocks (first, second) of the key that they take part in."""
+    key = Window.partitionBy("key")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)).over(key) / BLOCK, F.sum("n").over(key) / BLOCK_SHINGLES))
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    return dealt.withColumn("other", other).withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def _rows(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """A column of arrays of equal length, as a matrix."""
+    return np.asarray(column.combine_chunks().flatten()).view(kind).reshape(len(column), -1)
+
+
+def _candidates(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of t's first block with those of its second that _may() lets pass, each pair once; with column fine, the finer
+    fingerprints are compared, too."""
+    n, bits, pivots, block = np.asarray(t["n"]).astype(np.int64), _rows(t["bits"], "u8"), _rows(t["pivots"], "i1").astype(np.int16), np.asarray(t["block"])
+    fine = _rows(t["fine"], "u8") if "fine" in t.column_names else None
+    first, second = t["first"][0].as_py(), t["second"][0].as_py()
+    right = np.flatnonzero(block == second)
+    for i in np.flatnonzero(block == first):
+        j = right[right > i] if first == second else right
+        j = j[np.minimum(n[i], n[j]) * NEAR[1] >= np.maximum(n[i], n[j]) * NEAR[0]]
+        d = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        j, d = j[d <= RADIUS], d[d <= RADIUS]
+        if fine is not None:
+            j = j[d + np.bitwise_count(fine[i] ^ fine[j]).sum(axis=1, dtype=np.int64) <= FINE_RADIUS]
+        yield i, j[(np.abs(pivots[i] - pivots[j]) <= DIFFER).all(axis=1)]
+
+
+def _crowded(t: pa.Table) -> pa.Table:
+    """The members of a group of two blocks that have a candidate of another root."""
+    root = np.unique(t["root"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    some = np.zeros(len(t), bool)
+    for i, j in _candidates(t):
+        j = j[root[j] != root[i]]
+        some[j] = True
+        some[i] |= len(j) > 0
+    return t.filter(pa.array(some)).select(["key", "sid", "root"])
+
+
+def _spanning(t: pa.Table) -> pa.Table:
+    """Links (a, b) that join what the verified pairs of a group of two blocks join; pairs that are joined already are left out."""
+    root = np.unique(t["root"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    n, sid, flat = np.asarray(t["n"]).astype(np.int64), t["sid"].to_pylist(), t["grams"].combine_chunks()
+    ends = np.asarray(flat.offsets)
+    hashes = np.asarray(flat.values).view(np.uint32)
+    grams = [np.unique(hashes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    out = []
+    for i, j in _candidates(t):
+        j = j[root[j] != root[i]]
+        if not len(j):
+            continue
+        others = [grams[k] for k in j]
+        at = np.cumsum([0, *map(len, others)])
+        others = np.concatenate(others)
+        same = grams[i][np.minimum(np.searchsorted(grams[i], others), len(grams[i]) - 1)] == others
+        shared = np.add.reduceat(same, at[:-1], dtype=np.int64)
+        for k in j[shared * NEAR[1] >= (n[i] + n[j] - shared) * NEAR[0]]:
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                out.append((sid[i], sid[k]))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+
+def _crowd_links(crowds: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that join the sets that the verified pairs of each key in crowds(key, sid, s, root) join.
+
+    Members of a key are compared in blocks: first to see who has a candidate, then, with their whole sets, to verify the
+    candidates. Pairs stay in their task, so rows grow with the members and not with their pairs.
+    """
+    group = ["key", "first", "second"]
+    some = _in_blocks(crowds.select("key", "sid", "root", "s.n", "s.bits", "s.pivots")).groupBy(group).applyInArrow(_crowded, "key bigint, sid binary, root binary")
+    some = written(some.distinct(), "crowds")
+    if some.isEmpty():
+        return crowds.sparkSession.createDataFrame([], "a binary, b binary")
+    sets = known.select("sid", "n", "bits", "pivots", "fine").join(sets_of(some.select("sid")).dropDuplicates(["sid"]), "sid")
+    return _in_blocks(some.join(sets, "sid")).groupBy(group).applyInArrow(_spanning, "a binary, b binary")
 
 
-def set_links(members: DataFrame, fine: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of the components of all verified pairs that share a key in members(key, sid, s); s is (n, bits, pivots).
+def set_links(members: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the components of all verified pairs that share a key in members(key, sid, s); s is (n, bits, pivots), and
+    known(sid, n, bits, pivots, fine) has them all.
 
     Each round compares every member of a key with one of them, another one in each key, and verifies each set's nearest
     such candidate. This puts large groups of near copies together without their pairs. Then every pair of a key whose
-    sides are still apart is compared, by fine(sid, fine), too, so that the components are those of all pairs: what is
-    skipped is joined already. sets_of(pairs) gives the whole sets of some members.
+    sides are still apart is compared, by the finer fingerprints, too, so that the components are those of all pairs: what is
+    skipped is joined already. Keys of over PAIRED members do this in blocks. sets_of(sids) gives the whole sets of some members.
     """
     spark = members.sparkSession
     links = spark.createDataFrame([], "a binary, b binary")
@@ -219,7 +306,10 @@ def set_links(members: DataFrame, fine: DataFrame, sets_of: Callable[[DataFrame]
         live = _rooted(live.drop("root"), roots)
         if WORTH * new.count() < pairs.count():
             break
-    live = written(live.join(fine, "sid"), "apart")
+    many = F.count(F.lit(1)).over(Window.partitionBy("key")) > PAIRED
+    live = written(live.withColumn("many", many), "apart")
+    links = links.union(released(lambda: _crowd_links(live.where("many"), known, sets_of), "crowded"))
+    live = live.where("not many").join(known.select("sid", "fine"), "sid")
     right = live.select("key", F.col("sid").alias("b"), F.col("s").alias("t"), F.col("fine").alias("finer"), F.col("root").alias("root_b"))
     near = _distance("s.bits", "t.bits") + _distance("fine", "finer", len(LEVELS) * BITS) <= FINE_RADIUS
     rest = live.join(right, "key").where((F.col("root") < F.col("root_b")) & _may("s", "t") & near)
@@ -249,12 +339,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = written(each.join(many, "key").join(one.select("sid", F.struct("n", "bits", "pivots").alias("s")), "sid"), "members")
     names = one.select("sid", "rid")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(names, "sid"), "wanted")
+    def sets_of(sids: DataFrame) -> DataFrame:
+        wanted = written(sids.distinct().join(names, "sid"), "wanted")
         held = rows.select("rid", "text").join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "rid")
         return _sets(held.select("sid", "text"))
 
-    roots = set_links(members, one.select("sid", "fine"), sets_of).withColumnRenamed("node", "sid")
+    roots = set_links(members, one.select("sid", "n", "bits", "pivots", "fine"), sets_of).withColumnRenamed("node", "sid")
     classes = distinct.select("sid", "first").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     return found.select("rid", "doc_id", "sid").join(classes.join(smallest, "root").select("sid", F.col("root").alias("class_id"), "component_id"), "sid").select("rid", "doc_id", "class_id", "component_id")

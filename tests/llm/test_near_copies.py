@@ -50,6 +50,29 @@ def test_near_copies_are_those_of_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(got.values())
 
 
+def test_crowds_below_the_bound_make_no_rows_of_their_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common = say(180)
+    own = [say(24) for _ in range(150)]
+    texts = dict(enumerate(" ".join(common + x) for x in own + [[*x[:-1], "edit"] for x in own[:30]]))
+    want, links = brute(texts)
+    assert len(links) == 30
+    rows, write = {}, widehash.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(widehash, "written", counted)
+    monkeypatch.setattr(widehash, "BLOCK", 40, raising=False)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in widehash.near_copies(df).collect()}
+    assert got == want
+    assert rows["pairs"] <= 10 * len(texts) and rows["crowds"] > 0
+
+
 def test_different_texts_of_one_id_stay(spark):
     rng = random.Random(4)
     say = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(60))
