@@ -75,17 +75,17 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio
     d = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     text = F.col("text")
     of_words = [lambda w, s: F.size(w).cast("long").alias("n_words"), lambda w, s: repeated_words(w).alias("n_repeat_words")]
+    chars = lambda words: F.length(F.array_join(words, "")).cast("long").alias("word_chars")
     if ratios is not None:
         d = d.withColumn("ratios", ratios)
         of_words.append(lambda w, s: mean_ratio(w, s, F.col("ratios")).alias("score"))
     return d.select(
         "doc_id",
         "text",
-        _hashed(text, lambda w, s: F.struct(*[f(w, s) for f in of_words])).alias("w"),
-        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        let(words_of(text), lambda x: F.struct(chars(x), _hashed(x, text, lambda w, s: F.struct(*[f(w, s) for f in of_words])).alias("of"))).alias("w"),
         (F.size(F.split(text, f"[{SYMBOLS}]")) - 1).cast("long").alias("n_symbols"),
         duplicate_lines(text).alias("n_dup_lines"),
-    ).select("doc_id", "text", "w.*", "word_chars", "n_symbols", "n_dup_lines").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    ).select("doc_id", "text", "w.of.*", "w.word_chars", "n_symbols", "n_dup_lines").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def shapes_of(text: Column) -> Column:
@@ -108,9 +108,9 @@ def _at(w: Column, s: Column, x: Column, i: Column) -> tuple[Column, Column, Col
     return _bucket(x), _bucket(F.xxhash64(F.lit(2), x, after)), _bucket(F.xxhash64(F.lit(3), F.get(s, i), F.get(s, i + 1), x == after))
 
 
-def _hashed(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+def _hashed(words: Column, text: Column, body: Callable[[Column, Column], Column]) -> Column:
     """body of the hashes of a text's words and of their shapes."""
-    return let(F.struct(hashes_of(words_of(text)).alias("w"), hashes_of(shapes_of(text)).alias("s")), lambda v: body(v["w"], v["s"]))
+    return let(F.struct(hashes_of(words).alias("w"), hashes_of(shapes_of(text)).alias("s")), lambda v: body(v["w"], v["s"]))
 
 
 def grams(text: Column) -> Column:
@@ -120,7 +120,17 @@ def grams(text: Column) -> Column:
         pairs = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
         return F.concat(F.transform(w, lambda x, i: _at(w, s, x, i)[0]), F.transform(pairs, lambda x, i: _at(w, s, x, i)[1]), F.transform(pairs, lambda x, i: _at(w, s, x, i)[2]))
 
-    return _hashed(text, of)
+    return _hashed(words_of(text), text, of)
+
+
+def _gram_rows(d: DataFrame) -> DataFrame:
+    """(good, bucket): a row for each of grams() of d(good, text). Made from a row for each word, as Spark compiles what it does with
+    rows, but interprets functions over arrays."""
+    text = F.col("text")
+    words = d.select("good", hashes_of(words_of(text)).alias("w"), hashes_of(shapes_of(text)).alias("s")).select("good", "w", "s", F.posexplode("w").alias("i", "x"))
+    one, two, three = _at(F.col("w"), F.col("s"), F.col("x"), F.col("i"))
+    last = F.col("i") + 1 == F.size("w")
+    return words.select("good", F.explode(F.when(last, F.array(one)).otherwise(F.array(one, two, three))).alias("bucket"))
 
 
 def mean_ratio(w: Column, s: Column, ratios: Column) -> Column:
@@ -144,7 +154,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     good = written(pick(trusted, id_col).toDF("doc_id").where("doc_id is not null").distinct(), "trusted").withColumn("good", F.lit(1))
     d = pick(docs, id_col, text_col).toDF("doc_id", "text").join(F.broadcast(good) if good.count() <= SENT else good, "doc_id", "left")
-    each = d.select("good", F.explode(grams(F.coalesce("text", F.lit("")))).alias("bucket"))
+    each = _gram_rows(d.withColumn("text", F.coalesce("text", F.lit(""))))
     counts = written(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")), "counts")
     sums = counts.select(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     every = spark.range(1 << BITS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")

@@ -46,6 +46,15 @@ def test_op9(spark):
     assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.3 * len(bad)
 
 
+def test_ngrams_are_counted_without_interpreted_functions_over_arrays_of_them(spark, odd):
+    text = quality.F.coalesce("text", quality.F.lit(""))
+    rows = quality._gram_rows(odd.select(quality.F.lit(1).alias("good"), text.alias("text")))
+    want = odd.select(quality.F.explode(quality.grams(text)).alias("bucket"))
+    assert rows.select("bucket").exceptAll(want).count() == 0 and rows.count() == want.count()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64(2, x" in plan and "xxhash64(2, lambda" not in plan
+
+
 # ---- personal data ----------------------------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
