@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,7 +12,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: glibc's function that gives freed memory back to the system; none elsewhere.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Rows of whole texts that a Python worker works on at once; Spark bounds the bytes of the batches that they come in.
 TEXT_BATCH = 256
 
@@ -28,16 +32,29 @@ def small(batches: Iterable[pa.RecordBatch], rows: int = TEXT_BATCH) -> Iterator
             yield b.slice(at, rows)
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system: Arrow's and malloc's."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run() for mapInArrow, after which the worker, which Spark keeps for later tasks, gives Arrow's free memory back."""
+    """run() for mapInArrow, after which the worker, which Spark keeps for later tasks, gives its free memory back."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return tidied
 
 
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty table. createDataFrame([]) would read it through an RDD of Python objects, for which each executor starts another
+    Python daemon and its workers, and keeps them."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(schema)])
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions, which the cluster sizes to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

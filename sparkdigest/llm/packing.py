@@ -89,7 +89,9 @@ def pack(parts: DataFrame, size: int) -> DataFrame:
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * partitions(spark))))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = spark.createDataFrame(match_runs(totals, size), "run_length long, from_rank long, to_rank long, sequence long, offset long")
+    # as an Arrow table: a list would go through Python workers on the executors
+    columns = np.array(match_runs(totals, size), np.int64).reshape(-1, 5).T
+    runs = spark.createDataFrame(pa.table(list(map(pa.array, columns)), ["run_length", "from_rank", "to_rank", "sequence", "offset"]))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkdigest.llm.common import Rolling, mixed, pick, raw, released, row_id, small, tidy, written
+from sparkdigest.llm.common import Rolling, mixed, no_rows, pick, raw, released, row_id, small, tidy, written
 from sparkdigest.llm.components import components
 
 #: Words of a shingle.
@@ -275,7 +275,7 @@ def _crowd_links(crowds: DataFrame, known: DataFrame, sets_of: Callable[[DataFra
     some = _in_blocks(crowds.select("key", "sid", "root", "s.n", "s.bits", "s.pivots")).groupBy(group).applyInArrow(_crowded, "key bigint, sid binary, root binary")
     some = written(some.distinct(), "crowds")
     if some.isEmpty():
-        return crowds.sparkSession.createDataFrame([], "a binary, b binary")
+        return no_rows(crowds.sparkSession, "a binary, b binary")
     sets = known.select("sid", "n", "bits", "pivots", "fine").join(sets_of(some.select("sid")).dropDuplicates(["sid"]), "sid")
     return _in_blocks(some.join(sets, "sid")).groupBy(group).applyInArrow(_spanning, "a binary, b binary")
 
@@ -290,8 +290,8 @@ def set_links(members: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame
     skipped is joined already. Keys of over PAIRED members do this in blocks. sets_of(sids) gives the whole sets of some members.
     """
     spark = members.sparkSession
-    links = spark.createDataFrame([], "a binary, b binary")
-    roots = spark.createDataFrame([], "node binary, root binary")
+    links = no_rows(spark, "a binary, b binary")
+    roots = no_rows(spark, "node binary, root binary")
     live = members.withColumn("root", F.col("sid"))
     for k in range(ROUNDS):
         one = live.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "key", "sid").alias("h"), F.col("sid").alias("b"), F.col("s").alias("t"), F.col("root").alias("root_b"))).alias("p")).select("key", "p.b", "p.t", "p.root_b")
