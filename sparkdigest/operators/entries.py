@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkdigest.functions.url import article_link, entry_key
+from sparkdigest.functions.url import canonical_url, entry_key
 
 #: The seven parts of an entry's rank, with what a missing one counts as; published is microseconds.
 RANK = {"review_score": -1.0, "reranker_score": -1.0, "importance": -1.0, "confidence": -1.0, "hn_score": -1.0, "hn_comments": -1.0, "published": float("-inf")}
@@ -38,27 +40,36 @@ def first_per_key(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFra
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(seq)).alias("_row")).select(*keys, "_row.*")
 
 
-def _with(row: Column, names: list[str], **new: Column) -> Column:
-    return F.struct(*[(new[n] if n in new else row[n]).alias(n) for n in names])
+#: What a winner borrows with a discussion, and takes with an article link.
+_TALK, _LINK = ("discussion_url", "hn_score", "hn_comments", "hn_item_id", "_talk"), ("article_url", "_link")
+#: Winners that a fold lists before it puts the list away, as adding to a list copies it.
+_RUN = 256
 
 
-def _absorb(winner: Column, other: Column, names: list[str]) -> Column:
-    """The winner with what the other entry adds: its sources, its wordings, its discussion, its article link."""
-    listed = F.concat(F.array(other["source_name"]), other["also_from"])
-    fresh = F.filter(listed, lambda n: n.isNotNull() & (n != "") & ~n.eqNullSafe(winner["source_name"]))
-    own = F.when(F.size(winner["merged_summaries"]) > 0, winner["merged_summaries"]).otherwise(F.array(winner["summary"]))
+def _met(winner: Column, other: Column, parts: list[str]) -> list[Column]:
+    """Parts of the winner's state once it has met the other: its discussion or the other's, its article link or the other's."""
     borrow = (F.coalesce(winner["discussion_url"], F.lit("")) == "") & (F.coalesce(other["discussion_url"], F.lit("")) != "")
-    lent = {n: F.when(borrow, other[n]).otherwise(winner[n]) for n in ("discussion_url", "hn_score", "hn_comments", "hn_item_id")}
-    links = [article_link(winner["article_url"], lent["discussion_url"]), article_link(other["article_url"], other["discussion_url"]), winner["article_url"]]
-    links[0] = article_link(winner["article_url"], winner["discussion_url"])
-    return _with(
-        winner,
-        names,
-        also_from=F.array_distinct(F.concat(winner["also_from"], fresh)),
-        merged_summaries=F.array_distinct(F.concat(own, F.array(other["summary"]), other["merged_summaries"])),
-        article_url=F.coalesce(*links),
-        **lent,
-    )
+    own = lambda row: F.coalesce((row["article_url"] != "") & ~row["_link"].eqNullSafe(row["_talk"]), F.lit(False))
+    taken = dict.fromkeys(_TALK, borrow) | dict.fromkeys(_LINK, ~own(winner) & own(other))
+    return [(F.when(taken[n], other[n]).otherwise(winner[n]) if n in taken else winner[n]).alias(n) for n in parts]
+
+
+def _folded(rows: Column, parts: list[str], rank: Callable[[Column], Column]) -> Column:
+    """The last winner's state, its place `at` in rows, and the places of all winners in order, in `runs` and `run`.
+
+    Nothing that grows is carried but places, so a step costs the same however many rows have been met.
+    """
+    state = lambda of, at, n, run, runs: F.struct(*of, at.alias("at"), n.alias("n"), run.alias("run"), runs.alias("runs"))
+    first, zero = F.get(rows, F.lit(0)), F.lit(0)
+    start = state([first[n].alias(n) for n in parts], zero, zero, F.array(zero), F.array().cast("array<array<int>>"))
+
+    def step(a: Column, row: Column) -> Column:
+        n, full = a["n"] + 1, F.size(a["run"]) >= _RUN
+        run = F.when(full, F.array(n)).otherwise(F.concat(a["run"], F.array(n)))
+        runs = F.when(full, F.concat(a["runs"], F.array(a["run"]))).otherwise(a["runs"])
+        return F.when(rank(row) > rank(a), state(_met(row, a, parts), n, n, run, runs)).otherwise(state(_met(a, row, parts), a["at"], n, a["run"], a["runs"]))
+
+    return F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, zero)), start, step)
 
 
 def fold_entries(entries: DataFrame, within: list[str] | None = None, lent_counts: bool = True) -> DataFrame:
@@ -73,16 +84,29 @@ def fold_entries(entries: DataFrame, within: list[str] | None = None, lent_count
     """
     within = within or []
     names = [*dict.fromkeys(["seq", *entries.columns])]
+    key = entry_key(F.col("article_url"), F.col("hn_item_id"), F.col("title"))
+    keyed = entries.withColumns({"_key": key, "_link": canonical_url(F.col("article_url")), "_talk": canonical_url(F.col("discussion_url"))})
     if not lent_counts:
-        entries, names = entries.withColumn("rank__", rank_of(F.col)), [*names, "rank__"]
+        keyed = keyed.withColumn("_rank", rank_of(F.col))
+    parts = [*dict.fromkeys([*_TALK, *_LINK, *(RANK if lent_counts else ["_rank"])])]
     # seq comes first in the struct, so that sorting is in order of arrival
-    keyed = entries.withColumn("_key", entry_key(F.col("article_url"), F.col("hn_item_id"), F.col("title")))
-    grouped = keyed.groupBy(*within, "_key").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
-    rank = lambda row: rank_of(lambda k: row[k]) if lent_counts else row["rank__"]
-    step = lambda a, row: F.when(rank(row) > rank(a), _absorb(row, a, names)).otherwise(_absorb(a, row, names))
-    kind = F.get("rows", F.lit(0))
-    folded = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), kind, step)
-    return grouped.select(F.col("rows")[0]["seq"].alias("pos"), folded.alias("_row")).select("pos", "_row.*").drop("rank__")
+    listed = F.struct(*dict.fromkeys([*names, *parts]))
+    grouped = keyed.groupBy(*within, "_key").agg(F.array_sort(F.collect_list(listed)).alias("rows"))
+    rank = lambda row: rank_of(lambda k: row[k]) if lent_counts else row["_rank"]
+    found = grouped.select("rows", _folded(F.col("rows"), parts, rank).alias("end"))
+    winners = F.concat(F.flatten("end.runs"), "end.run")
+    earlier = F.reverse(F.slice(winners, 1, F.size(winners) - 1))
+    places = F.concat(earlier, F.array_except(F.sequence(F.lit(0), F.size("rows") - 1), winners))
+    found = found.select("rows", "end", F.get("rows", F.col("end.at")).alias("top"), places.alias("places"))
+    # each winner put its own before what it took over, so the last winner's come first, then those of the winners before it
+    added = lambda one, more: F.flatten(F.transform("places", lambda k: F.concat(F.array(F.get("rows", k)[one]), F.get("rows", k)[more])))
+    own, alone = F.col("top"), F.size("rows") == 1
+    fresh = F.filter(added("source_name", "also_from"), lambda n: n.isNotNull() & (n != "") & ~n.eqNullSafe(own["source_name"]))
+    told = F.when(F.size(own["merged_summaries"]) > 0, own["merged_summaries"]).otherwise(F.array(own["summary"]))
+    new = {n: F.col(f"end.{n}") for n in parts if n in names}
+    new["also_from"] = F.when(alone, own["also_from"]).otherwise(F.array_distinct(F.concat(own["also_from"], fresh)))
+    new["merged_summaries"] = F.when(alone, own["merged_summaries"]).otherwise(F.array_distinct(F.concat(told, added("summary", "merged_summaries"))))
+    return found.select(F.get("rows", F.lit(0))["seq"].alias("pos"), *[(new[n] if n in new else own[n]).alias(n) for n in names])
 
 
 def ordered_distinct(rows: DataFrame, keys: list[str], value: str, seq: str = "seq", name: str = "values") -> DataFrame:

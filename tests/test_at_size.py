@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sparkdigest import queries
 from sparkdigest.functions import markup
 from sparkdigest.llm import spelling, topk
-from sparkdigest.operators import matching
+from sparkdigest.operators import entries, matching
+from tests.test_operators import NAMES, _fold
 
 
 def _plan(df):
@@ -70,3 +71,29 @@ def test_links_are_chosen_in_batches_of_documents_and_pages_parsed_once(spark):
     assert got == sorted([*want, (150, None, "unmatched", 0.0, None)], key=repr)
     plan = _plan(queries.queries()["link_assignment"](spark, "/root/testdata/sf0.001"))
     assert "extract_links" not in plan
+
+
+def _stories(n, rising):
+    """Entries of one title and of one link, whose ranks rise with seq or not."""
+    rng = random.Random(11)
+    rank = lambda k: float(k if rising else rng.randint(0, 400))
+    talk = lambda k: None if k % 5 else f"https://t.example/{k}"
+    blank = dict.fromkeys(["hn_item_id", "review_score", "reranker_score", "hn_comments", "published"])
+    own = lambda k: {"also_from": [f"s{k % 13}", "x"] if k % 17 == 0 else [], "merged_summaries": [f"m{k % 19}"] if k % 23 == 0 else []}
+    rows = [{"seq": k, "title": "a", "summary": f"text {rng.randint(0, n)}", "source_name": rng.choice(["p", "q", "r", None, ""]), "article_url": "https://a.example/" if k % 4 == 0 else None, "discussion_url": talk(k), "importance": rank(k), "confidence": 0.0, "hn_score": 1.0 if talk(k) else None} | blank | own(k) for k in range(n)]
+    return [{c: r[c] for c in (x.split()[0] for x in NAMES.split(", "))} for r in rows]
+
+
+def test_a_fold_of_many_rows_is_as_one_by_one(spark):
+    cols = ["seq", "also_from", "merged_summaries", "article_url", "discussion_url", "hn_score"]
+    for rising in (True, False):
+        rows = _stories(1100, rising)
+        for counts in (True, False):
+            got = entries.fold_entries(spark.createDataFrame(rows, NAMES), lent_counts=counts).orderBy("pos").collect()
+            assert [[r[c] for c in cols] for r in got] == [[w[c] for c in cols] for w in _fold(rows)]
+
+
+def test_a_step_of_a_fold_does_not_look_at_texts_met_before(spark):
+    folded = entries.fold_entries(spark.createDataFrame(_stories(8, True), NAMES), lent_counts=False)
+    fold = next(x for x in folded._jdf.queryExecution().analyzed().toString().splitlines() if "aggregate(" in x)
+    assert "array_distinct" not in fold and "merged_summaries" not in fold and "regexp" not in fold
