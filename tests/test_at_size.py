@@ -97,3 +97,45 @@ def test_a_step_of_a_fold_does_not_look_at_texts_met_before(spark):
     folded = entries.fold_entries(spark.createDataFrame(_stories(8, True), NAMES), lent_counts=False)
     fold = next(x for x in folded._jdf.queryExecution().analyzed().toString().splitlines() if "aggregate(" in x)
     assert "array_distinct" not in fold and "merged_summaries" not in fold and "regexp" not in fold
+
+
+def test_all_links_of_a_page_are_kept(spark, tmp_path):
+    many = "<ul>" + "".join(f'<li><a href="/story-{k}">Story number {k}</a></li>' for k in range(450)) + "</ul>"
+    pages = [(1, "https://example.com/", many), (2, "https://example.com/", '<a href="/x">Some story</a>')]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.queries()["link_candidates"](spark, str(tmp_path)).orderBy("document_id", "position").collect()
+    assert [r.raw_url for r in found] == [f"https://example.com/story-{k}" for k in range(450)] + ["https://example.com/x"]
+    assert [r.candidate_id for r in found] == [f"link-{k + 1:04d}" for k in range(450)] + ["link-0001"]
+    chosen = queries.queries()["link_assignment"](spark, str(tmp_path)).collect()
+    assert len(chosen) == 451 and {r.method for r in chosen} == {"exact_anchor"}
+
+
+def test_links_go_back_before_many_are_held():
+    page = "".join(f'<div><a href="https://a.example/{k}">x</a></div>' for k in range(3000))
+    given = list(markup.extract_links.func(iter([(pd.Series([""] * 5), pd.Series([page] * 5))])))
+    assert [len(b) for b in given] == [2, 2, 1] and {len(x) for b in given for x in b["links"]} == {3000}
+
+
+def test_links_are_chosen_as_by_scores_of_all_pairs(spark):
+    rng = random.Random(5)
+    text = lambda n: rng.choice([None, "", *[" ".join(rng.choice(["Red", "blue", "green", "Fox", "cat"]) for _ in range(rng.randint(1, n))) for _ in range(6)]])
+    items = [(d, k, text(4)) for d in range(30) for k in range(8)]
+    links = [(d, f"link-{k:04d}", f"https://a.example/{(text(4) or '').replace(' ', '-')}", text(4), text(9), k, rng.choice(["article", "unknown", "non_article"])) for d in range(29) for k in range(9)]
+    items_df = spark.createDataFrame(items, "document_id int, item_seq int, source_title string")
+    links_df = spark.createDataFrame(links, "document_id int, candidate_id string, raw_url string, anchor_text string, nearby_text string, position int, kind string")
+    m = matching.match_score(F.col("source_title"), F.col("anchor_text"), F.col("nearby_text"), F.col("raw_url"))
+    pairs = {}
+    for r in items_df.join(links_df.where("kind <> 'non_article'"), "document_id").select("document_id", "item_seq", "candidate_id", "position", m.alias("m")).where("m.score > 0").collect():
+        pairs.setdefault((r.document_id, r.item_seq), []).append((-r.m.score, r.position, r.candidate_id, r.m.method))
+    want, used = [], set()
+    for d, k, _ in items:
+        free = sorted(x for x in pairs.get((d, k), []) if (d, x[2]) not in used)
+        if not free:
+            want.append((d, k, "unmatched", 0.0, None))
+        elif len(free) > 1 and round(free[1][0] - free[0][0], 6) < matching.LEAD:
+            want.append((d, k, "ambiguous", -free[0][0], None))
+        else:
+            used.add((d, free[0][2]))
+            want.append((d, k, free[0][3], -free[0][0], free[0][2]))
+    assert sorted(map(tuple, matching.assign_links(items_df, links_df).collect())) == want
+    assert {w[2] for w in want} == {"unmatched", "ambiguous", "exact_anchor", "heading_context", "fuzzy_anchor", "url_slug"}
